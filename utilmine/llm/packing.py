@@ -17,6 +17,7 @@ once per row; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,9 @@ from utilmine.llm.common import materialise, spread
 #: Fixed value: the pre-tokenisation pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Fixed value: the end token, id 0, as four bytes.
+END = bytes(4)
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, is_open boolean"
 
 
@@ -37,35 +41,27 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class WordCache(dict):
-    """Token ids (little-endian unsigned 32-bit) of a word with a space before it; bounded."""
-
-    LIMIT = 400_000
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        ids = self.encode(" " + word)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+#: White space that can stand beside a space, besides the space itself.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_AFTER_SPACE = tuple(" " + c for c in " " + SPACES)
+_AFTER_SPACE_ASCII = tuple(x for x in _AFTER_SPACE if x.isascii())
 
 
 class Encoder:
-    """Whole texts to token ids as bytes.
+    """Whole texts to token ids, as little-endian unsigned 32-bit numbers in bytes.
 
     The vocabulary is that of the tokenizer file. A token never spans the place where white space
-    follows other characters, so a text without double spaces is the concatenation of its
-    space-separated words, each encoded once and cached. Texts with double spaces are encoded whole.
+    follows other characters, so a text in which no space is followed by more white space is the
+    concatenation of its space-separated words. Words are looked up in a bounded cache; the ones
+    a block of texts misses are encoded together, and the tokens that begin with a space tell
+    them apart. Other texts are encoded whole.
     """
 
+    LIMIT = 500_000
     _loaded: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
+        import numpy as np
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -73,10 +69,11 @@ class Encoder:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
         alphabet = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        ranks = {bytes(alphabet[c] for c in token): i for token, i in vocabulary.items() if all(c in alphabet for c in token)}
-        ranks = {t: i for t, i in ranks.items() if t != b"<|endoftext|>"}
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in vocabulary.items() if token != "<|endoftext|>"}
         self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.words = WordCache(self.whole)
+        self.begins = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.begins[[i for t, i in ranks.items() if t[:1] == b" "]] = True
+        self.words: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -85,15 +82,49 @@ class Encoder:
         return cls._loaded[path]
 
     def whole(self, text: str) -> bytes:
-        import numpy as np
+        return array("I", self.bpe.encode_ordinary(text)).tobytes()
 
-        return np.asarray(self.bpe.encode_ordinary(text), dtype="<u4").tobytes()
+    def learn(self, missing: set[str]) -> None:
+        import numpy as np
 
-    def encode(self, text: str) -> bytes:
-        if "  " in text:
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return self.whole(first) + b"".join(map(self.words.__getitem__, rest))
+        if len(self.words) + len(missing) > self.LIMIT:
+            self.words.clear()
+        missing.discard("")
+        self.words[""] = self.whole(" ")
+        order = list(missing)
+        if not order:
+            return
+        ids = np.array(self.bpe.encode_ordinary(" " + " ".join(order)), dtype="<u4")
+        first = np.flatnonzero(self.begins[ids])
+        if len(first) != len(order):
+            self.words.update((w, self.whole(" " + w)) for w in order)
+            return
+        data, edge = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
+        self.words.update((w, data[a:b]) for w, a, b in zip(order, edge, edge[1:]))
+
+    def encode_all(self, texts: list[str], block: int = 2 << 20) -> Iterator[bytes]:
+        """Token ids of each text, in order."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= block:
+                yield from self._block(held)
+                held, size = [], 0
+        yield from self._block(held)
+
+    def _block(self, texts: list[str]) -> Iterator[bytes]:
+        split = [None if any(x in t for x in (_AFTER_SPACE_ASCII if t.isascii() else _AFTER_SPACE)) else t.split(" ") for t in texts]
+        known = self.words
+        missing = {w for words in split if words for w in words[1:] if w not in known}
+        if missing:
+            before = len(known)
+            self.learn(missing)
+            if len(known) < before:  # the cache was emptied
+                self.learn({w for words in split if words for w in words[1:] if w not in known})
+        get = known.__getitem__
+        for text, words in zip(texts, split):
+            yield self.whole(text) if words is None else self.whole(words[0]) + b"".join(map(get, words[1:]))
 
 
 class OpenBins:
@@ -179,8 +210,8 @@ def _tokenise_and_pack(path: str, capacity: int, open_bins: int, look_ahead: int
             return batch(rows, flags)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encoder.encode(text.as_py()) + b"\0\0\0\0"
+            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist())):
+                ids += END
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     waiting.append([doc, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), None, None])
                 if len(waiting) >= look_ahead:
