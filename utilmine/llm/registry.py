@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from utilmine.llm.common import table
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from utilmine.llm.warc import round_trip
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from utilmine.llm.decontaminate import find_contamination
 
@@ -24,6 +31,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from utilmine.llm.mincut_html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from utilmine.llm.packing import pack
 
@@ -31,7 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op2_warc, op7_decontamination, op9_extraction, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
