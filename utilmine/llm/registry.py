@@ -31,6 +31,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from utilmine.llm.fm_quality import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    scored = score(docs, model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from utilmine.llm.mincut_html import extract
 
@@ -44,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op7_decontamination, op9_extraction, op10_packing)}
+    return {f.__name__: f for f in (op2_warc, op7_decontamination, op8_quality, op9_extraction, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
