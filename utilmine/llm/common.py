@@ -65,3 +65,33 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 def as_text(column) -> "F.Column":
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: Rows of one or two numbers that may be broadcast: 16 MB at most, whatever the corpus size.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a side of ids whose counted size is within the bound; beyond it Spark shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable over ``links`` (a, b), for every node in a link.
+
+    Minimum labels travel over the links and then jump to the label of their label, so the number of rounds
+    grows with the logarithm of the longest path. Each round is a written table; only the
+    number of changed labels comes to the driver.
+    """
+    both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "links")
+    label = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
+    while True:
+        spread_labels = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
+        lower = label.join(spread_labels, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("seen", "component")).alias("component"))
+        jump = label.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        step = lower.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
+        step = materialise(step, "labels")
+        changed = step.where("old != component").limit(1).count()
+        label = step.select("node", "component")
+        if not changed:
+            return label

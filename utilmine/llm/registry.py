@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from utilmine.llm.common import table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from utilmine.llm.partenum import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from utilmine.llm.warc import round_trip
 
@@ -53,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op7_decontamination, op8_quality, op9_extraction, op10_packing)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_warc, op7_decontamination, op8_quality, op9_extraction, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
