@@ -21,6 +21,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from utilmine.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from utilmine.llm.decontaminate import find_contamination
 
@@ -59,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_warc, op7_decontamination, op8_quality, op9_extraction, op10_packing)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_warc, op5_suffix_dedup, op7_decontamination, op8_quality, op9_extraction, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
