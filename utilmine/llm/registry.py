@@ -27,6 +27,14 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from utilmine.llm.line_dedup import drop_repeated_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = drop_repeated_lines(docs, edits=2, min_chars=20, report=True)
+    return kept.select("doc_id", "n_lines", "n_gone", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from utilmine.llm.decontaminate import find_contamination
 
@@ -65,7 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_warc, op5_suffix_dedup, op7_decontamination, op8_quality, op9_extraction, op10_packing)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_warc, op5_suffix_dedup, op6_line_dedup, op7_decontamination, op8_quality, op9_extraction, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
