@@ -21,6 +21,54 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from utilmine.llm.winnowing import fingerprint_with_edits
+
+    return fingerprint_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against a dated list. The tables hold neither fetch days nor lists, so both follow from
+    the data: a page is fetched on day ``page_id`` modulo 365; every registered domain (the last two labels of a host) and
+    every third host is added, removed and added again on days that its digest gives."""
+    from utilmine.llm.url_lists import as_of, domains_of, host_of
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.pmod("page_id", F.lit(365)).alias("day"))
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host IS NOT NULL").distinct()
+
+    def number(name: str, start: int) -> "F.Column":
+        return F.conv(F.substring(F.md5(name), start, 6), 16, 10).cast("long")
+
+    own = hosts.where(number("host", 1) % 3 == 0).select(F.col("host").alias("domain"))
+    parents = hosts.select(F.element_at(domains_of(F.col("host")), -1).alias("domain"))
+    named = own.unionByName(parents).distinct()
+    day = number("domain", 7) % 200
+    later = day + 20 + number("domain", 13) % 60
+    entries = named.select("domain", F.explode(F.array(*(F.struct(d.alias("day"), F.lit(a).alias("action")) for d, a in ((day, "add"), (later, "remove"), (later + 40, "add"))))).alias("e")).select("domain", "e.day", "e.action")
+    return as_of(pages, entries)
+
+
+OP4_SQL = r"""
+WITH p AS (SELECT page_id, page_id % 365 AS fetched, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '') AS host FROM pages),
+h AS (SELECT DISTINCT host FROM p WHERE host IS NOT NULL),
+named AS (
+  SELECT host AS domain FROM h WHERE CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) % 3 = 0
+  UNION SELECT regexp_extract(host, '([^.]*\.)?[^.]*$', 0) FROM h),
+base AS (SELECT domain, CAST('0x' || substr(md5(domain), 7, 6) AS BIGINT) % 200 AS d1, CAST('0x' || substr(md5(domain), 13, 6) AS BIGINT) % 60 AS gap FROM named),
+entries AS (
+  SELECT domain, d1 AS day, 'add' AS action FROM base
+  UNION ALL SELECT domain, d1 + 20 + gap, 'remove' FROM base
+  UNION ALL SELECT domain, d1 + 60 + gap, 'add' FROM base),
+held AS (SELECT domain, day, action, lead(day) OVER (PARTITION BY domain ORDER BY day) AS until FROM entries),
+best AS (
+  SELECT page_id, arg_max(struct_pack(domain := held.domain, day := held.day, action := held.action), length(held.domain)) AS b
+  FROM p JOIN held ON (p.host = held.domain OR suffix(p.host, '.' || held.domain)) AND held.day <= p.fetched AND (held.until IS NULL OR p.fetched < held.until)
+  GROUP BY page_id)
+SELECT p.page_id, p.host, p.fetched AS fetch_day, coalesce(b.action = 'add', false) AS listed, b.domain AS entry_domain, b.day AS entry_day
+FROM p LEFT JOIN best USING (page_id)
+"""
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from utilmine.llm.suffix_dedup import remove_repeats
 
@@ -73,8 +121,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_warc, op5_suffix_dedup, op6_line_dedup, op7_decontamination, op8_quality, op9_extraction, op10_packing)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_warc, op3_winnowing, op4_url_lists, op5_suffix_dedup, op6_line_dedup, op7_decontamination, op8_quality, op9_extraction, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_lists": OP4_SQL}
