@@ -13,8 +13,8 @@ more such partitions keeps them all. Two sets that agree on a projection decide
 
 Equal sets are found first and only one of them goes on. Sets that share a signature are compared with the member
 of the bucket that shares most signatures with others; the links give components, and only
-pairs of a bucket that lie in different components by then are compared as well. All comparisons are exact set
-intersections. So copies cost nothing, near copies cost a comparison each, and no link between components is lost.
+pairs of a bucket that lie in different components by then are compared as well. Pairs whose sizes or parity bits (a lower
+bound of the Hamming distance) rule a link out are left out inside the join; all comparisons are exact set intersections. So copies cost nothing, near copies cost a comparison each, and no link between components is lost.
 
 Edge cases: null text is empty; texts without words have an empty set, which links with nothing;
 texts with fewer words than a shingle have the whole sequence as their only element; rows that share an id count as one document; rows with
@@ -145,12 +145,25 @@ def signatures(items: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+#: Parity bits of a set: each of its elements flips one of 512 bits.
+PARITY_WORDS = 8
+PARITIES = [f"p{i}" for i in range(PARITY_WORDS)]
+
+
+def parities(items: np.ndarray) -> np.ndarray:
+    """Two sets that differ in d elements differ in at most d of these bits."""
+    odd = np.bincount((items & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), k) for t in b.column(1)]
             key = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(key, pa.binary())], names=["id", "n", "key"])
+            bits = np.stack([parities(s) for s in sets], axis=1) if sets else np.empty((PARITY_WORDS, 0), dtype=np.int64)
+            columns = [b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(key, pa.binary()), *(pa.array(x) for x in bits)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "key", *PARITIES])
 
     return run
 
@@ -204,7 +217,7 @@ def _verify(num: int, den: int):
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; sets link from a similarity of num / den on."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), as_text(text_col).alias("text"))
-    seen = materialise(spread(texts).mapInArrow(_describe(k), "id long, n long, key binary"), "sets")
+    seen = materialise(spread(texts).mapInArrow(_describe(k), "id long, n long, key binary, " + ", ".join(f"{x} long" for x in PARITIES)), "sets")
     full = seen.where("n > 0 AND id IS NOT NULL")
     first = full.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("key", "first")
     copies = materialise(full.join(first, "key").where("id != first").select("id", "first"), "copies")
@@ -219,7 +232,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ranked = shared.select("signature", "id").join(popular, "id")
     best = ranked.groupBy("signature").agg(F.min(F.struct((-F.col("popular")).alias("p"), F.col("id").alias("centre"))).alias("best"))
     star = ranked.join(best, "signature").where("id != best.centre").select(F.least("id", "best.centre").alias("a"), F.greatest("id", "best.centre").alias("b"), F.col("best.centre").alias("centre"))
-    star = materialise(star.select("a", "b").distinct(), "pairs")
+    # sizes and parity bits of the documents in buckets; ids with several rows have none, so they are always compared
+    profile = full.join(popular.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("rows"), F.min("n").alias("n"), *(F.min(x).alias(x) for x in PARITIES))
+    profile = materialise(profile.where("rows = 1").drop("rows"), "profiles")
+
+    def side(x: str) -> DataFrame:
+        return profile.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", *PARITIES)))
+
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in PARITIES), F.lit(0))
+    sizes = F.col("n_a") + F.col("n_b")
+    can_link = (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & ((den + num) * differ <= (den - num) * sizes)
+    can_link = F.coalesce(can_link, F.lit(True))
+    star = star.select("a", "b").distinct().join(side("a"), "a", "left").join(side("b"), "b", "left").where(can_link)
+    star = materialise(star.select("a", "b"), "pairs")
 
     def compare(pairs: DataFrame) -> DataFrame:
         sets_wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
@@ -234,8 +259,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled = shared.select("signature", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select("signature", "id", F.coalesce("component", "id").alias("component"))
     split = labelled.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("signature")
     open_ = materialise(labelled.join(split, "signature"), "open")
-    left, right = (open_.select("signature", F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    across = left.join(right, "signature").where("a < b AND ca != cb").select("a", "b").distinct()
+    left, right = (open_.select("signature", F.col("id").alias(x), F.col("component").alias(f"c{x}")).join(side(x), x, "left") for x in "ab")
+    across = left.join(right, (left["signature"] == right["signature"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & can_link)
+    across = across.select("a", "b").distinct()
     rest = materialise(across.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if rest.limit(1).count():
         found = compare(rest).where("linked")
