@@ -1,0 +1,43 @@
+"""Horizontal explode loop: projected transactions shrink as the itemset grows, without a join.
+
+A row is (itemset, utility of it, later items of the transaction). Exploding the later items gives all extensions; one aggregate
+per level yields the utility and the two upper bounds: subtree utility (may the extension grow further) and
+local utility (may an item occur deeper below this prefix).
+Identical projections are not merged: their sums are formed by the aggregate either way.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from utilmine.operators.prep import hinted
+from utilmine.plans import cut
+
+
+def _rest(column: str) -> "F.Column":
+    return F.aggregate(column, F.lit(0).cast("long"), lambda n, x: n + x["u"])
+
+
+def mine_projected(entries: DataFrame, m: int) -> DataFrame:
+    """(itemset, utility, support) with utility >= m; ``entries`` are ranked ones."""
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "item", "u")))
+    rows = entries.groupBy("tid").agg(F.transform(ordered, lambda x: F.struct(x["item"].alias("item"), x["u"].alias("u"))).alias("suffix"))
+    rows = cut(rows.select(F.array().cast("array<bigint>").alias("itemset"), F.lit(0).cast("long").alias("pu"), "suffix", F.lit(1).cast("long").alias("n")))
+    found = None
+    while True:
+        each = rows.select("itemset", "pu", "suffix", "n", F.posexplode("suffix").alias("at", "z"))
+        each = each.select("itemset", F.col("z.item").alias("z"), (F.col("pu") + F.col("z.u")).alias("pu"), F.slice("suffix", F.col("at") + 2, F.size("suffix")).alias("suffix"), (F.col("pu") + _rest("suffix")).alias("local"), "n")
+        sums = each.groupBy("itemset", "z").agg(F.sum("pu").alias("utility"), F.sum(F.col("pu") + _rest("suffix")).alias("su"), F.sum("local").alias("lu"), F.sum("n").alias("support"))
+        sums = cut(sums)
+        out = sums.where(F.col("utility") >= m).select(F.concat("itemset", F.array("z")).alias("itemset"), "utility", "support")
+        found = out if found is None else found.unionByName(out)
+        primary = sums.where(F.col("su") >= m).select("itemset", "z")
+        n = primary.count()
+        if not n:
+            return found
+        secondary = sums.where(F.col("lu") >= m).groupBy("itemset").agg(F.collect_set("z").alias("keep"))
+        grown = each.join(hinted(primary, n), ["itemset", "z"], "left_semi").join(hinted(secondary, n), "itemset")
+        kept = F.filter("suffix", lambda x: F.array_contains("keep", x["item"]))
+        step = grown.select(F.concat("itemset", F.array("z")).alias("itemset"), "pu", kept.alias("suffix"), "n").where(F.size("suffix") > 0)
+        rows = cut(step)

@@ -1,0 +1,126 @@
+"""Tree family in relational form.
+
+A prefix tree is an aggregate by path (promising items, most promising first). A conditional pattern base is an explode:
+for the item at each place of a path, the part before it. Three kinds of weight:
+
+* ``twu``: transaction utility; the sum bounds an itemset's utility (candidates, to be verified).
+* ``estimate``: utility of the path up to the item, less the least utilities of items that the pattern leaves out.
+  The least utilities are those of the whole database or, tighter, of the path.
+* ``exact``: utilities per place, so the sum is the itemset's utility and nothing has to be verified.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from utilmine.operators.prep import hinted
+from utilmine.plans import cut
+
+#: Longest path whose arrays are summed place by place, one aggregate a place; longer ones stay unmerged.
+MERGED_LENGTH = 48
+
+
+def _sum(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0).cast("long"), lambda n, x: n + x)
+
+
+def path_table(entries: DataFrame, items: DataFrame) -> DataFrame:
+    """(path, n, tu, us, least): one row per distinct path with sums and minima per place."""
+    kept = entries.select("tid", "item", "u", "tu").join(items.select("item", "twu"), "item")
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("twu")).alias("t"), "item", "u")))
+    rows = kept.groupBy("tid").agg(ordered.alias("x"), F.max("tu").alias("tu"))
+    rows = cut(rows.select(F.transform("x", lambda a: a["item"]).alias("path"), F.transform("x", lambda a: a["u"]).alias("us"), "tu"))
+    longest = rows.agg(F.max(F.size("path"))).first()[0] or 0
+    if longest > MERGED_LENGTH:
+        return rows.select("path", F.lit(1).cast("long").alias("n"), "tu", "us", F.col("us").alias("least"))
+    sums = [F.sum(F.get("us", F.lit(i))).alias(f"s{i}") for i in range(longest)]
+    least = [F.min(F.get("us", F.lit(i))).alias(f"l{i}") for i in range(longest)]
+    merged = rows.groupBy("path").agg(F.count("*").alias("n"), F.sum("tu").alias("tu"), *sums, *least)
+    both = (F.array(*(F.col(f"{c}{i}") for i in range(longest))) if longest else F.array().cast("array<bigint>") for c in "sl")
+    return merged.select("path", "n", "tu", *(F.slice(a, 1, F.size("path")).alias(name) for a, name in zip(both, ("us", "least"))))
+
+
+def mine_paths(paths: DataFrame, m: int, kind: str, least: DataFrame | None = None) -> DataFrame:
+    """(itemset, estimate, utility) of the candidates with estimate >= m; ``utility`` is set for ``exact`` only.
+
+    ``least`` (item, least) replaces the path minima by those of the whole database.
+    """
+    rows = paths.select(F.array().cast("array<bigint>").alias("itemset"), "path", "us", "least", "n", F.lit(0).cast("long").alias("base"), F.lit(None).cast("long").alias("w"), "tu")
+    if least is not None:
+        places = rows.withColumn("key", F.monotonically_increasing_id())
+        places = cut(places)
+        long_ = places.select("key", F.posexplode("path").alias("at", "item")).join(least, "item")
+        again = long_.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "least"))).alias("x")).select("key", F.transform("x", lambda a: a["least"]).alias("least"))
+        rows = places.drop("least").join(again, "key").drop("key")
+    rows, found = cut(rows), None
+    while True:
+        each = rows.select("*", F.posexplode("path").alias("at", "z"))
+        before = F.slice("path", 1, F.col("at"))
+        upto = F.slice("us", 1, F.col("at") + 1)
+        skipped = F.slice("least", F.col("at") + 2, F.size("path"))
+        # the first item fixes the path utility; after that only what is left out is taken away
+        weight = F.when(F.col("w").isNull(), _sum(upto)).otherwise(F.col("w") - F.col("n") * _sum(skipped))
+        grown = each.select(
+            F.concat("itemset", F.array("z")).alias("itemset"), before.alias("path"), F.slice("us", 1, F.col("at")).alias("us"), F.slice("least", 1, F.col("at")).alias("least"), "n", (F.col("base") + F.get("us", F.col("at"))).alias("base"), weight.alias("w"), "tu"
+        )
+        estimate = F.sum("w") if kind == "estimate" else F.sum("tu")
+        sums = cut(grown.groupBy("itemset").agg(estimate.alias("estimate"), F.sum("base").alias("utility")))
+        alive = sums.where(F.col("estimate") >= m)
+        n = alive.count()
+        out = alive.select("itemset", "estimate", "utility")
+        found = out if found is None else found.unionByName(out)
+        if not n:
+            return found
+        kept = cut(grown.join(hinted(alive.select("itemset"), n), "itemset", "left_semi").where(F.size("path") > 0))
+        # items that are not promising in a conditional base leave its paths, with their least utility
+        weigh = F.col("w") if kind == "estimate" else F.col("tu")
+        local = kept.select("itemset", F.explode("path").alias("z"), weigh.alias("x")).groupBy("itemset", "z").agg(F.sum("x").alias("x")).where(F.col("x") >= m)
+        local = local.groupBy("itemset").agg(F.collect_set("z").alias("keep"))
+        joined = kept.join(local, "itemset")
+        ok = F.transform("path", lambda z: F.array_contains("keep", z))
+        marked = joined.withColumn("ok", ok)
+
+        rows = marked.select(
+            "itemset",
+            F.filter("path", lambda z: F.array_contains("keep", z)).alias("path"),
+            F.transform(F.filter(F.arrays_zip("us", "ok"), lambda x: x["ok"]), lambda x: x["us"]).alias("us"),
+            F.transform(F.filter(F.arrays_zip("least", "ok"), lambda x: x["ok"]), lambda x: x["least"]).alias("least"),
+            "n",
+            "base",
+            (F.col("w") - F.col("n") * _sum(F.transform(F.filter(F.arrays_zip("least", "ok"), lambda x: ~x["ok"]), lambda x: x["least"]))).alias("w"),
+            "tu",
+        )
+        rows = cut(rows.where(F.size("path") > 0))
+
+
+def verify_rarest(candidates: DataFrame, entries: DataFrame, items: DataFrame) -> DataFrame:
+    """Exact (itemset, utility, support): candidates meet the transactions of their rarest item, then all items are looked up."""
+    named = candidates.select(F.array_sort("itemset").alias("itemset"))
+    long_ = named.select("itemset", F.explode("itemset").alias("item")).join(items.select("item", "support"), "item")
+    rare = long_.groupBy("itemset").agg(F.min(F.struct("support", "item")).alias("r")).select("itemset", F.col("r.item").alias("item"))
+    horizontal = entries.groupBy("tid").agg(F.map_from_entries(F.collect_list(F.struct("item", "u"))).alias("of"))
+    met = rare.join(entries.select("tid", "item"), "item").join(horizontal, "tid")
+    values = F.transform("itemset", lambda x: F.try_element_at("of", x))
+    hit = met.select("itemset", values.alias("v")).where(~F.exists("v", lambda x: x.isNull()))
+    return hit.groupBy("itemset").agg(F.sum(_sum(F.col("v"))).alias("utility"), F.count("*").alias("support"))
+
+
+def verify_trie(candidates: DataFrame, entries: DataFrame) -> DataFrame:
+    """Exact (itemset, utility, support) by walking the candidates' prefix trie level by level over the transactions."""
+    sorted_ = cut(candidates.select(F.array_sort("itemset").alias("itemset")).distinct())
+    depth = sorted_.agg(F.max(F.size("itemset"))).first()[0] or 0
+    edges = sorted_.select("itemset", F.explode(F.sequence(F.lit(1), F.size("itemset"))).alias("k")).select(F.slice("itemset", 1, F.col("k") - 1).alias("node"), F.get("itemset", F.col("k") - 1).alias("item")).distinct()
+    edges = cut(edges)
+    at = entries.select("tid", F.array().cast("array<bigint>").alias("node"), F.lit(0).cast("long").alias("total")).distinct()
+    found = None
+    for k in range(depth):
+        wanted = edges.where(F.size("node") == k)
+        n = wanted.count()
+        step = at.join(entries.select("tid", "item", "u"), "tid").join(hinted(wanted, n), ["node", "item"])
+        at = cut(step.select("tid", F.concat("node", F.array("item")).alias("node"), (F.col("total") + F.col("u")).alias("total")))
+        sums = at.groupBy(F.col("node").alias("itemset")).agg(F.sum("total").alias("utility"), F.count("*").alias("support"))
+        found = sums if found is None else found.unionByName(sums)
+    if found is None:
+        return sorted_.select("itemset", F.lit(0).cast("long").alias("utility"), F.lit(0).cast("long").alias("support"))
+    return found.join(sorted_, "itemset", "left_semi")
