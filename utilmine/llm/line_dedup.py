@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from utilmine.llm.common import as_text, materialise, small_side
 
-#: How many classes of characters the letter counts have.
-CLASSES = 12
+#: Characters whose counts rule pairs out before they are verified.
+COUNTED = " etaoinsrhldumc."
 
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
@@ -79,22 +79,26 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     return F.when(within, F.aggregate(columns, start, step, lambda s: s["d"])).otherwise(F.lit(edits + 1))
 
 
-def segment_keys(line: Column, edits: int, min_chars: int) -> Column:
-    """Array of (key, indexes): hashes of the own segments, which also are probes, and of the other places to probe."""
+def keyed_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(id, at, key, indexes): hashes of a line's own segments, which also are probes, and of the other places to probe."""
     parts = edits + 1
-    size = F.char_length(line)
+    sized = lines.withColumn("size", F.char_length("line"))
+    # segment width and how many segments are one longer, for each length that is probed
+    cuts = {}
+    for shorter in range(parts):
+        cuts |= {f"base{shorter}": F.floor((F.col("size") - shorter) / parts).cast("int"), f"rest{shorter}": ((F.col("size") - shorter) % parts).cast("int")}
+    sized = sized.withColumns(cuts)
     out = []
     for shorter in range(parts):
-        length = size - shorter
-        base, rest = F.floor(length / parts).cast("int"), (length % parts).cast("int")
+        length, base, rest = F.col("size") - shorter, F.col(f"base{shorter}"), F.col(f"rest{shorter}")
         for i in range(parts):
             width = base + F.when(rest >= parts - i, 1).otherwise(0)
             place = base * i + F.greatest(F.lit(0), rest - (parts - i))
             for off in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                fits = (length >= min_chars) & (place + off >= 0) & (place + off + width <= size)
-                key = F.xxhash64(length, F.lit(i), F.substring(line, place + off + 1, width))
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(shorter == 0 and off == 0).alias("indexes"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                fits = (length >= min_chars) & (place + off >= 0) & (place + off + width <= F.col("size"))
+                key = F.xxhash64(length, F.lit(i), F.substring(F.col("line"), place + off + 1, width))
+                out.append(F.struct(F.when(fits, key).alias("key"), F.lit(shorter == 0 and off == 0).alias("indexes")))
+    return sized.select("id", "at", F.explode(F.array(*out)).alias("k")).select("id", "at", "k.key", "k.indexes").where("key IS NOT NULL")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -117,7 +121,7 @@ def find_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lines = own.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "gone", F.posexplode(F.split(as_text(text_col), "\n")).alias("at", "line"))
     lines = lines.where((F.char_length("line") >= min_chars) & ~F.coalesce(F.array_contains("gone", F.col("at")), F.lit(False))).select("id", "at", "line")
 
-    keyed = lines.select("id", "at", F.explode(segment_keys(F.col("line"), edits, min_chars)).alias("k")).select("id", "at", "k.key", "k.indexes")
+    keyed = keyed_lines(lines, edits, min_chars)
     bucket = Window.partitionBy("key")
     counted = keyed.select("*", F.count("*").over(bucket).alias("n"), F.max("indexes").over(bucket).alias("indexed"), F.min(place).over(bucket).alias("first"))
     shared = materialise(counted.where("n > 1 AND indexed").select("key", "id", "at", "indexes", "first"), "line-keys")
@@ -132,22 +136,23 @@ def find_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = left.join(texts.select(F.col("id").alias("id2"), F.col("at").alias("at2"), F.col("line").alias("line2")), ["id2", "at2"])
         return both.where(banded_distance(F.col("line"), F.col("line2"), edits) <= edits).select("id", "at", "id2", "at2")
 
-    star = shared.where(place != F.col("first")).select("id", "at", F.col("first.id").alias("id2"), F.col("first.at").alias("at2")).distinct()
-    star = materialise(star, "line-pairs")
+    # an edit changes two counts by one at most, so counts that differ more rule a pair out
+    counts = {f"c{i}": F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(c), F.lit(""))) for i, c in enumerate(COUNTED)}
+    profile = materialise(texts.select("id", "at", *(c.alias(n) for n, c in counts.items())), "line-profiles")
+    other = profile.withColumnsRenamed({c: f"{c}_2" for c in profile.columns})
+    apart = sum((F.abs(F.col(c) - F.col(f"{c}_2")) for c in counts), F.lit(0)) <= 2 * edits
+
+    star = shared.where(place != F.col("first")).select("id", "at", F.col("first.id").alias("id_2"), F.col("first.at").alias("at_2")).distinct()
+    star = star.join(profile, ["id", "at"]).join(other, ["id_2", "at_2"]).where(apart)
+    star = materialise(star.select("id", "at", F.col("id_2").alias("id2"), F.col("at_2").alias("at2")), "line-pairs")
     near = materialise(verified(star).select("id", "at").distinct(), "near-lines")
 
-    counts = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda c: F.size(F.filter(F.col("classes"), lambda x: x == c)))
-    profile = texts.select("id", "at", F.transform(F.split("line", ""), lambda x: F.pmod(F.ascii(x), F.lit(CLASSES))).alias("classes")).select("id", "at", counts.alias("counts"))
-    profile = profile.select("id", "at", *(F.get("counts", F.lit(c)).alias(f"c{c}") for c in range(CLASSES)))
     unsettled = wanted.join(near, ["id", "at"], "left_anti")
     members = shared.select("key", "id", "at", "indexes").join(profile, ["id", "at"])
     later = members.join(unsettled, ["id", "at"], "left_semi")
     earlier = members.select("key", *(F.col(c).alias(f"{c}_2") for c in members.columns if c != "key"))
-    apart = F.lit(0)
-    for c in range(CLASSES):
-        apart = apart + F.abs(F.col(f"c{c}") - F.col(f"c{c}_2"))
     before = (F.col("id_2") < F.col("id")) | ((F.col("id_2") == F.col("id")) & (F.col("at_2") < F.col("at")))
-    rest = later.join(earlier, (later["key"] == earlier["key"]) & before & (F.col("indexes") | F.col("indexes_2")) & (apart <= 2 * edits))
+    rest = later.join(earlier, (later["key"] == earlier["key"]) & before & (F.col("indexes") | F.col("indexes_2")) & apart)
     rest = rest.select("id", "at", F.col("id_2").alias("id2"), F.col("at_2").alias("at2")).distinct().join(star, ["id", "at", "id2", "at2"], "left_anti")
     found = near.unionByName(verified(materialise(rest, "line-pairs")).select("id", "at").distinct())
     all_gone = exact.select("id", F.explode("gone").alias("at")).unionByName(found)
