@@ -41,13 +41,18 @@ def selected_grams(text: Column, k: int = 5, window: int = 8) -> Column:
     def minima(numbers: Column) -> Column:
         out, step = numbers, 1
         while step < window:
-            out = _let(out, lambda x, s=step: F.zip_with(x, F.slice(x, s + 1, F.greatest(F.size(x), F.lit(1))), lambda a, b: F.least(a, b)))
+            out = _let(out, _least_with(step))
             step *= 2
         return F.array_distinct(F.slice(out, 1, F.greatest(F.size(numbers) - (window - 1), F.lit(1))))
 
     return _let(_let(hashes, grams), minima)
 
 
+def _least_with(step: int):
+    """Each number or the one ``step`` places on, whichever is smaller; past the end there is none."""
+    return lambda x: F.zip_with(x, F.slice(x, step + 1, F.greatest(F.size(x), F.lit(1))), lambda a, b: F.least(a, b))
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
