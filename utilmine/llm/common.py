@@ -97,8 +97,8 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, id, text): ``key`` orders documents and is the id itself where ids are distinct and not null.
+def with_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """((key, id, text), whether keys are unique): ``key`` orders documents and is the id itself where ids are distinct and not null.
 
     Otherwise documents are numbered in the order of (id, digest of the text), nulls first; rows that agree
     in both share a key.
@@ -106,10 +106,10 @@ def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), as_text(text_col).alias("text"))
     per_id = rows.groupBy("id").count()
     if not per_id.where("id IS NULL OR count > 1").limit(1).count():
-        return rows.select(F.col("id").alias("key"), "id", "text")
+        return rows.select(F.col("id").alias("key"), "id", "text"), True
     digest = F.md5("text")
     order = materialise(rows.select("id", digest.alias("digest")).distinct().sort("id", "digest").withColumn("key", F.monotonically_increasing_id()), "order")
-    return _number(rows, order)
+    return _number(rows, order), False
 
 
 def _number(rows: DataFrame, order: DataFrame) -> DataFrame:

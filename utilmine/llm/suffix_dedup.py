@@ -340,8 +340,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): what is left of each whole text, as UTF-8 bytes."""
     if not GRAM + 34 <= length <= 127 + GRAM:
         raise ValueError(f"length must be from {GRAM + 34} to {127 + GRAM}")
-    rows = with_key(docs, id_col, text_col)
-    long_ = rows.where(F.octet_length("text") >= length)
+    rows, unique = with_key(docs, id_col, text_col)
+    single = rows if unique else rows.dropDuplicates(["key"])
+    long_ = single.where(F.octet_length("text") >= length)
     digests = materialise(long_.select("key", F.md5("text").alias("digest")).distinct(), "digests")
     first = digests.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = materialise(digests.join(first, "digest").where("key != first").select("key"), "copies")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from utilmine.llm.common import small_side
+from utilmine.llm.common import materialise, small_side
 
 
 def host_of(url: Column) -> Column:
@@ -42,7 +42,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 def as_of(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "day", slice_days: int = 32) -> DataFrame:
     """(row id, host, day, listed, domain, entry_day) for every capture."""
     rows = captures.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), F.col(day_col).cast("long").alias("fetched"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "captures")  # row numbers that a retry cannot change
     span = rows.agg(F.min("fetched").alias("low"), F.max("fetched").alias("high")).first()
     low, high = span["low"] or 0, span["high"] or 0
     held = intervals(entries).where((F.col("day") <= high) & (F.coalesce(F.col("until"), F.lit(high + 1)) > low))
