@@ -254,6 +254,9 @@ def test_banded_distance(spark):
     for edits in (1, 2, 3):
         got = df.select(line_dedup.banded_distance(F.col("a"), F.col("b"), edits).alias("d"), F.levenshtein("a", "b").alias("e")).collect()
         assert all((x["d"] <= edits) == (x["e"] <= edits) and (x["e"] > edits or x["d"] == x["e"]) for x in got)
+        cut = line_dedup.differing_parts(df.select(F.repeat("a", 3).alias("line"), F.concat(F.repeat("a", 2), "b").alias("line2")), edits)
+        same = cut.select(F.levenshtein("line", "line2").alias("d"), F.levenshtein("part_a", "part_b").alias("e"), F.char_length("part_a").alias("n")).collect()
+        assert all(x["d"] == x["e"] and x["n"] > edits for x in same)
 
 
 def test_repeated_lines(spark):

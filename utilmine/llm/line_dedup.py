@@ -79,6 +79,23 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     return F.when(within, F.aggregate(columns, start, step, lambda s: s["d"])).otherwise(F.lit(edits + 1))
 
 
+def differing_parts(lines: DataFrame, edits: int, a: str = "line", b: str = "line2") -> DataFrame:
+    """Add ``part_a`` and ``part_b``: what is left of two lines without equal beginnings and ends, which edit distance ignores.
+
+    Beginnings and ends are compared in sixteenths of the shorter line, and an eighth of it always stays.
+    """
+    sixteenths = 16
+    n, m = F.char_length(a), F.char_length(b)
+    sized = lines.withColumns({"n": n, "m": m, "w": F.floor(F.least(n, m) / sixteenths).cast("int")})
+    w = F.when(F.least("n", "m") >= 8 * (edits + 2), F.col("w")).otherwise(0)
+    steps = range(1, sixteenths - 1)
+    x, y = F.col(a), F.col(b)
+    begins = F.greatest(F.lit(0), *(F.when(F.substring(x, F.lit(1), w * k) == F.substring(y, F.lit(1), w * k), k).otherwise(0) for k in steps))
+    ends = F.greatest(F.lit(0), *(F.when(F.substring(x, F.col("n") - w * k + 1, w * k) == F.substring(y, F.col("m") - w * k + 1, w * k), k).otherwise(0) for k in steps))
+    cut = sized.withColumns({"begins": begins, "ends": ends}).withColumns({"skip": F.col("begins") * w, "tail": F.least(F.col("ends"), F.lit(sixteenths - 2) - F.col("begins")) * w})
+    return cut.withColumns({f"part_{c}": F.substring(t, F.col("skip") + 1, F.col(size) - F.col("skip") - F.col("tail")) for c, t, size in (("a", x, "n"), ("b", y, "m"))})
+
+
 def keyed_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(id, at, key, indexes): hashes of a line's own segments, which also are probes, and of the other places to probe."""
     parts = edits + 1
@@ -134,7 +151,7 @@ def find_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """Of (id, at, id2, at2) the ones within the threshold."""
         left = pairs.join(texts, ["id", "at"])
         both = left.join(texts.select(F.col("id").alias("id2"), F.col("at").alias("at2"), F.col("line").alias("line2")), ["id2", "at2"])
-        return both.where(banded_distance(F.col("line"), F.col("line2"), edits) <= edits).select("id", "at", "id2", "at2")
+        return differing_parts(both, edits).where(banded_distance(F.col("part_a"), F.col("part_b"), edits) <= edits).select("id", "at", "id2", "at2")
 
     # an edit changes two counts by one at most, so counts that differ more rule a pair out
     counts = {f"c{i}": F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(c), F.lit(""))) for i, c in enumerate(COUNTED)}
