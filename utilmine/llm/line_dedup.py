@@ -37,8 +37,6 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     width = 2 * edits + 1
     mask, top = (1 << width) - 1, 1 << (width - 1)
     one, full = F.lit(1).cast("long"), F.lit(mask).cast("long")
-    n, m = F.char_length(a), F.char_length(b)
-    letters_a, letters_b = F.split(a, ""), F.split(b, "")
 
     def flip(x: Column) -> Column:
         return x.bitwiseXOR(full)
@@ -46,37 +44,42 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     def let(value: Column, body) -> Column:
         return F.element_at(F.transform(F.array(value), body), 1)
 
-    def equal_bits(j: Column) -> Column:
-        letter = F.get(letters_b, j - 1)
-        bits = [F.when(F.get(letters_a, j - 1 - edits + k) == letter, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)]
-        total = bits[0]
-        for x in bits[1:]:
-            total = total + x
-        return total.cast("long")
-
-    def step(state: Column, column: Column) -> Column:
-        eq, j = column["eq"], column["j"]
-        vp, vn = state["vp"], state["vn"]
-        diagonal = ((eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(full)
-
-        def after(d0: Column) -> Column:
-            return let(F.struct(vn.bitwiseOR(flip(d0.bitwiseOR(vp))).alias("hp"), d0.bitwiseAND(vp).alias("hn"), d0.alias("d0")), finish)
-
-        def finish(h: Column) -> Column:
-            hp, hn, d0 = h["hp"], h["hn"], h["d0"]
-            down = F.shiftright(d0, 1)
-            below = F.when(d0.bitwiseAND(F.lit(top).cast("long")) == 0, 1).otherwise(0)
-            place = F.call_function("shiftright", F.lit(top).cast("long"), j - (n - edits))
-            along = F.when(hp.bitwiseAND(place) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(place) != 0, 1).otherwise(0)
-            score = state["d"] + F.when(j <= n - edits, below).otherwise(along)
-            return F.struct(hn.bitwiseOR(flip(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), score.alias("d"))
-
-        return let(diagonal, after)
-
-    columns = F.transform(F.sequence(F.lit(1), m), lambda j: F.struct(j.alias("j"), equal_bits(j).alias("eq")))
-    start = F.struct(F.lit(mask ^ ((1 << edits) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(edits).alias("d"))
-    within = (F.abs(n - m) <= edits) & (n > edits) & (m > 0)
-    return F.when(within, F.aggregate(columns, start, step, lambda s: s["d"])).otherwise(F.lit(edits + 1))
+    # letters and lengths are bound once: an expression inside a step would be computed again for each character
+    def distance(of: Column) -> Column:
+        def equal_bits(j: Column) -> Column:
+            letter = F.get(of["b"], j - 1)
+            bits = [F.when(F.get(of["a"], j - 1 - edits + k) == letter, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)]
+            total = bits[0]
+            for x in bits[1:]:
+                total = total + x
+            return total.cast("long")
+
+        def step(state: Column, column: Column) -> Column:
+            eq, j = column["eq"], column["j"]
+            vp, vn = state["vp"], state["vn"]
+            diagonal = ((eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(full)
+
+            def after(d0: Column) -> Column:
+                return let(F.struct(vn.bitwiseOR(flip(d0.bitwiseOR(vp))).alias("hp"), d0.bitwiseAND(vp).alias("hn"), d0.alias("d0")), finish)
+
+            def finish(h: Column) -> Column:
+                hp, hn, d0 = h["hp"], h["hn"], h["d0"]
+                down = F.shiftright(d0, 1)
+                below = F.when(d0.bitwiseAND(F.lit(top).cast("long")) == 0, 1).otherwise(0)
+                place = F.call_function("shiftright", F.lit(top).cast("long"), j - (of["n"] - edits))
+                along = F.when(hp.bitwiseAND(place) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(place) != 0, 1).otherwise(0)
+                score = state["d"] + F.when(j <= of["n"] - edits, below).otherwise(along)
+                return F.struct(hn.bitwiseOR(flip(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), score.alias("d"))
+
+            return let(diagonal, after)
+
+        columns = F.transform(F.sequence(F.lit(1), of["m"]), lambda j: F.struct(j.alias("j"), equal_bits(j).alias("eq")))
+        start = F.struct(F.lit(mask ^ ((1 << edits) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(edits).alias("d"))
+        return F.aggregate(columns, start, step, lambda s: s["d"])
+
+    both = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), F.char_length(a).alias("n"), F.char_length(b).alias("m"))
+    within = (F.abs(F.char_length(a) - F.char_length(b)) <= edits) & (F.char_length(a) > edits) & (F.char_length(b) > 0)
+    return F.when(within, let(both, distance)).otherwise(F.lit(edits + 1))
 
 
 def differing_parts(lines: DataFrame, edits: int, a: str = "line", b: str = "line2") -> DataFrame:
