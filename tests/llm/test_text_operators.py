@@ -298,6 +298,41 @@ def test_repeated_lines(spark):
     assert rows == expected
 
 
+def test_reworded_lines(spark):
+    r = random.Random(13)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    texts = {}
+    for n in (8, 9, 10, 11, 19, 20, 21, 30, 39, 45, 90, 130):
+        base = invent(r, n, 5000)
+        texts[len(texts)] = " ".join(base)
+        for changes in (1, 2, 3, n // 10, n // 10, n // 10 + 1):
+            words = list(base)
+            # evenly spread edits leave the shortest runs
+            for k in range(changes):
+                at = min(len(words) - 1, (k + 1) * len(words) // (changes + 1))
+                words[at : at + r.choice([0, 1, 1])] = r.choice([[], ["replacement" + str(r.randint(0, 99))]])
+            texts[len(texts)] = " ".join(words)
+    gone = {x["doc_id"] for x in line_dedup.drop_repeated_lines(docs(spark, texts), per_words=10).where("text = ''").collect()}
+    expected = set()
+    for i, t in texts.items():
+        for j in range(i):
+            a, b = t.split(), texts[j].split()
+            if distance(a, b) <= max(len(a), len(b)) // 10 or abs(len(t) - len(texts[j])) <= 2 and distance(t, texts[j]) <= 2:
+                expected.add(i)
+    assert gone == expected and len(expected) > 20
+    for n in range(10, 400):
+        run = next(x for low, x in line_dedup.shortest_runs(10) if n >= low)
+        assert run <= -(-(n - n // 10) // (n // 10 + 1))
+
+
 # url lists
 
 

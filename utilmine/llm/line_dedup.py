@@ -1,7 +1,8 @@
 """Line deduplication within a few edits, in DataFrame operations only.
 
-A line goes when an earlier one (smaller document id, or a smaller line number of the same document) is equal to it or within
-``edits`` edits. Lines are judged on the input, not on what is left. Lines of fewer than ``min_chars`` characters stay.
+A line goes when an earlier one (smaller document id, or a smaller line number of the same document) is equal to it, within
+``edits`` edits of characters, or, with ``per_words``, within one edit of a word for each ``per_words`` words of the longer line.
+Lines are judged on the input, not on what is left. Lines of fewer than ``min_chars`` characters stay.
 
 1. Equal lines meet by two 64-bit hashes; all but the first are marked. Only small rows are shuffled.
 2. Segment partition: a line of length l is cut into ``edits`` + 1 segments. Of two lines within ``edits`` edits one segment of
@@ -11,6 +12,9 @@ A line goes when an earlier one (smaller document id, or a smaller line number o
    matter are bits of one number that slides down with each character.
 4. To keep large buckets linear, each line is first compared with the earliest line of its bucket. Only those that have no
    earlier partner by then meet the others, and only if their letter counts allow it: each edit changes two counts by one at most.
+5. Edits of words: of n words with n // ``per_words`` edits a run stays whole, and is the longer the more words there are. Lines meet
+   by the smallest hash of each window of ``GRAM`` word grams of such a run (winnowing), so no pair is missed. Parities of the words' hash
+   classes rule pairs out; the rest are verified by the edit distance of words, each word standing as one character.
 
 Edge cases: null text is empty and has no lines to lose; a document whose lines all go becomes an empty text; rows that share an id count as
 one document for order and keep the same line numbers; rows with a null id keep all lines; columns other than the two named ones pass through untouched.
@@ -25,6 +29,8 @@ from utilmine.llm.common import as_text, materialise, small_side
 
 #: Characters whose counts rule pairs out before they are verified.
 COUNTED = " etaoinsrhldumc."
+#: Words of a gram by which reworded lines meet, and 64-bit numbers of parities that rule their pairs out.
+GRAM, PARITIES = 4, 2
 
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
@@ -99,6 +105,109 @@ def differing_parts(lines: DataFrame, edits: int, a: str = "line", b: str = "lin
     return cut.withColumns({f"part_{c}": F.substring(t, F.col("skip") + 1, F.col(size) - F.col("skip") - F.col("tail")) for c, t, size in (("a", x, "n"), ("b", y, "m"))})
 
 
+def shortest_runs(per_words: int) -> list[tuple[int, int]]:
+    """[(n, run)], n falling: of a pair whose longer line has n words or more, a run of at least so many words has no edit."""
+    out, least = [], per_words
+    for n in range(per_words * per_words, per_words - 1, -1):
+        edits = n // per_words
+        run = min(least, -(-(n - edits) // (edits + 1)))
+        if run < least and out:
+            out[-1] = (n + 1, least)
+        if run < least or not out:
+            out.append((n, run))
+        least = run
+    return [*out[:-1], (0, out[-1][1])]
+
+
+def word_keys(words: Column, per_words: int) -> Column:
+    """Hashes that two arrays of words share if they are within one edit for each ``per_words`` words of the longer one.
+
+    The smallest hash of a window is the smallest of a shorter window in it too, so a line with shorter windows has
+    all the keys that a longer line selects from the same run.
+    """
+    runs = shortest_runs(per_words)
+    window = F.lit(runs[-1][1] - GRAM + 1)
+    for n, run in reversed(runs[:-1]):
+        window = F.when(F.size(words) >= n, run - GRAM + 1).otherwise(window)
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+
+    def let(value: Column, body) -> Column:
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def grams(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - GRAM), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(GRAM))))
+
+    def smallest(of: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(of["g"]) - of["w"] + 1))
+        return F.array_distinct(F.transform(places, lambda i: F.array_min(F.slice(of["g"], i, of["w"]))))
+
+    return F.when(F.size(words) >= GRAM, let(F.struct(let(hashes, grams).alias("g"), window.alias("w")), smallest))
+
+
+def word_distance(a: Column, b: Column, most: Column) -> Column:
+    """Edit distance of two arrays of words if it is ``most`` at most, else -1: each word becomes the character that its first place in both numbers."""
+
+    def spelled(of: Column, words: Column) -> Column:
+        def code(w: Column) -> Column:
+            n = F.array_position(of["all"], w) + 31
+            return F.lpad(F.hex(n + F.when(n >= 0xD800, 0x800).otherwise(0)), 8, "0")
+
+        return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-32")
+
+    def distance(of: Column) -> Column:
+        return F.call_function("levenshtein", spelled(of, of["a"]), spelled(of, of["b"]), of["most"])
+
+    of = F.struct(F.array_union(a, b).alias("all"), a.alias("a"), b.alias("b"), most.cast("int").alias("most"))
+    return F.element_at(F.transform(F.array(of), distance), 1)
+
+
+def _words(line: str) -> Column:
+    return F.filter(F.split(F.col(line), r"\s+"), lambda w: w != "")
+
+
+def reworded_lines(lines: DataFrame, per_words: int) -> DataFrame:
+    """(id, at) of the lines that are within one edit of a word for each ``per_words`` words of an earlier line."""
+    place = F.struct("id", "at")
+    keyed = lines.select("id", "at", _words("line").alias("words")).where(F.size("words") >= per_words - 1)
+    keyed = keyed.select("id", "at", F.explode(word_keys(F.col("words"), per_words)).alias("key"))
+    bucket = Window.partitionBy("key")
+    counted = keyed.select("*", F.count("*").over(bucket).alias("n"), F.min(place).over(bucket).alias("first"))
+    shared = materialise(counted.where("n > 1").select("key", "id", "at", "first"), "word-keys")
+    wanted = materialise(shared.select("id", "at").distinct(), "reworded-wanted")
+    texts = lines.join(small_side(wanted, wanted.count()), ["id", "at"], "left_semi").select("id", "at", _words("line").alias("words"))
+
+    def parity(part: int) -> Column:
+        def flip(bits: Column, w: Column) -> Column:
+            place = F.pmod(F.xxhash64(w), F.lit(64 * PARITIES)).cast("int") - 64 * part
+            return F.when(place.between(0, 63), bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))).otherwise(bits)
+
+        return F.aggregate("words", F.lit(0).cast("long"), flip)
+
+    texts = materialise(texts.select("*", F.size("words").alias("n"), *(parity(i).alias(f"p{i}") for i in range(PARITIES))), "reworded-lines")
+    profile = texts.drop("words")
+    other = profile.withColumnsRenamed({c: f"{c}_2" for c in profile.columns})
+    most = F.floor(F.greatest("n", "n_2") / per_words).cast("int")
+    # an edit changes two of all parities at most
+    apart = (F.abs(F.col("n") - F.col("n_2")) <= most) & (sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_2"))) for i in range(PARITIES)), F.lit(0)) <= 2 * most)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of (id, at, id_2, at_2) the (id, at) with one within the threshold."""
+        both = pairs.join(texts.select("id", "at", "n", "words"), ["id", "at"])
+        both = both.join(texts.select(F.col("id").alias("id_2"), F.col("at").alias("at_2"), F.col("n").alias("n_2"), F.col("words").alias("words_2")), ["id_2", "at_2"])
+        return both.where(word_distance(F.col("words"), F.col("words_2"), most) >= 0).select("id", "at").distinct()
+
+    ends = ["id", "at", "id_2", "at_2"]
+    star = shared.where(place != F.col("first")).select("id", "at", F.col("first.id").alias("id_2"), F.col("first.at").alias("at_2")).distinct()
+    star = materialise(star.join(profile, ["id", "at"]).join(other, ["id_2", "at_2"]).where(apart).select(*ends), "word-pairs")
+    near = materialise(verified(star), "reworded")
+    members = shared.select("key", "id", "at").join(profile, ["id", "at"])
+    later = members.join(wanted.join(near, ["id", "at"], "left_anti"), ["id", "at"], "left_semi")
+    earlier = members.select("key", *(F.col(c).alias(f"{c}_2") for c in members.columns if c != "key"))
+    before = (F.col("id_2") < F.col("id")) | ((F.col("id_2") == F.col("id")) & (F.col("at_2") < F.col("at")))
+    rest = later.join(earlier, (later["key"] == earlier["key"]) & before & apart).select(*ends).distinct().join(star, ends, "left_anti")
+    return near.unionByName(verified(materialise(rest, "word-pairs")))
+
+
 def keyed_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(id, at, key, indexes): hashes of a line's own segments, which also are probes, and of the other places to probe."""
     parts = edits + 1
@@ -127,10 +236,12 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     return lines.where(F.char_length("line") >= min_chars)
 
 
-def find_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20) -> DataFrame:
+def find_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20, per_words: int = 0) -> DataFrame:
     """(id, gone): the numbers of the lines of each document that repeat an earlier line, for documents that have such lines."""
     if not 1 <= edits <= 15 or min_chars <= 2 * edits:
         raise ValueError("edits must be from 1 to 15, and min_chars more than twice that")
+    if per_words and per_words < 8:
+        raise ValueError("per_words must be 0 or at least 8")
     place = F.struct("id", "at")
     hashed = _lines(docs, id_col, text_col, min_chars).select("id", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2"))
     groups = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -175,13 +286,15 @@ def find_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = later.join(earlier, (later["key"] == earlier["key"]) & before & (F.col("indexes") | F.col("indexes_2")) & apart)
     rest = rest.select("id", "at", F.col("id_2").alias("id2"), F.col("at_2").alias("at2")).distinct().join(star, ["id", "at", "id2", "at2"], "left_anti")
     found = near.unionByName(verified(materialise(rest, "line-pairs")).select("id", "at").distinct())
+    if per_words:
+        found = found.unionByName(reworded_lines(lines, per_words))
     all_gone = exact.select("id", F.explode("gone").alias("at")).unionByName(found)
     return materialise(all_gone.groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("gone")), "repeated-lines")
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20, report: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20, report: bool = False, per_words: int = 0) -> DataFrame:
     """Documents without their repeated lines; ``report`` adds ``n_lines`` and ``n_gone``."""
-    gone = find_repeated_lines(docs, id_col, text_col, edits, min_chars)
+    gone = find_repeated_lines(docs, id_col, text_col, edits, min_chars, per_words)
     sized = gone.agg(F.count("*").alias("n"), F.sum(F.size("gone")).alias("m")).first()
     names = {"id": "__gone_id", "gone": "__gone"}
     joined = docs.join(small_side(gone.withColumnsRenamed(names), sized["n"] + (sized["m"] or 0)), F.col(id_col) == F.col("__gone_id"), "left")
