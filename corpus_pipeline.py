@@ -29,9 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that repeat an earlier line within two edits or a tenth of the words; documents of which nothing is left go."""
-    kept = line_dedup.drop_repeated_lines(docs, edits=2, min_chars=20, report=True, per_words=10)
-    return _documents(kept.where((F.col("n_gone") == 0) | (F.trim("text") != "")), changed=True)
+    """Without lines that repeat an earlier line within two edits or a tenth of the words, short ones if equal; documents of which only white space is left go."""
+    kept = line_dedup.drop_repeated_lines(docs, edits=2, min_chars=20, report=True, per_words=10, exact_chars=1)
+    return _documents(kept.where((F.col("n_gone") == 0) | ~line_dedup.blank("text")), changed=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,12 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == counts[-1]
 
 
+def test_copies_leave_no_remnant(spark):
+    text = "Menu\n\nA line that is long enough to be compared\n\t\nEnd"
+    rows = spark.createDataFrame([(i, text, "en", "web", len(text)) for i in (1, 2)], "doc_id long, text string, lang string, source string, n_chars int")
+    assert [(x["doc_id"], x["text"]) for x in corpus_pipeline.lines(spark, rows, "").collect()] == [(1, text)]
+
+
 def test_registry_names():
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))

@@ -333,6 +333,15 @@ def test_reworded_lines(spark):
         assert run <= -(-(n - n // 10) // (n // 10 + 1))
 
 
+def test_short_lines_go_if_equal(spark):
+    texts = {1: "Menu\n\nA line that is long enough to count\n \nx", 2: "Menu\n\nA line that is long enough to count\n \nx", 3: "menu\nMenu\nx", 4: None}
+    got = line_dedup.drop_repeated_lines(docs(spark, texts), per_words=10, exact_chars=1, report=True)
+    rows = {x["doc_id"]: (x["text"], x["n_gone"]) for x in got.collect()}
+    assert rows == {1: (texts[1], 0), 2: ("\n ", 3), 3: ("menu", 2), 4: (None, 0)}
+    odd = {1: "", 2: None, 3: " \n\t\r\x0b\x0c\x1c\x85\xa0\u2003\u3000\u2028", 4: "\n.\n", 5: "\u200b"}
+    assert sorted(x["doc_id"] for x in docs(spark, odd).where(line_dedup.blank("text")).collect()) == [1, 2, 3]
+
+
 # url lists
 
 

@@ -2,7 +2,8 @@
 
 A line goes when an earlier one (smaller document id, or a smaller line number of the same document) is equal to it, within
 ``edits`` edits of characters, or, with ``per_words``, within one edit of a word for each ``per_words`` words of the longer line.
-Lines are judged on the input, not on what is left. Lines of fewer than ``min_chars`` characters stay.
+Lines are judged on the input, not on what is left. Of lines of fewer than ``min_chars`` characters
+only those of ``exact_chars`` or more go, and only where they equal an earlier line; lines of nothing but white space then stay.
 
 1. Equal lines meet by two 64-bit hashes; all but the first are marked. Only small rows are shuffled.
 2. Segment partition: a line of length l is cut into ``edits`` + 1 segments. Of two lines within ``edits`` edits one segment of
@@ -236,14 +237,23 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     return lines.where(F.char_length("line") >= min_chars)
 
 
-def find_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20, per_words: int = 0) -> DataFrame:
+def blank(text: str) -> Column:
+    """Whether a text is null, empty or nothing but white space, Unicode's included."""
+    return as_text(text).rlike(r"^[\s\p{Z}\x{1c}-\x{1f}\x{85}]*$")
+
+
+def find_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20, per_words: int = 0, exact_chars: int | None = None) -> DataFrame:
     """(id, gone): the numbers of the lines of each document that repeat an earlier line, for documents that have such lines."""
     if not 1 <= edits <= 15 or min_chars <= 2 * edits:
         raise ValueError("edits must be from 1 to 15, and min_chars more than twice that")
     if per_words and per_words < 8:
         raise ValueError("per_words must be 0 or at least 8")
     place = F.struct("id", "at")
-    hashed = _lines(docs, id_col, text_col, min_chars).select("id", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2"))
+    least = min_chars if exact_chars is None else min(exact_chars, min_chars)
+    able = _lines(docs, id_col, text_col, least)
+    if least < min_chars:
+        able = able.where((F.char_length("line") >= min_chars) | ~blank("line"))
+    hashed = able.select("id", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2"))
     groups = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = hashed.join(groups, ["h1", "h2"]).where(place != F.col("first"))
     exact = materialise(again.groupBy("id").agg(F.collect_set("at").alias("gone")), "equal-lines")
@@ -292,9 +302,9 @@ def find_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return materialise(all_gone.groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("gone")), "repeated-lines")
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20, report: bool = False, per_words: int = 0) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20, report: bool = False, per_words: int = 0, exact_chars: int | None = None) -> DataFrame:
     """Documents without their repeated lines; ``report`` adds ``n_lines`` and ``n_gone``."""
-    gone = find_repeated_lines(docs, id_col, text_col, edits, min_chars, per_words)
+    gone = find_repeated_lines(docs, id_col, text_col, edits, min_chars, per_words, exact_chars)
     sized = gone.agg(F.count("*").alias("n"), F.sum(F.size("gone")).alias("m")).first()
     names = {"id": "__gone_id", "gone": "__gone"}
     joined = docs.join(small_side(gone.withColumnsRenamed(names), sized["n"] + (sized["m"] or 0)), F.col(id_col) == F.col("__gone_id"), "left")

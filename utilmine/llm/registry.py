@@ -79,7 +79,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from utilmine.llm.line_dedup import drop_repeated_lines
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = drop_repeated_lines(docs, edits=2, min_chars=20, report=True, per_words=10)
+    kept = drop_repeated_lines(docs, edits=2, min_chars=20, report=True, per_words=10, exact_chars=1)
     return kept.select("doc_id", "n_lines", "n_gone", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
