@@ -91,6 +91,14 @@ def test_approximate_results_are_exact(db, name):
     assert found and all(every[c] == v and v[0] >= 60 for c, v in found.items())
 
 
+@pytest.mark.parametrize("kind", ["ga", "bpso", "aco"])
+def test_iterations_are_generations(spark, kind):
+    from utilmine.operators import heuristics
+
+    e = entries(spark, database(3, 60, 30, 12))
+    assert heuristics.propose(e, kind, 1, iterations=20, population=30).count() > 150
+
+
 def test_windows(spark):
     rows = database(7, 23, 8, 4)
     w, h = 10, 5

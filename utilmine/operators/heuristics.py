@@ -95,15 +95,14 @@ class Island:
 
 
 def propose(entries: DataFrame, kind: str, threshold: int, seed: int = 42, iterations: int = 2000, population: int = 30, max_length: int = 8, shard_rows: int = 200_000) -> DataFrame:
-    """Distinct itemsets that reach their share of ``threshold`` in some shard."""
+    """Distinct itemsets that reach their share of ``threshold`` in some shard, of ``iterations`` generations of the whole ``population`` there."""
     total = entries.count()
     islands = max(1, -(-total // shard_rows))
     share = threshold / islands
-    rounds = max(1, iterations // population)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         island = Island(frame, seed + int(frame["island"].iloc[0]), max_length)
-        {"ga": island.genetic, "bpso": island.swarm, "aco": island.colony}[kind](rounds, population)
+        {"ga": island.genetic, "bpso": island.swarm, "aco": island.colony}[kind](iterations, population)
         return pd.DataFrame({"itemset": [list(x) for x, u in island.known.items() if u >= share]})
 
     dealt = entries.select("tid", "item", "u", F.pmod(F.xxhash64("tid"), F.lit(islands)).cast("int").alias("island"))
