@@ -99,6 +99,21 @@ def test_iterations_are_generations(spark, kind):
     assert heuristics.propose(e, kind, 1, iterations=20, population=30).count() > 150
 
 
+def test_children_are_new_and_occur():
+    import pandas as pd
+
+    from utilmine.operators.heuristics import Island
+
+    baskets = [{1, 2, 3, 4}, {2, 3, 5}, {1, 5, 6}, {4, 6, 7, 8}]
+    frame = pd.DataFrame([(t, i, 5) for t, x in enumerate(baskets) for i in x], columns=["tid", "item", "u"])
+    island = Island(frame, 1, 4)
+    assert {island.mutate((2, 3)) for _ in range(200)} == {(2,), (3,), (1, 2, 3), (2, 3, 4), (2, 3, 5)}
+    island.utility((2, 3))
+    assert sum(island.diversify((2, 3)) == (2, 3) for _ in range(200)) < 40 and island.diversify((5,)) == (5,)
+    island.colony(300, 10)
+    assert set(island.known) == {c for x in baskets for k in range(1, 5) for c in combinations(sorted(x), k)}
+
+
 def test_windows(spark):
     rows = database(7, 23, 8, 4)
     w, h = 10, 5
