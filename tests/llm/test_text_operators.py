@@ -298,20 +298,39 @@ def test_repeated_lines(spark):
     assert rows == expected
 
 
-def test_reworded_lines(spark):
-    r = random.Random(13)
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def brute_lines(rows, per_words=10, edits=2, min_chars=20, exact_chars=1):
+    """Texts that are left of (id, text) rows in their order."""
+    seen, out = [], []
+    for _, text in rows:
+        kept = []
+        for line in (text or "").split("\n"):
+            w = line.split()
+            near = len(line) >= min_chars and any(
+                len(s) >= min_chars and (edit_distance(w, s.split()) <= max(len(w), len(s.split())) // per_words or abs(len(s) - len(line)) <= edits and edit_distance(s, line) <= edits) for s in seen
+            )
+            if not near and not (len(line) >= exact_chars and line.strip() and line in seen):
+                kept.append(line)
+            seen.append(line)
+        out.append("\n".join(kept))
+    return out
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_reworded_lines(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    r = random.Random(13)
     texts = {}
     for n in (8, 9, 10, 11, 19, 20, 21, 30, 39, 45, 90, 130):
-        base = invent(r, n, 5000)
+        base = invent(r, n, 5000 if n % 2 else 30)
         texts[len(texts)] = " ".join(base)
         for changes in (1, 2, 3, n // 10, n // 10, n // 10 + 1):
             words = list(base)
@@ -320,17 +339,43 @@ def test_reworded_lines(spark):
                 at = min(len(words) - 1, (k + 1) * len(words) // (changes + 1))
                 words[at : at + r.choice([0, 1, 1])] = r.choice([[], ["replacement" + str(r.randint(0, 99))]])
             texts[len(texts)] = " ".join(words)
-    gone = {x["doc_id"] for x in line_dedup.drop_repeated_lines(docs(spark, texts), per_words=10).where("text = ''").collect()}
-    expected = set()
-    for i, t in texts.items():
-        for j in range(i):
-            a, b = t.split(), texts[j].split()
-            if distance(a, b) <= max(len(a), len(b)) // 10 or abs(len(t) - len(texts[j])) <= 2 and distance(t, texts[j]) <= 2:
-                expected.add(i)
-    assert gone == expected and len(expected) > 20
-    for n in range(10, 400):
-        run = next(x for low, x in line_dedup.shortest_runs(10) if n >= low)
-        assert run <= -(-(n - n // 10) // (n // 10 + 1))
+    # few distinct words, hardly any words, white space of other kinds, characters edited in long lines
+    texts |= {200 + i: t for i, t in enumerate(["go " * 30, "go " * 31 + "on", "| " * 12, "| " * 11 + "x", "a b " * 25, "a b " * 24 + "b a", "x" * 60, "x" * 58 + "yz", "one\ttwo  three four five six seven eight nine ten", " ".join(texts[60].split())[:-1] + "##", "x y" * 9])}
+    texts |= {300 + i: texts[70][:40] + str(i) + " " + texts[70][41:] for i in range(8)}
+    left = {x["doc_id"]: x["text"] for x in line_dedup.drop_repeated_lines(docs(spark, texts), per_words=10, exact_chars=1).collect()}
+    expected = dict(zip(sorted(texts), brute_lines([(i, texts[i]) for i in sorted(texts)])))
+    assert left == expected and list(left.values()).count("") > 20
+
+
+def test_first_tokens_meet():
+    """The prefix argument on plain multisets: t edits of words leave a word in common among the first t + 1, two among the first t + 2."""
+    r = random.Random(14)
+
+    def prefix(words, n):
+        return [(k, w) for k in range(1, len(words) + 1) for w in sorted(set(words)) if words.count(w) >= k][:n]
+
+    for _ in range(400):
+        n = r.randint(9, 60)
+        a = [r.randint(0, r.choice([1, 5, 500])) for _ in range(n)]
+        b, edits = list(a), r.randint(0, n // 10)
+        for _ in range(edits):
+            at = r.randrange(len(b))
+            b[at : at + r.randint(0, 1)] = r.choice([[], [r.randint(0, 500)]])
+        if edit_distance(a, b) <= max(len(a), len(b)) // 10:
+            for more in (1, 2):
+                assert len(set(prefix(a, len(a) // 9 + more)) & set(prefix(b, len(b) // 9 + more))) >= more
+
+
+def test_lines_of_repeated_ids_and_clashing_names(spark):
+    line, other = "A line that is long enough to be compared with others", "Quite another line, long enough to be compared as well"
+    rows = [(0, line), (1, line), (1, f"{other}\n{line}"), (1, line), (None, line), (None, other), (2, None), (3, other + "s"), (3, "\n".join(["common"] * 500))]
+    df = spark.createDataFrame([(i, t, "x", 7, "g") for i, t in rows], "doc_id long, text string, __key string, n_lines int, gone string")
+    got = line_dedup.drop_repeated_lines(df, per_words=10, exact_chars=1)
+    assert got.columns == df.columns
+    left = sorted(got.collect(), key=str)
+    assert {(x["doc_id"], x["text"]) for x in left} == {(0, line), (1, ""), (1, other), (None, line), (None, other), (2, None), (3, ""), (3, "common")}
+    assert all((x["__key"], x["n_lines"], x["gone"]) == ("x", 7, "g") for x in left) and len(left) == len(rows)
+    assert line_dedup.drop_repeated_lines(df.where("false"), report=True).count() == 0
 
 
 def test_short_lines_go_if_equal(spark):

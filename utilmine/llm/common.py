@@ -67,13 +67,21 @@ def as_text(column) -> "F.Column":
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-#: Rows of one or two numbers that may be broadcast: 16 MB at most, whatever the corpus size.
-BROADCAST_ROWS = 500_000
+#: Most bytes of a table that is broadcast, as Spark holds it, whatever the corpus size.
+BROADCAST_BYTES = 32 << 20
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a side of ids whose counted size is within the bound; beyond it Spark shuffles."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small_side(df: DataFrame, rows: int, numbers: int = 2) -> DataFrame:
+    """Broadcast a side of counted ``rows`` with so many ``numbers`` in each while it is within the bound; beyond it Spark shuffles."""
+    return F.broadcast(df) if rows * (24 + 8 * numbers) <= BROADCAST_BYTES else df
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken or f"__{name}" in taken:
+        name += "_"
+    return f"__{name}"
 
 
 def components(links: DataFrame) -> DataFrame:

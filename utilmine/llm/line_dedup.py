@@ -5,34 +5,35 @@ A line goes when an earlier one (smaller document id, or a smaller line number o
 Lines are judged on the input, not on what is left. Of lines of fewer than ``min_chars`` characters
 only those of ``exact_chars`` or more go, and only where they equal an earlier line; lines of nothing but white space then stay.
 
-1. Equal lines meet by two 64-bit hashes; all but the first are marked. Only small rows are shuffled.
+Texts are read where they lie: what is shuffled are hashes of lines, keys, and the few lines that have to be compared.
+
+1. Equal lines meet by two 64-bit hashes; all but the first are marked. From here on a line stands for all lines equal to it.
 2. Segment partition: a line of length l is cut into ``edits`` + 1 segments. Of two lines within ``edits`` edits one segment of
    the shorter is a substring of the longer, close to the same place. Each line probes, for each length it can be
    matched with, only the places that can hold the segment (multi-match-aware selection). Keys carry length, segment number and content.
-3. Lines that share a key are verified with a banded bit-parallel edit distance: the 2 * ``edits`` + 1 cells of a column that
-   matter are bits of one number that slides down with each character.
-4. To keep large buckets linear, each line is first compared with the earliest line of its bucket. Only those that have no
-   earlier partner by then meet the others, and only if their letter counts allow it: each edit changes two counts by one at most.
-5. Edits of words: of n words with n // ``per_words`` edits a run stays whole, and is the longer the more words there are. Lines meet
-   by the smallest hash of each window of ``GRAM`` word grams of such a run (winnowing), so no pair is missed. Parities of the words' hash
-   classes rule pairs out; the rest are verified by the edit distance of words, each word standing as one character.
-
-Edge cases: null text is empty and has no lines to lose; a document whose lines all go becomes an empty text; rows that share an id count as
-one document for order and keep the same line numbers; rows with a null id keep all lines; columns other than the two named ones pass through untouched.
+   With ``per_words``, lines of 2 * ``edits`` * ``per_words`` words or more need no such keys: an edit of a character is two edits of words at most.
+3. Edits of words: with t edits, all but t words of either line are in the other. In any order of all words the first t + 1 words
+   of both lines therefore have one in common, and the first t + 2 have two. Long words come first, being rare. A line has a key for each of these
+   words, together with its band of lengths and, where it lies near enough to the lower end of that band, the band below.
+4. Members of a bucket meet in one sorted pass, and parities of the words' hash classes rule pairs out there.
+5. Buckets of more than ``HOT`` lines are not paired. Their lines are compared with the earliest of the bucket; those that have no earlier partner by then
+   meet the others by two words instead of one (or by the segment), again only if the parities allow it.
+6. Pairs are verified with a banded bit-parallel edit distance: the 2 * ``edits`` + 1 cells of a column that matter are bits of one number that slides
+   down with each character; or by the edit distance of words, each word standing as one character.
+
+Edge cases: null text is empty and has no lines to lose; a document whose lines all go becomes an empty text; rows that share an id are
+ordered by the digest of their texts, and rows that agree in both are one document and keep the same lines; rows with a null id keep all lines, which no other
+line is held against; columns other than the two named ones pass through untouched, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from utilmine.llm.common import as_text, materialise, small_side
-
-#: Characters whose counts rule pairs out before they are verified.
-COUNTED = " etaoinsrhldumc."
-#: Words of a gram by which reworded lines meet, and 64-bit numbers of parities that rule their pairs out.
-GRAM, PARITIES = 4, 2
-
+from utilmine.llm.common import as_text, fresh_name, materialise, small_side
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two strings if it is ``edits`` at most, else a larger number.
@@ -106,45 +107,6 @@ def differing_parts(lines: DataFrame, edits: int, a: str = "line", b: str = "lin
     return cut.withColumns({f"part_{c}": F.substring(t, F.col("skip") + 1, F.col(size) - F.col("skip") - F.col("tail")) for c, t, size in (("a", x, "n"), ("b", y, "m"))})
 
 
-def shortest_runs(per_words: int) -> list[tuple[int, int]]:
-    """[(n, run)], n falling: of a pair whose longer line has n words or more, a run of at least so many words has no edit."""
-    out, least = [], per_words
-    for n in range(per_words * per_words, per_words - 1, -1):
-        edits = n // per_words
-        run = min(least, -(-(n - edits) // (edits + 1)))
-        if run < least and out:
-            out[-1] = (n + 1, least)
-        if run < least or not out:
-            out.append((n, run))
-        least = run
-    return [*out[:-1], (0, out[-1][1])]
-
-
-def word_keys(words: Column, per_words: int) -> Column:
-    """Hashes that two arrays of words share if they are within one edit for each ``per_words`` words of the longer one.
-
-    The smallest hash of a window is the smallest of a shorter window in it too, so a line with shorter windows has
-    all the keys that a longer line selects from the same run.
-    """
-    runs = shortest_runs(per_words)
-    window = F.lit(runs[-1][1] - GRAM + 1)
-    for n, run in reversed(runs[:-1]):
-        window = F.when(F.size(words) >= n, run - GRAM + 1).otherwise(window)
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-
-    def let(value: Column, body) -> Column:
-        return F.element_at(F.transform(F.array(value), body), 1)
-
-    def grams(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - GRAM), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(GRAM))))
-
-    def smallest(of: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(of["g"]) - of["w"] + 1))
-        return F.array_distinct(F.transform(places, lambda i: F.array_min(F.slice(of["g"], i, of["w"]))))
-
-    return F.when(F.size(words) >= GRAM, let(F.struct(let(hashes, grams).alias("g"), window.alias("w")), smallest))
-
-
 def word_distance(a: Column, b: Column, most: Column) -> Column:
     """Edit distance of two arrays of words if it is ``most`` at most, else -1: each word becomes the character that its first place in both numbers."""
 
@@ -166,75 +128,215 @@ def _words(line: str) -> Column:
     return F.filter(F.split(F.col(line), r"\s+"), lambda w: w != "")
 
 
-def reworded_lines(lines: DataFrame, per_words: int) -> DataFrame:
-    """(id, at) of the lines that are within one edit of a word for each ``per_words`` words of an earlier line."""
-    place = F.struct("id", "at")
-    keyed = lines.select("id", "at", _words("line").alias("words")).where(F.size("words") >= per_words - 1)
-    keyed = keyed.select("id", "at", F.explode(word_keys(F.col("words"), per_words)).alias("key"))
-    bucket = Window.partitionBy("key")
-    counted = keyed.select("*", F.count("*").over(bucket).alias("n"), F.min(place).over(bucket).alias("first"))
-    shared = materialise(counted.where("n > 1").select("key", "id", "at", "first"), "word-keys")
-    wanted = materialise(shared.select("id", "at").distinct(), "reworded-wanted")
-    texts = lines.join(small_side(wanted, wanted.count()), ["id", "at"], "left_semi").select("id", "at", _words("line").alias("words"))
-
-    def parity(part: int) -> Column:
-        def flip(bits: Column, w: Column) -> Column:
-            place = F.pmod(F.xxhash64(w), F.lit(64 * PARITIES)).cast("int") - 64 * part
-            return F.when(place.between(0, 63), bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))).otherwise(bits)
-
-        return F.aggregate("words", F.lit(0).cast("long"), flip)
-
-    texts = materialise(texts.select("*", F.size("words").alias("n"), *(parity(i).alias(f"p{i}") for i in range(PARITIES))), "reworded-lines")
-    profile = texts.drop("words")
-    other = profile.withColumnsRenamed({c: f"{c}_2" for c in profile.columns})
-    most = F.floor(F.greatest("n", "n_2") / per_words).cast("int")
-    # an edit changes two of all parities at most
-    apart = (F.abs(F.col("n") - F.col("n_2")) <= most) & (sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_2"))) for i in range(PARITIES)), F.lit(0)) <= 2 * most)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of (id, at, id_2, at_2) the (id, at) with one within the threshold."""
-        both = pairs.join(texts.select("id", "at", "n", "words"), ["id", "at"])
-        both = both.join(texts.select(F.col("id").alias("id_2"), F.col("at").alias("at_2"), F.col("n").alias("n_2"), F.col("words").alias("words_2")), ["id_2", "at_2"])
-        return both.where(word_distance(F.col("words"), F.col("words_2"), most) >= 0).select("id", "at").distinct()
-
-    ends = ["id", "at", "id_2", "at_2"]
-    star = shared.where(place != F.col("first")).select("id", "at", F.col("first.id").alias("id_2"), F.col("first.at").alias("at_2")).distinct()
-    star = materialise(star.join(profile, ["id", "at"]).join(other, ["id_2", "at_2"]).where(apart).select(*ends), "word-pairs")
-    near = materialise(verified(star), "reworded")
-    members = shared.select("key", "id", "at").join(profile, ["id", "at"])
-    later = members.join(wanted.join(near, ["id", "at"], "left_anti"), ["id", "at"], "left_semi")
-    earlier = members.select("key", *(F.col(c).alias(f"{c}_2") for c in members.columns if c != "key"))
-    before = (F.col("id_2") < F.col("id")) | ((F.col("id_2") == F.col("id")) & (F.col("at_2") < F.col("at")))
-    rest = later.join(earlier, (later["key"] == earlier["key"]) & before & apart).select(*ends).distinct().join(star, ends, "left_anti")
-    return near.unionByName(verified(materialise(rest, "word-pairs")))
-
-
-def keyed_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(id, at, key, indexes): hashes of a line's own segments, which also are probes, and of the other places to probe."""
-    parts = edits + 1
-    sized = lines.withColumn("size", F.char_length("line"))
-    # segment width and how many segments are one longer, for each length that is probed
-    cuts = {}
-    for shorter in range(parts):
-        cuts |= {f"base{shorter}": F.floor((F.col("size") - shorter) / parts).cast("int"), f"rest{shorter}": ((F.col("size") - shorter) % parts).cast("int")}
-    sized = sized.withColumns(cuts)
-    out = []
+def segment_keys(line: Column, edits: int, min_chars: int) -> Column:
+    """Array of hashes: of a line's own segments, and of the places where it may hold a segment of a line shorter by up to ``edits``."""
+    parts, size, out = edits + 1, F.char_length(line), []
     for shorter in range(parts):
-        length, base, rest = F.col("size") - shorter, F.col(f"base{shorter}"), F.col(f"rest{shorter}")
+        length = size - shorter
+        base, rest = F.floor(length / parts).cast("int"), length % parts
         for i in range(parts):
             width = base + F.when(rest >= parts - i, 1).otherwise(0)
             place = base * i + F.greatest(F.lit(0), rest - (parts - i))
             for off in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                fits = (length >= min_chars) & (place + off >= 0) & (place + off + width <= F.col("size"))
-                key = F.xxhash64(length, F.lit(i), F.substring(F.col("line"), place + off + 1, width))
-                out.append(F.struct(F.when(fits, key).alias("key"), F.lit(shorter == 0 and off == 0).alias("indexes")))
-    return sized.select("id", "at", F.explode(F.array(*out)).alias("k")).select("id", "at", "k.key", "k.indexes").where("key IS NOT NULL")
+                fits = (length >= min_chars) & (place + off >= 0) & (place + off + width <= size)
+                out.append(F.when(fits, F.xxhash64(length, F.lit(i), F.substring(line, place + off + 1, width))))
+    return F.array_compact(F.array(*out))
+
+
+#: Bits of a word's code that hold its hash; above them stands how much shorter than 63 bytes it is.
+HASH_BITS = 57
+
+
+def word_codes(words: Column) -> Column:
+    """A number for each word; long words have the smallest ones."""
+    low = F.lit((1 << HASH_BITS) - 1).cast("long")
+
+    def code(w: Column) -> Column:
+        return F.shiftleft((63 - F.least(F.octet_length(w), F.lit(63))).cast("long"), HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(low))
+
+    return F.transform(words, code)
+
+
+def first_tokens(codes: Column, n: Column) -> Column:
+    """The first ``n`` distinct codes in ascending order; where there are too few, second and further occurrences follow as tokens of their own."""
+    distinct = F.sort_array(F.array_distinct(codes))
+
+    def again(k: Column) -> Column:
+        often = F.filter(distinct, lambda c: F.size(F.filter(codes, lambda x: x == c)) >= k)
+        return F.transform(often, lambda c: F.xxhash64(c, k))
+
+    few = F.concat(distinct, F.flatten(F.transform(F.sequence(F.lit(2), F.size(codes)), again)))
+    return F.slice(F.when(F.size(distinct) >= n, distinct).otherwise(few), 1, n)
+
+
+def length_bands(n: Column, per_words: int) -> Column:
+    """The band of a number of words, and the band of the shortest line that it can be matched with. A band is wider than all of these."""
+    step = log(1 + 3 / per_words)
+
+    def band(x: Column) -> Column:
+        return F.floor(F.log(x) / step).cast("int")
+
+    return F.array_distinct(F.array(band(n), band(n - F.floor(n / per_words))))
+
 
+def word_keys(tokens: Column, bands: Column) -> Column:
+    """A hash for each token in each band."""
+    return F.flatten(F.transform(bands, lambda b: F.transform(tokens, lambda x: F.xxhash64(x, b))))
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+
+#: Lines of so many words or more have parities of 128 classes, others of 64 (into which 128 fold).
+LONG_LINE = 90
+
+
+def parities(codes: Column, n: Column) -> tuple[Column, Column]:
+    """Parities of how many words are in each hash class; an edit of a word changes two of them at most."""
+
+    def bit(c: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+
+    def of(these: Column) -> Column:
+        return F.aggregate(these, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
+
+    def half(which: int) -> Column:
+        return of(F.filter(codes, lambda c: c.bitwiseAND(F.lit(64).cast("long")) == which))
+
+    return F.when(n < LONG_LINE, of(codes)).otherwise(half(0)), F.when(n < LONG_LINE, F.lit(0).cast("long")).otherwise(half(64))
+
+
+def may_match(a: dict[str, Column], b: dict[str, Column], edits: int, per_words: int) -> Column:
+    """Whether numbers of words ``n`` and parities ``p``, ``q`` leave it open that two lines are near."""
+    most = F.floor(F.greatest(a["n"], b["n"]) / per_words) if per_words else F.lit(0)
+    folded = F.bit_count(a["p"].bitwiseXOR(a["q"]).bitwiseXOR(b["p"]).bitwiseXOR(b["q"]))
+    whole = F.bit_count(a["p"].bitwiseXOR(b["p"])) + F.bit_count(a["q"].bitwiseXOR(b["q"]))
+    differ = F.when(F.least(a["n"], b["n"]) < LONG_LINE, folded).otherwise(whole)
+    # an edit of a character takes away or adds three words at most
+    return ((F.abs(a["n"] - b["n"]) <= most) & (differ <= 2 * most)) | ((F.abs(a["n"] - b["n"]) <= edits) & (differ <= 3 * edits))
+
+
+def _words(line: str | Column) -> Column:
+    return F.array_remove(F.split(line, r"\s+"), "")
+
+
+def _profiled(lines: DataFrame) -> DataFrame:
+    """Add codes of the words, their number ``n`` and parities ``p``, ``q``."""
+    coded = lines.withColumn("codes", word_codes(_words("line"))).withColumn("n", F.size("codes"))
+    p, q = parities(F.col("codes"), F.col("n"))
+    return coded.withColumns({"p": p, "q": q})
+
+
+def _reach(n: Column, per_words: int) -> Column:
+    """The most edits of words that a line of ``n`` words can be matched with: the partner may be the longer line."""
+    return F.floor(n / (per_words - 1)).cast("int")
+
+
+#: Lines of a bucket up to which all of them meet.
+HOT = 64
+
+
+def candidates(lines: DataFrame, edits: int, min_chars: int, per_words: int) -> DataFrame:
+    """(key, h1, n, hot, near) of (h1, line): for lines of small buckets the hashes of those they may match, for lines of hot buckets the key.
+
+    Keys of words are odd and carry ``n`` and parities, keys of segments are even and do not.
+    """
+    sized = _profiled(lines)
+    segments = segment_keys(F.col("line"), edits, min_chars)
+    if per_words:
+        segments = F.when(F.col("n") < 2 * edits * per_words, segments).otherwise(F.array().cast("array<bigint>"))
+        words = F.when(F.col("n") >= per_words - 1, word_keys(first_tokens(F.col("codes"), _reach(F.col("n"), per_words) + 1), length_bands(F.col("n"), per_words)))
+    else:
+        words = F.lit(None).cast("array<bigint>")
+    keyed = sized.select("h1", "n", "p", "q", F.coalesce(words, F.array().cast("array<bigint>")).alias("words"), segments.alias("segments"))
+    one = F.lit(1).cast("long")
+    both = F.concat(F.transform("words", lambda k: k.bitwiseOR(one)), F.transform("segments", lambda k: k.bitwiseAND(F.lit(-2).cast("long"))))
+    keyed = keyed.select("h1", "n", "p", "q", F.explode(both).alias("key"))
+    odd = F.col("key").bitwiseAND(one) == 1
+    keyed = keyed.select("key", "h1", *(F.when(odd, F.col(c)).otherwise(0).alias(c) for c in ("n", "p", "q")))
+    bucket = Window.partitionBy("key").orderBy("h1")
+    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shared = keyed.select("*", F.min("h1").over(whole).alias("low"), F.max("h1").over(whole).alias("high")).where("low != high").drop("low", "high")
+    once = shared.withColumn("before", F.lag("h1").over(bucket)).where("before IS NULL OR before != h1").drop("before")
+    met = once.select("*", F.count("*").over(whole).alias("size"), F.collect_list(F.struct("h1", "n", "p", "q")).over(bucket.rowsBetween(1, HOT)).alias("others"))
+    own = {c: F.col(c) for c in ("n", "p", "q")}
+    near = F.filter("others", lambda x: (F.col("n") == 0) | may_match(own, {c: x[c] for c in own}, 0, per_words)) if per_words else F.col("others")
+    met = met.withColumns({"hot": F.col("size") > HOT, "near": F.when(F.col("size") <= HOT, F.transform(near, lambda x: x["h1"]))})
+    return met.where(F.col("hot") | (F.size("near") > 0)).select("key", "h1", "hot", "near")
+
+
+def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int) -> DataFrame:
+    """(id, at) of the lines of (id, at, line) that are near an earlier line but not equal to it, where they come first."""
+    hashed = lines.withColumn("h1", F.xxhash64("line"))
+    met = materialise(candidates(hashed.select("h1", "line"), edits, min_chars, per_words), "line-keys")
+    wanted = materialise(met.select(F.explode(F.concat(F.array("h1"), F.coalesce("near", F.array().cast("array<bigint>")))).alias("h1")).distinct(), "lines-wanted")
+    occurs = hashed.join(small_side(wanted, wanted.count()), "h1", "left_semi").select("h1", F.xxhash64(F.lit(17), "line").alias("h2"), F.struct("id", "at", "line").alias("x"))
+    firsts = occurs.groupBy("h1", "h2").agg(F.min("x").alias("x")).select("h1", "x.id", "x.at", "x.line")
+    firsts = materialise(_profiled(firsts), "lines")
+    texts = firsts.select("id", "at", "n", "line")
+
+    def later(pairs: DataFrame) -> DataFrame:
+        """The (id, at) of the later line of each pair (line, line_2 and so on) that is within the threshold."""
+        close = pairs.where((F.col("id") != F.col("id_2")) | (F.col("at") != F.col("at_2")))
+        fewer = F.abs(F.char_length("line") - F.char_length("line_2")) <= edits
+        if per_words:
+            most = F.floor(F.greatest("n", "n_2") / per_words).cast("int")
+            reworded = (F.abs(F.col("n") - F.col("n_2")) <= most) & (most > 0)
+            close = close.withColumn("near", F.when(reworded, word_distance(_words("line"), _words("line_2"), most) >= 0).otherwise(False))
+            fewer = fewer & ~F.col("near") & (F.greatest("n", "n_2") < 2 * edits * per_words)
+        else:
+            close = close.withColumn("near", F.lit(False))
+        close = differing_parts(close.withColumn("fewer", fewer), edits, b="line_2")
+        edited = F.when(F.col("fewer"), banded_distance(F.col("part_a"), F.col("part_b"), edits) <= edits).otherwise(False)
+        last = F.greatest(F.struct("id", "at"), F.struct(F.col("id_2").alias("id"), F.col("at_2").alias("at")))
+        return close.where(F.col("near") | edited).select(last.alias("last")).select("last.id", "last.at").distinct()
+
+    def other(df: DataFrame) -> DataFrame:
+        return df.withColumnsRenamed({c: f"{c}_2" for c in df.columns if c != "key"})
+
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        return pairs.join(texts, ["id", "at"]).join(other(texts), ["id_2", "at_2"])
+
+    pairs = materialise(met.where("NOT hot").select("h1", F.explode("near").alias("h1_2")).distinct(), "line-pairs")
+    named = firsts.select("h1", "id", "at", "n", "line")
+    found = materialise(later(pairs.join(named, "h1").join(other(named), "h1_2")), "near-lines")
+    hot = met.where("hot").select("key", "h1").join(firsts.select("h1", "id", "at", "n", "p", "q"), "h1").drop("h1")
+    hot = materialise(hot, "hot-lines")
+    if not hot.limit(1).count():
+        return found
+
+    place = F.struct("id", "at", "n", "p", "q")
+    own, their = ({c: F.col(f"{c}{x}") for c in ("n", "p", "q")} for x in ("", "_2"))
+    match = may_match(own, their, edits, per_words)
+    star = hot.join(hot.groupBy("key").agg(F.min(place).alias("x")).select("key", *(F.col(f"x.{c}").alias(f"{c}_2") for c in ("id", "at", "n", "p", "q"))), "key")
+    star = materialise(star.where(match).select("id", "at", "id_2", "at_2").distinct(), "line-pairs")
+    found = materialise(found.unionByName(later(with_texts(star))).distinct(), "near-lines")
+    members = hot
+    if per_words:
+        # two words in common: the first that two lines share is in a hot bucket, the second follows it in both lines
+        tokens = firsts.where(F.col("n") >= per_words - 1).join(hot.select("id", "at").distinct(), ["id", "at"], "left_semi")
+        tokens = tokens.select("id", "at", first_tokens(F.col("codes"), _reach(F.col("n"), per_words) + 2).alias("tokens"), F.explode(length_bands(F.col("n"), per_words)).alias("band"))
+        tokens = tokens.select("id", "at", "tokens", "band", F.posexplode("tokens").alias("i", "token"))
+        tokens = tokens.withColumn("key", F.xxhash64("token", "band").bitwiseOR(F.lit(1).cast("long")))
+        refined = hot.join(tokens, ["key", "id", "at"]).select("id", "at", "n", "p", "q", "key", F.explode(F.slice("tokens", F.col("i") + 2, F.size("tokens"))).alias("second"))
+        refined = refined.select(F.xxhash64("key", "second").alias("key"), "id", "at", "n", "p", "q")
+        members = hot.where(F.col("key").bitwiseAND(F.lit(1).cast("long")) == 0).unionByName(refined)
+    members = materialise(members, "hot-lines")
+    open_ = members.join(found, ["id", "at"], "left_anti")
+    before = (F.col("id_2") < F.col("id")) | ((F.col("id_2") == F.col("id")) & (F.col("at_2") < F.col("at")))
+    rest = open_.join(other(members), "key").where(before & match).select("id", "at", "id_2", "at_2").distinct()
+    rest = materialise(rest.join(star, ["id", "at", "id_2", "at_2"], "left_anti"), "line-pairs")
+    return found.unionByName(later(with_texts(rest)))
+
+
+def _key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells documents apart and orders them: the id, with the digest of the text where ids repeat."""
+    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
+        return F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.md5(as_text(text_col)).alias("digest")))
+    return F.col(id_col)
+
+
+def _lines(docs: DataFrame, key: Column, text_col: str, min_chars: int) -> DataFrame:
     """(id, at, line) of the lines that may go."""
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(as_text(text_col), "\n")).alias("at", "line"))
-    return lines.where(F.char_length("line") >= min_chars)
+    lines = docs.select(key.alias("id"), as_text(text_col).alias("text")).where("id IS NOT NULL")
+    return lines.select("id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.char_length("line") >= min_chars)
 
 
 def blank(text: str) -> Column:
@@ -243,73 +345,40 @@ def blank(text: str) -> Column:
 
 
 def find_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20, per_words: int = 0, exact_chars: int | None = None) -> DataFrame:
-    """(id, gone): the numbers of the lines of each document that repeat an earlier line, for documents that have such lines."""
+    """(id, gone): the numbers of the lines of each document that repeat an earlier line, for documents that have such lines.
+
+    Where ids repeat, ``id`` is a pair of id and digest of the text.
+    """
+    return _repeated(docs, _key(docs, id_col, text_col), text_col, edits, min_chars, per_words, exact_chars)
+
+
+def _repeated(docs: DataFrame, key: Column, text_col: str, edits: int, min_chars: int, per_words: int, exact_chars: int | None) -> DataFrame:
     if not 1 <= edits <= 15 or min_chars <= 2 * edits:
         raise ValueError("edits must be from 1 to 15, and min_chars more than twice that")
     if per_words and per_words < 8:
         raise ValueError("per_words must be 0 or at least 8")
-    place = F.struct("id", "at")
     least = min_chars if exact_chars is None else min(exact_chars, min_chars)
-    able = _lines(docs, id_col, text_col, least)
+    able = _lines(docs, key, text_col, least)
     if least < min_chars:
         able = able.where((F.char_length("line") >= min_chars) | ~blank("line"))
-    hashed = able.select("id", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2"))
+    hashed = materialise(able.select("id", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2")), "line-hashes")
+    place = F.struct("id", "at")
     groups = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = hashed.join(groups, ["h1", "h2"]).where(place != F.col("first"))
-    exact = materialise(again.groupBy("id").agg(F.collect_set("at").alias("gone")), "equal-lines")
-    sized = exact.agg(F.count("*").alias("n"), F.sum(F.size("gone")).alias("m")).first()
-    own = docs.select(F.col(id_col), F.col(text_col)).join(small_side(exact.withColumnRenamed("id", "own_id"), sized["n"] + (sized["m"] or 0)), F.col(id_col) == F.col("own_id"), "left")
-    lines = own.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "gone", F.posexplode(F.split(as_text(text_col), "\n")).alias("at", "line"))
-    lines = lines.where((F.char_length("line") >= min_chars) & ~F.coalesce(F.array_contains("gone", F.col("at")), F.lit(False))).select("id", "at", "line")
-
-    keyed = keyed_lines(lines, edits, min_chars)
-    bucket = Window.partitionBy("key")
-    counted = keyed.select("*", F.count("*").over(bucket).alias("n"), F.max("indexes").over(bucket).alias("indexed"), F.min(place).over(bucket).alias("first"))
-    shared = materialise(counted.where("n > 1 AND indexed").select("key", "id", "at", "indexes", "first"), "line-keys")
-    wanted = materialise(shared.select("id", "at").distinct(), "lines-wanted")
-    texts = materialise(
-        lines.join(small_side(wanted, wanted.count()), ["id", "at"], "left_semi").select("id", "at", "line"), "lines"
-    )
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of (id, at, id2, at2) the ones within the threshold."""
-        left = pairs.join(texts, ["id", "at"])
-        both = left.join(texts.select(F.col("id").alias("id2"), F.col("at").alias("at2"), F.col("line").alias("line2")), ["id2", "at2"])
-        return differing_parts(both, edits).where(banded_distance(F.col("part_a"), F.col("part_b"), edits) <= edits).select("id", "at", "id2", "at2")
-
-    # an edit changes two counts by one at most, so counts that differ more rule a pair out
-    counts = {f"c{i}": F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(c), F.lit(""))) for i, c in enumerate(COUNTED)}
-    profile = materialise(texts.select("id", "at", *(c.alias(n) for n, c in counts.items())), "line-profiles")
-    other = profile.withColumnsRenamed({c: f"{c}_2" for c in profile.columns})
-    apart = sum((F.abs(F.col(c) - F.col(f"{c}_2")) for c in counts), F.lit(0)) <= 2 * edits
-
-    star = shared.where(place != F.col("first")).select("id", "at", F.col("first.id").alias("id_2"), F.col("first.at").alias("at_2")).distinct()
-    star = star.join(profile, ["id", "at"]).join(other, ["id_2", "at_2"]).where(apart)
-    star = materialise(star.select("id", "at", F.col("id_2").alias("id2"), F.col("at_2").alias("at2")), "line-pairs")
-    near = materialise(verified(star).select("id", "at").distinct(), "near-lines")
-
-    unsettled = wanted.join(near, ["id", "at"], "left_anti")
-    members = shared.select("key", "id", "at", "indexes").join(profile, ["id", "at"])
-    later = members.join(unsettled, ["id", "at"], "left_semi")
-    earlier = members.select("key", *(F.col(c).alias(f"{c}_2") for c in members.columns if c != "key"))
-    before = (F.col("id_2") < F.col("id")) | ((F.col("id_2") == F.col("id")) & (F.col("at_2") < F.col("at")))
-    rest = later.join(earlier, (later["key"] == earlier["key"]) & before & (F.col("indexes") | F.col("indexes_2")) & apart)
-    rest = rest.select("id", "at", F.col("id_2").alias("id2"), F.col("at_2").alias("at2")).distinct().join(star, ["id", "at", "id2", "at2"], "left_anti")
-    found = near.unionByName(verified(materialise(rest, "line-pairs")).select("id", "at").distinct())
-    if per_words:
-        found = found.unionByName(reworded_lines(lines, per_words))
-    all_gone = exact.select("id", F.explode("gone").alias("at")).unionByName(found)
-    return materialise(all_gone.groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("gone")), "repeated-lines")
+    again = hashed.join(groups, ["h1", "h2"]).where(place != F.col("first")).select("id", "at")
+    gone = again.unionByName(near_lines(_lines(docs, key, text_col, min_chars), edits, min_chars, per_words))
+    return materialise(gone.groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("gone")), "repeated-lines")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20, report: bool = False, per_words: int = 0, exact_chars: int | None = None) -> DataFrame:
-    """Documents without their repeated lines; ``report`` adds ``n_lines`` and ``n_gone``."""
-    gone = find_repeated_lines(docs, id_col, text_col, edits, min_chars, per_words, exact_chars)
+    """Documents without their repeated lines; ``report`` adds ``n_lines`` and ``n_gone`` (in place of columns of these names)."""
+    key = _key(docs, id_col, text_col)
+    gone = _repeated(docs, key, text_col, edits, min_chars, per_words, exact_chars)
     sized = gone.agg(F.count("*").alias("n"), F.sum(F.size("gone")).alias("m")).first()
-    names = {"id": "__gone_id", "gone": "__gone"}
-    joined = docs.join(small_side(gone.withColumnsRenamed(names), sized["n"] + (sized["m"] or 0)), F.col(id_col) == F.col("__gone_id"), "left")
+    key_name, gone_key, gone_name = (fresh_name(docs, x) for x in ("key", "gone_key", "gone"))
+    gone = small_side(gone.select(F.col("id").alias(gone_key), F.col("gone").alias(gone_name)), sized["n"], 8 + (sized["m"] or 0) // (sized["n"] or 1) // 2)
+    joined = docs.withColumn(key_name, key).join(gone, F.col(key_name) == F.col(gone_key), "left")
     lines = F.split(as_text(text_col), "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)
-    added = {"n_lines": F.size(lines).cast("long"), "n_gone": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")} if report else {}
-    return joined.withColumns({text_col: text, **added}).drop("__gone_id", "__gone")
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone_name, i)), "\n")
+    text = F.when(F.col(gone_name).isNull(), F.col(text_col)).otherwise(left)
+    added = {"n_lines": F.size(lines).cast("long"), "n_gone": F.when(F.col(gone_name).isNull(), 0).otherwise(F.size(gone_name)).cast("long")} if report else {}
+    return joined.withColumns({text_col: text, **added}).drop(key_name, gone_key, gone_name)
