@@ -12,9 +12,10 @@ Texts are read where they lie: what is shuffled are hashes of lines, keys, and t
    the shorter is a substring of the longer, close to the same place. Each line probes, for each length it can be
    matched with, only the places that can hold the segment (multi-match-aware selection). Keys carry length, segment number and content.
    With ``per_words``, lines of 2 * ``edits`` * ``per_words`` words or more need no such keys: an edit of a character is two edits of words at most.
-3. Edits of words: with t edits, all but t words of either line are in the other. In any order of all words the first t + 1 words
+3. Edits of words: with t edits, all but t words of either line are in the other. In any order of all words the first t + 1 distinct words
    of both lines therefore have one in common, and the first t + 2 have two. Long words come first, being rare. A line has a key for each of these
-   words, together with its band of lengths and, where it lies near enough to the lower end of that band, the band below.
+   words, together with its band of lengths and, where it lies near enough to the lower end of that band, the band below. A line with too few
+   distinct words has keys for all of them and for those that occur 2, 4, 8 ... times.
 4. Members of a bucket meet in one sorted pass, and parities of the words' hash classes rule pairs out there.
 5. Buckets of more than ``HOT`` lines are not paired. Their lines are compared with the earliest of the bucket; those that have no earlier partner by then
    meet the others by two words instead of one (or by the segment), again only if the parities allow it.
@@ -158,15 +159,18 @@ def word_codes(words: Column) -> Column:
 
 
 def first_tokens(codes: Column, n: Column) -> Column:
-    """The first ``n`` distinct codes in ascending order; where there are too few, second and further occurrences follow as tokens of their own."""
-    distinct = F.sort_array(F.array_distinct(codes))
-
-    def again(k: Column) -> Column:
-        often = F.filter(distinct, lambda c: F.size(F.filter(codes, lambda x: x == c)) >= k)
-        return F.transform(often, lambda c: F.xxhash64(c, k))
-
-    few = F.concat(distinct, F.flatten(F.transform(F.sequence(F.lit(2), F.size(codes)), again)))
-    return F.slice(F.when(F.size(distinct) >= n, distinct).otherwise(few), 1, n)
+    """The first ``n`` distinct codes in ascending order. Where there are too few, all of them, and a token for each word that occurs 2, 4, 8 ... times."""
+    ordered = F.sort_array(codes)
+    distinct = F.array_distinct(ordered)
+
+    def often(j: Column) -> Column:
+        times = F.call_function("shiftleft", F.lit(1), j)
+        left = F.greatest(F.size(ordered) - times + 1, F.lit(0))
+        same = F.array_compact(F.zip_with(F.slice(ordered, 1, left), F.slice(ordered, times, left), lambda x, y: F.when(x == y, x)))
+        return F.transform(F.array_distinct(same), lambda c: F.xxhash64(c, j))
+
+    few = F.concat(distinct, F.flatten(F.transform(F.sequence(F.lit(1), F.floor(F.log2(F.size(codes) + 1)).cast("int") + 1), often)))
+    return F.when(F.size(distinct) >= n, F.slice(distinct, 1, n)).otherwise(few)
 
 
 def length_bands(n: Column, per_words: int) -> Column:
