@@ -41,7 +41,9 @@ def test_normalised_archives_have_a_member_per_record(spark, tmp_path):
     raw, final = fresh_path(spark, "raw"), fresh_path(spark, "final")
     written = warc.write_monolithic(pages(spark, [(i, f"http://h/{i}", f"text {i}" * 50) for i in range(40)]), raw, max_records=15).cache()
     assert written.count() == 40
-    done = warc.normalise(written.select("archive").distinct(), warc.plan_revisits(written), raw, final).collect()
+    plan = warc.normalise(written.select("archive").distinct(), warc.plan_revisits(written), raw, final)
+    assert plan.rdd.getNumPartitions() == written.select("archive").distinct().count() > 1
+    done = plan.collect()
     fs, root = warc.file_system(final)
     assert sum(x["records"] for x in done) == 40
     for x in done:

@@ -174,16 +174,24 @@ def plan_revisits(written: DataFrame, min_bytes: int = 0) -> DataFrame:
     return again.where(order != F.col("first")).select("archive", "ordinal", F.col("first.page_id").alias("response_id"), F.col("first.archive").alias("response_archive"), F.col("first.ordinal").alias("response_ordinal"))
 
 
+#: Most tasks over archives.
+MAX_TASKS = 100_000
+
+
+def one_task_each(archives: DataFrame) -> DataFrame:
+    """Archives are names to Spark but many megabytes to read, so they are dealt out by number, not by the size of their rows."""
+    return archives.repartition(max(1, min(archives.count(), MAX_TASKS)))
+
+
 def normalise(archives: DataFrame, revisits: DataFrame, folder: str, into: str, level: int = 6) -> DataFrame:
-    """Rewrite each archive with a member per record and a sidecar index; one row per archive.
+    """Rewrite each archive with a member per record and a sidecar index; one row per archive, one task per archive.
 
     ``archives`` has a row per archive; ``revisits`` is what ``plan_revisits`` gives. An archive's
-    revisits go to the task that rewrites it; the writer bounds how many records an archive has.
+    revisits go along with its name; the writer bounds how many records an archive has.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        archive = table.column("archive")[0].as_py()
-        repeat = {o: (p, a, n) for o, p, a, n in zip(*(table.column(c).to_pylist() for c in ("ordinal", "response_id", "response_archive", "response_ordinal"))) if o is not None}
+    def rewrite(archive: str, revisits: list) -> tuple[str, str, int]:
+        repeat = {x["ordinal"]: (x["response_id"], x["response_archive"], x["response_ordinal"]) for x in revisits or ()}
         source_fs, source_root = file_system(folder)
         store, root = file_system(into)
         store.create_dir(root, recursive=True)
@@ -202,10 +210,16 @@ def normalise(archives: DataFrame, revisits: DataFrame, folder: str, into: str,
                 offset += len(member)
         with store.open_output_stream(f"{root}/{name}.idx", compression=None) as index:
             index.write("".join(lines).encode())
-        return pa.table({"archive": [name], "index": [f"{name}.idx"], "records": pa.array([len(lines)], pa.int64())})
+        return name, f"{name}.idx", len(lines)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for archive, again in zip(b.column(0).to_pylist(), b.column(1)):
+                columns = zip(rewrite(archive, again.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["archive", "index", "records"])
 
-    rows = archives.select("archive", F.lit(None).cast("long").alias("ordinal"), F.lit(None).cast("long").alias("response_id"), F.lit(None).cast("string").alias("response_archive"), F.lit(None).cast("long").alias("response_ordinal"))
-    return rows.unionByName(revisits).groupBy("archive").applyInArrow(run, NORMALISED)
+    listed = revisits.groupBy("archive").agg(F.collect_list(F.struct("ordinal", "response_id", "response_archive", "response_ordinal")).alias("revisits"))
+    return one_task_each(materialise(archives.select("archive").join(listed, "archive", "left"), "warc-plan")).mapInArrow(run, NORMALISED)
 
 
 def read_by_index(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
@@ -242,8 +256,7 @@ def read_by_index(archives: DataFrame, folder: str, payloads: bool = False) -> D
                             rows, held = [], 0
                 yield batch(rows)
 
-    few = archives.select("archive")
-    return few.repartition(max(1, min(archives.count(), 4 * archives.sparkSession.sparkContext.defaultParallelism)), "archive").mapInArrow(run, READ)
+    return one_task_each(archives.select("archive")).mapInArrow(run, READ)
 
 
 def round_trip(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", min_bytes: int = 0, payloads: bool = False) -> DataFrame:
