@@ -6,16 +6,19 @@ sequence that still takes this piece" with two integer operations. When a new se
 and all places are taken, the fullest open one closes first. Pieces arrive in look-ahead blocks
 ordered from long to short, which is still online (a block is bounded) and wastes less.
 
-What tasks leave open is packed again: sequences that are not full become items of the next
-round, ``fan_in`` tasks to a group, until one group is left. Only (sequence, length) rows travel.
+What tasks leave open is packed again: these sequences become items of the next round, ``fan_in`` tasks to a group, and
+what a group leaves open goes on, until one group is left. A group holds at most ``open_bins`` open sequences and gets at most
+``fan_in * open_bins`` items, which stream through it. Only (sequence, length) rows travel.
 
 Edge cases: null text is the empty text (one piece, the end token); a document longer than
-``capacity`` is cut into full pieces, the first one takes the remainder; repeated rows are packed
-once per row; an empty table gives an empty result; other columns are ignored.
+``capacity`` is cut into full pieces, the first one takes the remainder; the tokenizer's added tokens are found in texts
+as the tokenizer finds them; repeated rows are packed once per row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -54,7 +57,7 @@ class Encoder:
     follows other characters, so a text in which no space is followed by more white space is the
     concatenation of its space-separated words. Words are looked up in a bounded cache; the ones
     a block of texts misses are encoded together, and the tokens that begin with a space tell
-    them apart. Other texts are encoded whole.
+    them apart. Other texts, and texts with an added token, are encoded whole.
     """
 
     LIMIT = 500_000
@@ -65,11 +68,17 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        added = json.loads(tokenizer.to_str())["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that depend on what stands beside them are not supported")
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        self.find_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
         alphabet = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        ranks = {bytes(alphabet[c] for c in token): i for token, i in vocabulary.items() if token != "<|endoftext|>"}
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in vocabulary.items() if token not in self.added}
         self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.begins = np.zeros(max(ranks.values()) + 1, dtype=bool)
         self.begins[[i for t, i in ranks.items() if t[:1] == b" "]] = True
@@ -81,8 +90,14 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def has_added(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
     def whole(self, text: str) -> bytes:
-        return array("I", self.bpe.encode_ordinary(text)).tobytes()
+        """Ids of a text encoded by itself; added tokens cut it into parts that know nothing of each other."""
+        if not self.has_added(text):
+            return array("I", self.bpe.encode_ordinary(text)).tobytes()
+        return b"".join(self.added.get(part) or array("I", self.bpe.encode_ordinary(part)).tobytes() for part in self.find_added.split(text) if part)
 
     def learn(self, missing: set[str]) -> None:
         import numpy as np
@@ -114,7 +129,7 @@ class Encoder:
         yield from self._block(held)
 
     def _block(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if any(x in t for x in (_AFTER_SPACE_ASCII if t.isascii() else _AFTER_SPACE)) else t.split(" ") for t in texts]
+        split = [None if self.has_added(t) or any(x in t for x in (_AFTER_SPACE_ASCII if t.isascii() else _AFTER_SPACE)) else t.split(" ") for t in texts]
         known = self.words
         missing = {w for words in split if words for w in words[1:] if w not in known}
         if missing:
@@ -224,27 +239,43 @@ def _tokenise_and_pack(path: str, capacity: int, open_bins: int, look_ahead: int
 
 
 def _merge_open(capacity: int, open_bins: int):
-    """Pack the sequences that tasks left open, one group at a time."""
+    """Pack the sequences that tasks left open: (group, sequence, fill), group by group, from full to empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, ids, size, group = None, [], [], None
+        bins, group, first = OpenBins(capacity, open_bins), None, {}
+
+        def batch(rows, is_open):
+            cols = list(zip(*rows)) if rows else [()] * 5
+            arrays = [pa.array(c, type=pa.int64()) for c in cols] + [pa.array([is_open] * len(rows), type=pa.bool_())]
+            return pa.RecordBatch.from_arrays(arrays, names=["sequence_id", "into", "shift", "g", "fill", "is_open"])
+
+        def left():
+            """A row for each sequence that is still open, which stands for all that went into it."""
+            return batch([(None, first[n], None, group, capacity - free) for n, free in bins.still_open().items()], True)
+
         for b in batches:
-            for g, s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ids.append((g, s)), size.append(n)
-        order = sorted(range(len(ids)), key=lambda i: (ids[i][0], -size[i], ids[i][1]))
-        out, first = [], {}
-        for i in order:
-            g, s = ids[i]
-            if g != group:
-                group, bins, first = g, OpenBins(capacity, open_bins), {}
-            number, offset = bins.place(size[i])
-            out.append((s, first.setdefault(number, s), offset))
-        cols = list(zip(*out)) if out else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["sequence_id", "into", "shift"])
+            rows = []
+            for g, s, fill in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if g != group:
+                    if rows:
+                        yield batch(rows, False)
+                        rows = []
+                    yield left()
+                    bins, group, first = OpenBins(capacity, open_bins), g, {}
+                number, offset = bins.place(fill)
+                rows.append((s, first.setdefault(number, s), offset, g, None))
+            if len(first) > 4 * open_bins:
+                open_now = bins.still_open()
+                first = {n: s for n, s in first.items() if n in open_now}
+            yield batch(rows, False)
+        yield left()
 
     return run
 
 
+MERGED = "sequence_id long, into long, shift long, g long, fill long, is_open boolean"
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -257,8 +288,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence.
 
-    ``open_bins`` and ``look_ahead`` bound a task's memory; ``fan_in`` bounds what a group of the
-    second step holds (``fan_in * open_bins`` rows of two numbers).
+    ``open_bins`` and ``look_ahead`` bound a task's memory; ``fan_in`` bounds how many rows of two numbers
+    a group of a later round gets (``fan_in * open_bins``).
     """
     spark = docs.sparkSession
     source = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
@@ -269,17 +300,18 @@ def pack(
     moved, tasks = None, (left.agg(F.max("task")).first()[0] or 0) + 1
     while True:
         groups = -(-tasks // fan_in)
-        grouped = left.select(F.expr(f"task div {fan_in}").alias("g"), "sequence_id", "fill").repartition(max(1, min(groups, 4096)), "g")
-        step = materialise(grouped.mapInArrow(_merge_open(capacity, open_bins), "sequence_id long, into long, shift long"), "merge")
+        dealt = left.select(F.expr(f"task div {fan_in}").alias("g"), "sequence_id", "fill").repartition(max(1, min(groups, 4096)), "g")
+        step = dealt.sortWithinPartitions("g", F.desc("fill"), "sequence_id").mapInArrow(_merge_open(capacity, open_bins), MERGED)
+        step = materialise(step, "merge")
+        placed = step.where("NOT is_open").select("sequence_id", "into", "shift")
         if moved is None:
-            moved = step
+            moved = placed
         else:
-            later = step.select(F.col("sequence_id").alias("into"), F.col("into").alias("into2"), F.col("shift").alias("shift2"))
+            later = placed.select(F.col("sequence_id").alias("into"), F.col("into").alias("into2"), F.col("shift").alias("shift2"))
             moved = moved.join(later, "into", "left").select("sequence_id", F.coalesce("into2", "into").alias("into"), (F.col("shift") + F.coalesce("shift2", F.lit(0))).alias("shift"))
         if groups == 1:
             break
-        sized = left.join(step, "sequence_id").groupBy("into").agg(F.sum("fill").alias("fill"), F.min("task").alias("task"))
-        left = materialise(sized.where(F.col("fill") < capacity).select(F.col("into").alias("sequence_id"), "fill", F.expr(f"task div {fan_in}").alias("task")), "open")
+        left = step.where("is_open").select(F.col("into").alias("sequence_id"), "fill", F.col("g").alias("task"))
         tasks = groups
     return pieces.join(moved, "sequence_id", "left").select(
         "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("into", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")
