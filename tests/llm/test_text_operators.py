@@ -26,20 +26,19 @@ def invent(r, n, vocabulary=300):
 
 # packing
 
-ODD = ["", "a  b", " x", "x ", "a \n b\n\tc", "it's  don't", "é漢字 <|endoftext|>", "\n \n", "a\xa0 b 　c", "1 22 333", "tab\t tab"]
+ODD = ["", "a  b", " x", "x ", "a \n b\n\tc", "it's  don't", "é漢字 <|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", "x<|endoftext|>  y", "it<|endoftext|>'s", "\n \n", "a\xa0 b 　c", "1 22 333", "tab\t tab"]
 
 
 def reference_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids
 
 
 def test_encoder_is_exact():
     r = random.Random(4)
-    texts = ODD + ["".join(r.choice([" ", "\n", "a", "b", "é", "1", ".", "'s", "\t", "\xa0", "  ", "漢"]) for _ in range(r.randint(0, 25))) for _ in range(150)]
+    texts = ODD + ["".join(r.choice([" ", "\n", "a", "b", "é", "1", ".", "'s", "\t", "\xa0", "  ", "漢", *["<|endoftext|>"] * (k % 3 == 0)]) for _ in range(r.randint(0, 25))) for k in range(150)]
     got = packing.Encoder.of(packing.default_tokenizer()).encode_all(texts, block=40)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [reference_ids(t) for t in texts]
 
@@ -69,6 +68,24 @@ def test_packing_places_every_token_once(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_groups_pass_on_only_what_they_leave_open(monkeypatch):
+    """Ten groups of ten sequences with two open bins: rows of open sequences are two a group, the others are final."""
+    import pyarrow as pa
+
+    r = random.Random(15)
+    rows = [(g, 100 * g + i, n) for g in range(10) for i, n in enumerate(sorted((r.randint(1, 9) for _ in range(10)), reverse=True))]
+    table = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["g", "sequence_id", "fill"])
+    out = [x for b in packing._merge_open(10, 2)(iter([table.slice(0, 37), table.slice(37)])) for x in b.to_pylist()]
+    placed, left = [x for x in out if not x["is_open"]], [x for x in out if x["is_open"]]
+    assert sorted(x["sequence_id"] for x in placed) == sorted(s for _, s, _ in rows)
+    fill, size = defaultdict(int), {s: n for _, s, n in rows}
+    for x in sorted(placed, key=lambda x: x["shift"]):
+        assert x["into"] // 100 == x["sequence_id"] // 100 and x["shift"] == fill[x["into"]]
+        fill[x["into"]] += size[x["sequence_id"]]
+    assert max(fill.values()) <= 10 and all(fill[x["into"]] == x["fill"] < 10 for x in left)
+    assert len(left) <= 20 and {x["g"] for x in left} <= set(range(10))
+
+
 def test_fullest_bin_closes_first():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (6, 7, 8)] == [(0, 0), (1, 0), (2, 0)]
@@ -106,6 +123,19 @@ def test_contamination(spark, block):
         assert got == brute_hits(texts[x["doc_id"]], items)
 
 
+def test_contamination_with_clashing_names_and_null_ids(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    rows = [(1, f"before {item} after " + "z " * 40, 5, "h", 9), (1, f"before {item} after " + "z " * 40, 5, "h", 9), (None, "w " * 100_000 + item, 6, "i", 8), (2, None, 7, "j", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words int, hit_spans string, Hit_Items int")
+    items = spark.createDataFrame([(None, item), (4, item), (5, None)], "item_id long, text string")
+    got = sorted(((x["doc_id"] or 0, x["n_words"], x["hit_items"], len(x["hit_spans"])) for x in decontaminate.find_contamination(df, items).collect()), key=str)
+    assert got == [(0, 100_012, ["4"], 1), (1, 54, ["4"], 1), (1, 54, ["4"], 1), (2, 0, [], 0)]
+    cleaned = decontaminate.clean(df, items)
+    assert cleaned.columns == df.columns
+    assert sorted((x["doc_id"] or 0, len((x["text"] or "").split()), x["n_words"], x["hit_spans"], x["Hit_Items"]) for x in cleaned.collect()) == [(0, 100_000, 6, "i", 8), (1, 42, 5, "h", 9), (1, 42, 5, "h", 9), (2, 0, 7, "j", 7)]
+    assert decontaminate.clean(df, items, min_span=13).where("doc_id = 1").first()["text"] == rows[0][1]
+
+
 def test_cleaning_cuts_spans_and_keeps_the_rest(spark):
     item = " ".join(f"q{i}" for i in range(15))
     texts = {1: "Before it. " + item + "; after it.", 2: "Nothing  here.\n", 3: item, 4: None}
@@ -348,11 +378,12 @@ def test_reworded_lines(spark, monkeypatch, hot):
 
 
 def test_first_tokens_meet():
-    """The prefix argument on plain multisets: t edits of words leave a word in common among the first t + 1, two among the first t + 2."""
+    """The prefix argument on plain lists: t edits of words leave a token in common among the first t + 1, two among the first t + 2."""
     r = random.Random(14)
 
     def prefix(words, n):
-        return [(k, w) for k in range(1, len(words) + 1) for w in sorted(set(words)) if words.count(w) >= k][:n]
+        distinct = [(0, w) for w in sorted(set(words))]
+        return distinct[:n] if len(distinct) >= n else distinct + [(j, w) for j in range(1, 9) for w in sorted(set(words)) if words.count(w) >= 1 << j]
 
     for _ in range(400):
         n = r.randint(9, 60)

@@ -21,11 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one is set only where the session names none (tests)."""
-    where = spark.conf.get(_UNSET, None)
-    if not where:
-        where = spark.conf.get("utilmine.shared.dir", None)
+    """The shared folder. Only a session on one machine (tests) may leave it unset, and gets a temporary one."""
+    where = spark.conf.get(_UNSET, None) or spark.conf.get("utilmine.shared.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_UNSET} must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="utilmine-")
         spark.conf.set("utilmine.shared.dir", where)
     return where.rstrip("/") if "://" in where or not where.startswith("/") else "file://" + where.rstrip("/")
@@ -44,7 +44,15 @@ def materialise(df: DataFrame, what: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._utilmine_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these tables, once nothing that is still to run reads them."""
+    for df in tables:
+        remove_path(df.sparkSession, df._utilmine_path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -56,7 +64,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Deal rows out evenly where the input has fewer splits than the cluster has cores.
 
-    Large inputs keep their splits, so nothing is shuffled there.
+    Large inputs keep their splits, so nothing is shuffled there. Counting the splits plans ``df``: call it on scans, not above joins.
     """
     least = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(least) if df.rdd.getNumPartitions() < least else df
@@ -93,6 +101,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "links")
     label = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
+    held = label
     while True:
         spread_labels = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
         lower = label.join(spread_labels, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("seen", "component")).alias("component"))
@@ -100,8 +109,10 @@ def components(links: DataFrame) -> DataFrame:
         step = lower.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
         step = materialise(step, "labels")
         changed = step.where("old != component").limit(1).count()
-        label = step.select("node", "component")
+        release(held)
+        label, held = step.select("node", "component"), step
         if not changed:
+            release(both)
             return label
 
 

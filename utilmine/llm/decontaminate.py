@@ -6,18 +6,21 @@ Training tokens stream through it and the length of the longest match that ends
 tracked. A window is ``window`` consecutive words of an item, or the whole item if it is shorter.
 A word inside an occurrence of any window is hit.
 
-Items are taken in blocks of at most ``block_bytes`` of text, one automaton each, so what is
-broadcast has a fixed bound; documents pass through the blocks one after the other and carry what
-was hit so far. Within a document only stretches whose word pairs all occur in the block are walked.
-
-Edge cases: null and word-free texts have no words and no hits; items without words are ignored;
-repeated item ids and repeated texts count once per id; no items at all leaves every document as it is;
-columns of the input other than the named ones pass through untouched.
+Items are taken in blocks of at most ``block_bytes`` of text, one automaton each. The driver holds one block at a time and
+broadcasts its automaton, packed; a task unpacks one after the other (a single one stays) and runs a batch of documents
+through each, so the corpus is read and split into words once. Within a document only stretches whose word pairs all occur in the block are walked.
+
+Edge cases: null and word-free texts have no words and no hits; items without words are ignored; items with a null id
+are found and cut out like others but not named; repeated item ids and repeated texts count once per id; no items at all leaves every
+document as it is; documents with repeated or null ids are judged row by row. Columns of the input pass through untouched, but for
+``find_contamination``, whose three columns take the place of columns of the same names.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utilmine.llm.common import spread
+from utilmine.llm.common import fresh_name, spread
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _SEPARATORS = bytes((32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b) for b in range(256))
@@ -183,43 +186,50 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield held
 
 
+def _scanned(docs: DataFrame, items: DataFrame, names: list[str], text_col: str, item_id: str, item_text: str, window: int, block_bytes: int) -> DataFrame:
+    """``docs`` with three more columns of the given names: words, disjoint spans that are hit, ids of the items."""
+    spark = docs.sparkSession
+    packed = [spark.sparkContext.broadcast(zlib.compress(pickle.dumps(SuffixAutomaton(block, window)), 1)) for block in item_blocks(items, item_id, item_text, block_bytes)]
+    source = spread(docs)
+    kinds = dict(zip(names, ("long", "array<struct<from:int,to:int>>", "array<string>")))
+    schema = source.withColumns({n: F.lit(None).cast(k) for n, k in kinds.items()}).schema
+    at = source.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = pickle.loads(zlib.decompress(packed[0].value)) if len(packed) == 1 else None
+        for b in batches:
+            words = [words_of(text.as_py() or "") for text in b.column(at)]
+            spans, found = [[] for _ in words], [set() for _ in words]
+            for block in packed:
+                automaton = kept or pickle.loads(zlib.decompress(block.value))
+                for k, w in enumerate(words):
+                    more, ids = automaton.scan(w)
+                    spans[k] += more
+                    found[k] |= ids
+            covered = [[{"from": x, "to": y} for x, y in _covered(s)] for s in spans]
+            named = [sorted(x for x in f if x is not None) for f in found]
+            columns = [*b.columns, pa.array([len(w) for w in words], pa.int64()), pa.array(covered, SPANS), pa.array(named, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *names])
+
+    return source.mapInArrow(run, schema)
+
+
+FOUND = ["n_words", "hit_spans", "hit_items"]
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """Add ``n_words`` long, ``hit_spans`` (disjoint word ranges) and ``hit_items`` (sorted ids as strings)."""
-    spark = docs.sparkSession
-    blocks = item_blocks(items, item_id, item_text, block_bytes)
-    out = spread(docs).withColumns({"n_words": F.lit(None).cast("long"), "hit_spans": F.lit(None).cast("array<struct<from:int,to:int>>"), "hit_items": F.lit(None).cast("array<string>")})
-    schema = out.schema
-    at = out.columns.index(text_col)
-    for block in [*blocks] or [[]]:
-        automaton = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-
-        def run(batches: Iterator[pa.RecordBatch], automaton=automaton) -> Iterator[pa.RecordBatch]:
-            sam = automaton.value
-            for b in batches:
-                n, spans, found = [], [], []
-                before_spans, before_items = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-                for text, s, f in zip(b.column(at), before_spans, before_items):
-                    words = words_of(text.as_py() or "")
-                    more, names = sam.scan(words)
-                    n.append(len(words))
-                    old = [(x["from"], x["to"]) for x in s or []]
-                    spans.append([{"from": x, "to": y} for x, y in _covered(old + more)])
-                    found.append(sorted({*(f or []), *names}))
-                columns = [*b.columns[:-3], pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
-
-        out = out.mapInArrow(run, schema)
-    return out
-
-
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, min_span: int = 10, max_coverage: float = 0.8, **options) -> DataFrame:
+    return _scanned(docs.drop(*(c for c in docs.columns if c.lower() in FOUND)), items, FOUND, text_col, item_id, item_text, window, block_bytes)
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, min_span: int = 1, max_coverage: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """Texts without contaminated spans.
 
     A document whose hit words are more than ``max_coverage`` of its words goes; in others every
-    hit span is cut out of the text. Spans shorter than ``min_span`` words count only when they are
-    whole items, which ``find_contamination`` reports; texts without hits stay as they are, byte for byte.
+    hit span of ``min_span`` words or more is cut out of the text. Spans of fewer than ``window`` words are
+    whole items. Texts without hits stay as they are, byte for byte.
     """
-    found = find_contamination(docs, items, text_col, item_id, item_text, window, **options)
+    found = _scanned(docs, items, [fresh_name(docs, x) for x in FOUND], text_col, item_id, item_text, window, block_bytes)
     schema, at = docs.schema, docs.columns.index(text_col)
     wide = len(docs.columns)
 
@@ -230,8 +240,9 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
                 hit = sum(s["to"] - s["from"] for s in spans)
                 keep.append(not n or hit <= max_coverage * n)
                 text = text.as_py()
-                if spans and keep[-1]:
-                    text = without_spans(text, [(s["from"], s["to"]) for s in spans])
+                cut = [(s["from"], s["to"]) for s in spans if s["to"] - s["from"] >= min_span]
+                if cut and keep[-1]:
+                    text = without_spans(text, cut)
                 texts.append(text)
             columns = list(b.columns[:wide])
             columns[at] = pa.array(texts, b.schema.field(at).type)
