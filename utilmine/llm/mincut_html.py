@@ -11,8 +11,9 @@ exactly (no cut can gain by flipping them) and their edges turn into terminal ca
 neighbours; only what is left goes through augmenting paths.
 
 Edge cases: null or empty html, and pages without text, give an empty text; unclosed and stray tags and
-truncated pages are read as far as they go; character references are decoded once; scripts, styles, templates and
-comments are never text. Whole pages are read, whatever their length.
+truncated pages are read as far as they go; a tag with an unclosed quote ends at its first ">"; a head left open ends where the body's elements begin;
+character references are decoded once; scripts, styles, templates and comments are never text. Whole pages are read, whatever their length.
+Repeated rows and ids are read row by row; a null id stays null; columns other than the three named ones are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template svg math iframe object canvas video audio textarea noframes xmp".split())
-HIDDEN_TAGS = frozenset("head title".split())
+RAW_TAGS = frozenset("script style noscript iframe textarea noframes xmp title".split())
+HIDDEN_TAGS = frozenset("head template svg object canvas video audio datalist".split())
+HEAD_TAGS = frozenset("base basefont bgsound link meta noscript script style template title".split())
 P_CLOSERS = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu select button dialog fieldset option search label".split())
 CONTENT_TAGS = frozenset("article main".split())
@@ -46,7 +48,8 @@ BOILERPLATE_NAMES = re.compile(
 CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|content|post|entry|story|main|body|text|prose|page)(?=$|[\s_-])", re.I)
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+# an attribute's value in quotes goes on to the closing quote; without one, a tag ends at its first ">" rather than with the page
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*(?=>)|[^>]*)(?:>|\Z)|[^<]+|<", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _RAW_END: dict[str, re.Pattern] = {t: re.compile(rf"</{t}\s*(?:>|\Z)", re.I) for t in RAW_TAGS}
 _ENDS = (".", "!", "?", "…", "”", '"', "»", "。", ":")
@@ -119,6 +122,14 @@ def blocks_of(html: str) -> list[Block]:
                     state["linked"] += len(token)
             continue
         tag = tag.lower()
+        if tag not in HEAD_TAGS and tag not in ("html", "head") and not m.group(1) and len(stack) > 1:
+            # a head may be left open: whatever cannot stand in it closes it
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == "head":
+                    del stack[i:]
+                    break
+                if stack[i].tag in BLOCK_TAGS or stack[i].tag in HIDDEN_TAGS:
+                    break
         if m.group(1):
             if tag == "a":
                 state["link"] = 0
@@ -144,11 +155,10 @@ def blocks_of(html: str) -> list[Block]:
                     if stack[i].tag in BLOCK_TAGS:
                         break
         if tag in RAW_TAGS:
-            if not m.group(3).rstrip().endswith("/") or tag not in ("svg", "math"):
-                close = _RAW_END[tag].search(html, at)
-                at = close.end() if close else end
+            close = _RAW_END[tag].search(html, at)
+            at = close.end() if close else end
             continue
-        if tag in VOID_TAGS:
+        if tag in VOID_TAGS or tag in ("svg", "math") and m.group(3).rstrip().endswith("/"):
             if tag in ("br", "hr", "img", "input"):
                 parts.append(" ")
             continue
@@ -163,11 +173,12 @@ def blocks_of(html: str) -> list[Block]:
 def costs(block: Block) -> tuple[float, float]:
     """(cost of the label content, cost of the label boilerplate): negative log-odds style, from structure and text.
 
-    The weights are parameters of a logistic model, fixed by hand for want of labelled pages.
+    The weights are parameters of a logistic model. Marks of boilerplate decide by themselves; where there are no marks, a block's text is weak
+    evidence (a short sentence may be a paragraph or an advert), so that what stands around it decides by the cut.
     """
     words = block.text.count(" ") + 1
-    z = 0.3 + min(words, 60) / 20.0 - 4.0 * block.linked
-    z += 1.0 if block.text.endswith(_ENDS) else -0.5
+    z = -0.6 + min(words, 40) / 12.0 - 4.0 * block.linked
+    z += 0.3 if block.text.endswith(_ENDS) else -0.15
     z += 3.5 * min(block.good, 2) - 9.0 * min(block.bad, 2)
     if block.head:
         z += 1.0
@@ -184,8 +195,8 @@ def _softplus(x: float) -> float:
     return x + log1p(exp(-x)) if x > 0 else log1p(exp(x))
 
 
-def edges_of(blocks: list[Block], smooth: float = 0.9) -> list[tuple[int, int, float]]:
-    """Smoothness edges: page neighbours, and consecutive blocks with the same parent further apart."""
+def edges_of(blocks: list[Block], smooth: float = 3.0) -> list[tuple[int, int, float]]:
+    """Smoothness edges: page neighbours, the weaker the more steps apart they are in the DOM, and consecutive blocks with the same parent."""
     out = []
     last: dict[tuple, int] = {}
     for i, b in enumerate(blocks):
@@ -198,10 +209,10 @@ def edges_of(blocks: list[Block], smooth: float = 0.9) -> list[tuple[int, int, f
                     break
                 shared += 1
             far = len(a.path) + len(b.path) - 2 * shared
-            out.append((i - 1, i, smooth / (1.0 + far)))
+            out.append((i - 1, i, smooth * 2.0 ** (-1 if far <= 2 else 1 - min(far, 60))))
         j = last.get(parent)
         if j is not None and j < i - 1:
-            out.append((j, i, smooth / 3.0))
+            out.append((j, i, smooth / 2))
         last[parent] = i
     return out
 
@@ -293,7 +304,7 @@ def _flow(nodes: list[int], gain: list[float], edges: list[tuple[int, int, float
                 break
 
 
-def extract_text(html: str | None, smooth: float = 0.9) -> str:
+def extract_text(html: str | None, smooth: float = 3.0) -> str:
     """The main text of a page: content blocks in page order, one per line."""
     blocks = blocks_of(html or "")
     if not blocks:
@@ -304,7 +315,7 @@ def extract_text(html: str | None, smooth: float = 0.9) -> str:
     return "\n".join(b.text for b, k in zip(blocks, kept) if k)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", smooth: float = 0.9) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", smooth: float = 3.0) -> DataFrame:
     """(page_id, url, text, n_chars) for every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
