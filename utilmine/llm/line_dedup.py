@@ -108,10 +108,17 @@ def differing_parts(lines: DataFrame, edits: int, a: str = "line", b: str = "lin
     return cut.withColumns({f"part_{c}": F.substring(t, F.col("skip") + 1, F.col(size) - F.col("skip") - F.col("tail")) for c, t, size in (("a", x, "n"), ("b", y, "m"))})
 
 
+def spelled(words: Column) -> Column:
+    """A text with one character for each word, which a hash of 20 bits chooses."""
+    low = F.lit((1 << 20) - 1).cast("long")
+    codes = F.transform(words, lambda w: F.lpad(F.hex(F.xxhash64(w).bitwiseAND(low) + 0x10000), 8, "0"))
+    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
+
+
 def word_distance(a: Column, b: Column, most: Column) -> Column:
     """Edit distance of two arrays of words if it is ``most`` at most, else -1: each word becomes the character that its first place in both numbers."""
 
-    def spelled(of: Column, words: Column) -> Column:
+    def numbered(of: Column, words: Column) -> Column:
         def code(w: Column) -> Column:
             n = F.array_position(of["all"], w) + 31
             return F.lpad(F.hex(n + F.when(n >= 0xD800, 0x800).otherwise(0)), 8, "0")
@@ -119,63 +126,55 @@ def word_distance(a: Column, b: Column, most: Column) -> Column:
         return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-32")
 
     def distance(of: Column) -> Column:
-        return F.call_function("levenshtein", spelled(of, of["a"]), spelled(of, of["b"]), of["most"])
+        return F.call_function("levenshtein", numbered(of, of["a"]), numbered(of, of["b"]), of["most"])
 
     of = F.struct(F.array_union(a, b).alias("all"), a.alias("a"), b.alias("b"), most.cast("int").alias("most"))
     return F.element_at(F.transform(F.array(of), distance), 1)
 
 
-def _words(line: str) -> Column:
-    return F.filter(F.split(F.col(line), r"\s+"), lambda w: w != "")
-
-
-def segment_keys(line: Column, edits: int, min_chars: int) -> Column:
-    """Array of hashes: of a line's own segments, and of the places where it may hold a segment of a line shorter by up to ``edits``."""
-    parts, size, out = edits + 1, F.char_length(line), []
+def with_segment_keys(lines: DataFrame, edits: int, min_chars: int, wanted: Column) -> DataFrame:
+    """Add ``segments``: even hashes of a line's own segments, and of the places where it may hold a segment of a line shorter by up to ``edits``; null unless ``wanted``."""
+    parts, cuts, out = edits + 1, {}, []
+    # segment width and how many segments are one longer, for each length that is probed
     for shorter in range(parts):
-        length = size - shorter
-        base, rest = F.floor(length / parts).cast("int"), length % parts
+        cuts |= {f"base{shorter}": F.floor((F.col("size") - shorter) / parts).cast("int"), f"rest{shorter}": (F.col("size") - shorter) % parts}
+    for shorter in range(parts):
+        length, base, rest = F.col("size") - shorter, F.col(f"base{shorter}"), F.col(f"rest{shorter}")
         for i in range(parts):
             width = base + F.when(rest >= parts - i, 1).otherwise(0)
             place = base * i + F.greatest(F.lit(0), rest - (parts - i))
             for off in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                fits = (length >= min_chars) & (place + off >= 0) & (place + off + width <= size)
-                out.append(F.when(fits, F.xxhash64(length, F.lit(i), F.substring(line, place + off + 1, width))))
-    return F.array_compact(F.array(*out))
-
-
-#: Bits of a word's code that hold its hash; above them stands how much shorter than 63 bytes it is.
-HASH_BITS = 57
+                fits = (length >= min_chars) & (place + off >= 0) & (place + off + width <= F.col("size"))
+                out.append(F.when(fits, F.xxhash64(length, F.lit(i), F.substring(F.col("line"), place + off + 1, width))))
+    sized = lines.withColumn("size", F.char_length("line")).withColumns(cuts)
+    even = F.lit(-2).cast("long")
+    # inside transform: spelled out in one compiled method, so many keys would be too long a method for the JVM to optimise
+    return sized.withColumn("segments", F.when(wanted, F.transform(F.array(*out), lambda k: k.bitwiseAND(even)))).drop("size", *cuts)
 
 
 def word_codes(words: Column) -> Column:
-    """A number for each word; long words have the smallest ones."""
-    low = F.lit((1 << HASH_BITS) - 1).cast("long")
-
-    def code(w: Column) -> Column:
-        return F.shiftleft((63 - F.least(F.octet_length(w), F.lit(63))).cast("long"), HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(low))
+    """A number for each word. Each byte of a word halves it, so long words, which are rare, tend to have the smallest ones."""
+    return F.transform(words, lambda w: F.call_function("shiftrightunsigned", F.xxhash64(w), F.least(F.octet_length(w), F.lit(40))))
 
-    return F.transform(words, code)
 
-
-def first_tokens(codes: Column, n: Column) -> Column:
-    """The first ``n`` distinct codes in ascending order. Where there are too few, all of them, and a token for each word that occurs 2, 4, 8 ... times."""
-    ordered = F.sort_array(codes)
-    distinct = F.array_distinct(ordered)
+def with_first_tokens(lines: DataFrame, n: Column) -> DataFrame:
+    """Add ``tokens``: the first ``n`` distinct codes in ascending order. Where there are too few, all of them, and a token for each word that occurs 2, 4, 8 ... times."""
+    codes, distinct = F.col("codes"), F.col("tokens")
 
     def often(j: Column) -> Column:
         times = F.call_function("shiftleft", F.lit(1), j)
-        left = F.greatest(F.size(ordered) - times + 1, F.lit(0))
-        same = F.array_compact(F.zip_with(F.slice(ordered, 1, left), F.slice(ordered, times, left), lambda x, y: F.when(x == y, x)))
+        left = F.greatest(F.size(codes) - times + 1, F.lit(0))
+        same = F.array_compact(F.zip_with(F.slice(codes, 1, left), F.slice(codes, times, left), lambda x, y: F.when(x == y, x)))
         return F.transform(F.array_distinct(same), lambda c: F.xxhash64(c, j))
 
     few = F.concat(distinct, F.flatten(F.transform(F.sequence(F.lit(1), F.floor(F.log2(F.size(codes) + 1)).cast("int") + 1), often)))
-    return F.when(F.size(distinct) >= n, F.slice(distinct, 1, n)).otherwise(few)
+    lines = lines.withColumn("tokens", F.array_distinct("codes"))
+    return lines.withColumn("tokens", F.when(F.size(distinct) >= n, F.slice(distinct, 1, n)).otherwise(few))
 
 
 def length_bands(n: Column, per_words: int) -> Column:
     """The band of a number of words, and the band of the shortest line that it can be matched with. A band is wider than all of these."""
-    step = log(1 + 3 / per_words)
+    step = log(1 + 6 / per_words)
 
     def band(x: Column) -> Column:
         return F.floor(F.log(x) / step).cast("int")
@@ -184,8 +183,8 @@ def length_bands(n: Column, per_words: int) -> Column:
 
 
 def word_keys(tokens: Column, bands: Column) -> Column:
-    """A hash for each token in each band."""
-    return F.flatten(F.transform(bands, lambda b: F.transform(tokens, lambda x: F.xxhash64(x, b))))
+    """An odd hash for each token in each band."""
+    return F.flatten(F.transform(bands, lambda b: F.transform(tokens, lambda x: F.xxhash64(x, b).bitwiseOR(F.lit(1).cast("long")))))
 
 
 #: Lines of so many words or more have parities of 128 classes, others of 64 (into which 128 fold).
@@ -209,21 +208,24 @@ def parities(codes: Column, n: Column) -> tuple[Column, Column]:
 
 def may_match(a: dict[str, Column], b: dict[str, Column], edits: int, per_words: int) -> Column:
     """Whether numbers of words ``n`` and parities ``p``, ``q`` leave it open that two lines are near."""
-    most = F.floor(F.greatest(a["n"], b["n"]) / per_words) if per_words else F.lit(0)
+    longer, apart = F.greatest(a["n"], b["n"]), F.abs(a["n"] - b["n"])
     folded = F.bit_count(a["p"].bitwiseXOR(a["q"]).bitwiseXOR(b["p"]).bitwiseXOR(b["q"]))
     whole = F.bit_count(a["p"].bitwiseXOR(b["p"])) + F.bit_count(a["q"].bitwiseXOR(b["q"]))
     differ = F.when(F.least(a["n"], b["n"]) < LONG_LINE, folded).otherwise(whole)
-    # an edit of a character takes away or adds three words at most
-    return ((F.abs(a["n"] - b["n"]) <= most) & (differ <= 2 * most)) | ((F.abs(a["n"] - b["n"]) <= edits) & (differ <= 3 * edits))
+    # an edit of a word changes two parities at most; an edit of a character takes away or adds three words at most
+    characters = (apart <= edits) & (differ <= 3 * edits)
+    return ((per_words * apart <= longer) & (per_words * differ <= 2 * longer)) | characters if per_words else characters
 
 
-def _words(line: str | Column) -> Column:
-    return F.array_remove(F.split(line, r"\s+"), "")
+def _words(line: str) -> Column:
+    line = F.col(line)
+    plain = ~(line.contains("\t") | line.contains("\r") | line.contains("\f") | line.contains("\v") | line.contains("  ") | line.startswith(" ") | line.endswith(" "))
+    return F.when(plain, F.split(line, " ")).otherwise(F.array_remove(F.split(line, r"\s+"), ""))
 
 
 def _profiled(lines: DataFrame) -> DataFrame:
-    """Add codes of the words, their number ``n`` and parities ``p``, ``q``."""
-    coded = lines.withColumn("codes", word_codes(_words("line"))).withColumn("n", F.size("codes"))
+    """Add codes of the words in ascending order, their number ``n`` and parities ``p``, ``q``."""
+    coded = lines.withColumn("codes", F.sort_array(word_codes(_words("line")))).withColumn("n", F.size("codes"))
     p, q = parities(F.col("codes"), F.col("n"))
     return coded.withColumns({"p": p, "q": q})
 
@@ -234,47 +236,51 @@ def _reach(n: Column, per_words: int) -> Column:
 
 
 #: Lines of a bucket up to which all of them meet.
-HOT = 64
-
+HOT = 256
 
-def candidates(lines: DataFrame, edits: int, min_chars: int, per_words: int) -> DataFrame:
-    """(key, h1, n, hot, near) of (h1, line): for lines of small buckets the hashes of those they may match, for lines of hot buckets the key.
 
-    Keys of words are odd and carry ``n`` and parities, keys of segments are even and do not.
-    """
-    sized = _profiled(lines)
-    segments = segment_keys(F.col("line"), edits, min_chars)
+def line_keys(lines: DataFrame, edits: int, min_chars: int, per_words: int) -> DataFrame:
+    """(key, h1, n, p, q) of (h1, line). Keys of words are odd and carry ``n`` and parities, keys of segments are even and do not."""
+    one = F.lit(1).cast("long")
+    keyed = _profiled(lines)
     if per_words:
-        segments = F.when(F.col("n") < 2 * edits * per_words, segments).otherwise(F.array().cast("array<bigint>"))
-        words = F.when(F.col("n") >= per_words - 1, word_keys(first_tokens(F.col("codes"), _reach(F.col("n"), per_words) + 1), length_bands(F.col("n"), per_words)))
+        keyed = with_first_tokens(keyed, _reach(F.col("n"), per_words) + 1).withColumn("bands", length_bands(F.col("n"), per_words))
+        words = F.when(F.col("n") >= per_words - 1, word_keys(F.col("tokens"), F.col("bands")))
+        keyed = with_segment_keys(keyed, edits, min_chars, F.col("n") < 2 * edits * per_words)
     else:
         words = F.lit(None).cast("array<bigint>")
-    keyed = sized.select("h1", "n", "p", "q", F.coalesce(words, F.array().cast("array<bigint>")).alias("words"), segments.alias("segments"))
-    one = F.lit(1).cast("long")
-    both = F.concat(F.transform("words", lambda k: k.bitwiseOR(one)), F.transform("segments", lambda k: k.bitwiseAND(F.lit(-2).cast("long"))))
-    keyed = keyed.select("h1", "n", "p", "q", F.explode(both).alias("key"))
+        keyed = with_segment_keys(keyed, edits, min_chars, F.lit(True))
+    keys = F.concat(*(F.coalesce(x, F.array().cast("array<bigint>")) for x in (words, F.col("segments"))))
+    keyed = keyed.select("h1", "n", "p", "q", F.explode(keys).alias("key")).where("key IS NOT NULL")
     odd = F.col("key").bitwiseAND(one) == 1
-    keyed = keyed.select("key", "h1", *(F.when(odd, F.col(c)).otherwise(0).alias(c) for c in ("n", "p", "q")))
+    return keyed.select("key", "h1", *(F.when(odd, F.col(c)).otherwise(0).alias(c) for c in ("n", "p", "q")))
+
+
+def candidates(keyed: DataFrame, per_words: int) -> DataFrame:
+    """(key, h1, h1_2): pairs of lines of small buckets that may match; for each line of a hot bucket a row without a second hash."""
     bucket = Window.partitionBy("key").orderBy("h1")
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     shared = keyed.select("*", F.min("h1").over(whole).alias("low"), F.max("h1").over(whole).alias("high")).where("low != high").drop("low", "high")
     once = shared.withColumn("before", F.lag("h1").over(bucket)).where("before IS NULL OR before != h1").drop("before")
-    met = once.select("*", F.count("*").over(whole).alias("size"), F.collect_list(F.struct("h1", "n", "p", "q")).over(bucket.rowsBetween(1, HOT)).alias("others"))
-    own = {c: F.col(c) for c in ("n", "p", "q")}
-    near = F.filter("others", lambda x: (F.col("n") == 0) | may_match(own, {c: x[c] for c in own}, 0, per_words)) if per_words else F.col("others")
-    met = met.withColumns({"hot": F.col("size") > HOT, "near": F.when(F.col("size") <= HOT, F.transform(near, lambda x: x["h1"]))})
-    return met.where(F.col("hot") | (F.size("near") > 0)).select("key", "h1", "hot", "near")
+    fields = ("h1", "n", "p", "q")
+    met = once.select("*", F.count("*").over(whole).alias("size"), F.collect_list(F.struct(*fields)).over(bucket.rowsBetween(1, HOT)).alias("others"))
+    met = met.select("key", *fields, (F.col("size") > HOT).alias("hot"), F.explode_outer(F.when(F.col("size") <= HOT, F.col("others"))).alias("x"))
+    met = met.select("key", *fields, "hot", *(F.col(f"x.{c}").alias(f"{c}_2") for c in fields))
+    match = F.col("n") == 0
+    if per_words:
+        match = match | may_match(*({c: F.col(f"{c}{x}") for c in ("n", "p", "q")} for x in ("", "_2")), 0, per_words)
+    return met.where(F.col("hot") | (F.col("h1_2").isNotNull() & match)).select("key", "h1", "h1_2")
 
 
 def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int) -> DataFrame:
     """(id, at) of the lines of (id, at, line) that are near an earlier line but not equal to it, where they come first."""
     hashed = lines.withColumn("h1", F.xxhash64("line"))
-    met = materialise(candidates(hashed.select("h1", "line"), edits, min_chars, per_words), "line-keys")
-    wanted = materialise(met.select(F.explode(F.concat(F.array("h1"), F.coalesce("near", F.array().cast("array<bigint>")))).alias("h1")).distinct(), "lines-wanted")
+    met = materialise(candidates(line_keys(hashed.select("h1", "line"), edits, min_chars, per_words), per_words), "line-keys")
+    wanted = materialise(met.select("h1").unionByName(met.where("h1_2 IS NOT NULL").select(F.col("h1_2").alias("h1"))).distinct(), "lines-wanted")
     occurs = hashed.join(small_side(wanted, wanted.count()), "h1", "left_semi").select("h1", F.xxhash64(F.lit(17), "line").alias("h2"), F.struct("id", "at", "line").alias("x"))
     firsts = occurs.groupBy("h1", "h2").agg(F.min("x").alias("x")).select("h1", "x.id", "x.at", "x.line")
-    firsts = materialise(_profiled(firsts), "lines")
-    texts = firsts.select("id", "at", "n", "line")
+    firsts = materialise(_profiled(firsts).withColumn("spelled", spelled(_words("line"))), "lines")
+    texts = firsts.select("id", "at", "n", "line", "spelled")
 
     def later(pairs: DataFrame) -> DataFrame:
         """The (id, at) of the later line of each pair (line, line_2 and so on) that is within the threshold."""
@@ -283,7 +289,11 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int) ->
         if per_words:
             most = F.floor(F.greatest("n", "n_2") / per_words).cast("int")
             reworded = (F.abs(F.col("n") - F.col("n_2")) <= most) & (most > 0)
-            close = close.withColumn("near", F.when(reworded, word_distance(_words("line"), _words("line_2"), most) >= 0).otherwise(False))
+            # words that share a character can only bring lines closer: such pairs are looked at again
+            roughly = F.call_function("levenshtein", F.col("spelled"), F.col("spelled_2"), most) >= 0
+            one_each = F.size(F.array_union(_words("line"), _words("line_2"))) == F.size(F.array_distinct(F.split(F.concat("spelled", "spelled_2"), "")))
+            exactly = F.when(one_each, True).otherwise(word_distance(_words("line"), _words("line_2"), most) >= 0)
+            close = close.withColumn("near", F.when(reworded & roughly, exactly).otherwise(False))
             fewer = fewer & ~F.col("near") & (F.greatest("n", "n_2") < 2 * edits * per_words)
         else:
             close = close.withColumn("near", F.lit(False))
@@ -298,10 +308,10 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int) ->
     def with_texts(pairs: DataFrame) -> DataFrame:
         return pairs.join(texts, ["id", "at"]).join(other(texts), ["id_2", "at_2"])
 
-    pairs = materialise(met.where("NOT hot").select("h1", F.explode("near").alias("h1_2")).distinct(), "line-pairs")
-    named = firsts.select("h1", "id", "at", "n", "line")
+    pairs = materialise(met.where("h1_2 IS NOT NULL").select("h1", "h1_2").distinct(), "line-pairs")
+    named = firsts.select("h1", "id", "at", "n", "line", "spelled")
     found = materialise(later(pairs.join(named, "h1").join(other(named), "h1_2")), "near-lines")
-    hot = met.where("hot").select("key", "h1").join(firsts.select("h1", "id", "at", "n", "p", "q"), "h1").drop("h1")
+    hot = met.where("h1_2 IS NULL").select("key", "h1").join(firsts.select("h1", "id", "at", "n", "p", "q"), "h1").drop("h1")
     hot = materialise(hot, "hot-lines")
     if not hot.limit(1).count():
         return found
@@ -316,7 +326,7 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int) ->
     if per_words:
         # two words in common: the first that two lines share is in a hot bucket, the second follows it in both lines
         tokens = firsts.where(F.col("n") >= per_words - 1).join(hot.select("id", "at").distinct(), ["id", "at"], "left_semi")
-        tokens = tokens.select("id", "at", first_tokens(F.col("codes"), _reach(F.col("n"), per_words) + 2).alias("tokens"), F.explode(length_bands(F.col("n"), per_words)).alias("band"))
+        tokens = with_first_tokens(tokens, _reach(F.col("n"), per_words) + 2).select("id", "at", "tokens", F.explode(length_bands(F.col("n"), per_words)).alias("band"))
         tokens = tokens.select("id", "at", "tokens", "band", F.posexplode("tokens").alias("i", "token"))
         tokens = tokens.withColumn("key", F.xxhash64("token", "band").bitwiseOR(F.lit(1).cast("long")))
         refined = hot.join(tokens, ["key", "id", "at"]).select("id", "at", "n", "p", "q", "key", F.explode(F.slice("tokens", F.col("i") + 2, F.size("tokens"))).alias("second"))
