@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from utilmine.llm.winnowing import HASH_BITS, fingerprint_with_edits, selected_grams, POSITION_BITS
+from utilmine.llm.winnowing import HASH_BITS, fingerprint_with_edits, rolling, selected_grams, POSITION_BITS
 
 SCHEMA = "doc_id long, text string"
 
@@ -34,6 +34,62 @@ def test_rightmost_minimum_of_each_window(spark):
         assert all(h < 1 << HASH_BITS for h in grams)
 
 
+def test_rolling_hashes(spark):
+    r = random.Random(4)
+    rows = [(i, [r.randint(-(1 << 63), (1 << 63) - 1) for _ in range(n)]) for i, n in enumerate((1, 2, 4, 5, 6, 7, 13, 40))]
+    df = spark.createDataFrame(rows, "id long, h array<long>")
+
+    def plain(h, k):
+        out = []
+        for a in range(len(h) - k + 1):
+            x = 0
+            for y in h[a : a + k]:
+                x = ((x << 1 | x >> 63) & ((1 << 64) - 1)) ^ (y & ((1 << 64) - 1))
+            out.append(x - (1 << 64) if x >> 63 else x)
+        return out
+
+    for k in (1, 2, 3, 4, 5, 6, 7, 11):
+        got = df.where(F.size("h") >= k).select("id", rolling(F.col("h"), k).alias("r")).collect()
+        assert got and all(x["r"] == plain(rows[x["id"]][1], k) for x in got)
+
+
+def test_scripts_without_spaces(spark):
+    text = "".join(chr(0x4E00 + random.Random(5).randint(0, 3000) * (i % 7 + 1) % 5000) for i in range(200))
+    a, b = (len(x) for x in positions(spark, [text, text[:20] + text[20:].replace(text[100], "")], 5, 8).values())
+    assert a > 20 and b > 20
+
+
+def reference(text, k, w, gram_hash):
+    """Selected hashes of a text by the plain rule, given the hash of each gram."""
+    n = len(text.split())
+    grams = gram_hash[text]
+    assert len(grams) == (n - k + 1 if n >= k else min(n, 1))
+    return {min(grams[a : a + w]) for a in range(max(1, len(grams) - w + 1))} if grams else set()
+
+
+def test_whole_result_against_plain_version(spark):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    texts = {i: " ".join(r.choice(words) for _ in range(r.choice([0, 1, 3, 5, 11, 12, 30, 80]))) for i in range(0, 60, 3)}
+    texts[7], texts[8] = texts[0] + " end", None
+    ids = sorted(texts)
+    pair = {a: ((texts[a] or ""), (texts[b] or "")) for a, b in zip(ids, ids[1:] + ids[:1])}
+    edited = {a: t[: len(t) - len(t) // 2] + u[: len(t) // 2] for a, (t, u) in pair.items()}
+    every = sorted({*edited.values(), *(x for p in pair.values() for x in p)})
+    grams = dict(zip(every, ([h for h, _ in x] for _, x in sorted(positions(spark, every, 5, 1).items()))))
+    sets = {t: reference(t, 5, 8, grams) for t in every}
+
+    def alike(x, y):
+        return len(sets[x] & sets[y]) / len(sets[x] | sets[y]) if sets[x] | sets[y] else 1.0
+
+    df = spark.createDataFrame(list(texts.items()), SCHEMA)
+    for row in fingerprint_with_edits(df).collect():
+        a = row["doc_id"]
+        assert (row["near_edited"], row["near_next"]) == (alike(pair[a][0], edited[a]), alike(*pair[a]))
+        for name, t in (("fingerprint", pair[a][0]), ("edited_fingerprint", edited[a])):
+            assert {int(x.split(":")[0], 16) for x in row[name].split()} == sets[t]
+
+
 def test_shared_runs_are_found(spark):
     r = random.Random(2)
     words = [f"w{r.randint(0, 10**6)}" for _ in range(400)]

@@ -1,11 +1,16 @@
 """Document fingerprints by winnowing, in DataFrame operations only.
 
-The hashes of all k-word grams slide over a text; of each window of ``window`` consecutive grams the smallest hash is
+The hashes of all k-word grams roll over a text; of each window of ``window`` consecutive grams the smallest hash is
 selected, the rightmost of equal ones, together with its position. So two texts that share ``k + window - 1``
 consecutive words share a selected hash, and positions tell where. Grams and windows cover whole texts.
 
-A selected gram is one number: 38 bits of its hash above 25 bits that fall as the position rises, so the smallest
-number of a window is the smallest hash at its rightmost position. Sliding minima come from doubling.
+Rolling hashes are cyclic polynomials (each word's hash rotated by its distance from the end of the gram, all combined by exclusive or). Those of twice
+as many words, or of one word more, follow from two shorter ones, so no gram is hashed from its words anew. Sliding minima come from doubling as well.
+
+A selected gram is one number: 32 bits of its hash above 31 bits that fall as the position rises, so the smallest
+number of a window is the smallest hash at its rightmost position. An array cannot hold more words than 31 bits can number.
+
+Words are what stands between white space; characters of scripts that are written without spaces are words of their own.
 
 Edge cases: null text is empty, with an empty fingerprint; texts with fewer than k words have the whole sequence as their
 only gram; texts with fewer grams than a window are one window. The likeness of two empty fingerprints is 1, of an empty and
@@ -20,23 +25,28 @@ from pyspark.sql import functions as F
 
 from utilmine.llm.common import as_text
 
-POSITION_BITS = 25
-HASH_BITS = 38
+POSITION_BITS = 31
+HASH_BITS = 32
+
+#: Scripts without spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han and its extensions.
+SPACELESS = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}]"
 
 
 def selected_grams(text: Column, k: int = 5, window: int = 8) -> Column:
     """Array of the selected (hash, position) numbers of a text, in order of position."""
     if window & (window - 1):
         raise ValueError("window must be a power of two")
-    words = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    spaced = F.when(text.rlike(SPACELESS), F.regexp_replace(text, f"({SPACELESS})", " $1 ")).otherwise(text)
+    words = F.array_remove(F.split(spaced, r"\s+"), "")
     hashes = F.transform(words, lambda x: F.xxhash64(x))
     low = F.lit((1 << HASH_BITS) - 1).cast("long")
     last = F.lit((1 << POSITION_BITS) - 1).cast("long")
 
-    def grams(w: Column) -> Column:
-        count = F.greatest(F.size(w) - (k - 1), F.least(F.size(w), F.lit(1)))
-        places = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.shiftleft(F.xxhash64(F.slice(w, i, k)).bitwiseAND(low), POSITION_BITS).bitwiseOR(last - (i - 1)))
+    def grams(h: Column) -> Column:
+        # texts with fewer words than a gram have one gram of all their words
+        whole = F.aggregate(h, F.lit(0).cast("long"), lambda r, x: _rotated(r, 1).bitwiseXOR(x))
+        rolled = F.when(F.size(h) >= k, rolling(h, k)).when(F.size(h) > 0, F.array(whole)).otherwise(h)
+        return F.transform(rolled, lambda r, i: F.shiftleft(F.xxhash64(r).bitwiseAND(low), POSITION_BITS).bitwiseOR(last - i))
 
     def minima(numbers: Column) -> Column:
         out, step = numbers, 1
@@ -48,6 +58,32 @@ def selected_grams(text: Column, k: int = 5, window: int = 8) -> Column:
     return _let(_let(hashes, grams), minima)
 
 
+def _rotated(x: Column, by: int) -> Column:
+    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by % 64 else x
+
+
+def rolling(hashes: Column, k: int) -> Column:
+    """The rolling hash of each run of k numbers: of 2 j numbers from two runs of j, of j + 1 from a run of j and the number after it."""
+
+    def joined(run: int, more: int):
+        """Runs of ``run`` numbers (array ``a``) with those of ``more`` numbers that follow them (array ``b``)."""
+
+        def of(both: Column) -> Column:
+            size = F.greatest(F.size(both["b"]) - run, F.lit(0))
+            return F.zip_with(F.slice(both["a"], 1, size), F.slice(both["b"], run + 1, size), lambda x, y: _rotated(x, more).bitwiseXOR(y))
+
+        return of
+
+    out, length = hashes, 1
+    for bit in f"{k:b}"[1:]:
+        out = _let(F.struct(out.alias("a"), out.alias("b")), joined(length, length))
+        length *= 2
+        if bit == "1":
+            out = _let(F.struct(out.alias("a"), hashes.alias("b")), joined(length, 1))
+            length += 1
+    return out
+
+
 def _least_with(step: int):
     """Each number or the one ``step`` places on, whichever is smaller; past the end there is none."""
     return lambda x: F.zip_with(x, F.slice(x, step + 1, F.greatest(F.size(x), F.lit(1))), lambda a, b: F.least(a, b))
