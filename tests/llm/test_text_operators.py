@@ -213,6 +213,17 @@ def test_jaccard_components(spark, k, num):
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(i for i in sets if expected[i] == i) and kept.columns == ["doc_id", "text", "extra"]
 
 
+def test_jaccard_with_repeated_ids_and_clashing_names(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (7, a), (7, b), (8, b + " more"), (9, c), (9, c), (None, a), (None, a), (3, None), (2, "")]
+    df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, gone_id int, key string")
+    got = sorted(((x["doc_id"] is None, x["doc_id"] or 0, x["n_shingles"], x["component_id"]) for x in partenum.jaccard_components(df, k=4).collect()), key=str)
+    assert got == sorted([(False, 5, 37, 5), (False, 7, 37, 5), (False, 7, 37, 5), (False, 8, 38, 5), (False, 9, 37, 9), (False, 9, 37, 9), (True, 0, 37, None), (True, 0, 37, None), (False, 3, 0, 3), (False, 2, 0, 2)], key=str)
+    kept = partenum.keep_first(df, k=4)
+    assert kept.columns == df.columns and sorted((x["doc_id"] or 0, x["text"] or "") for x in kept.collect()) == sorted([(5, a), (9, c), (9, c), (0, a), (0, a), (3, ""), (2, "")])
+    assert partenum.keep_first(df.where("false")).count() == 0
+
+
 def test_similar_sets_share_a_signature():
     r = np.random.default_rng(8)
     for size in (1, 5, 7, 13, 40, 200, 900):

@@ -8,8 +8,9 @@ second-level partitions agree. A signature is what a set has in such a pair of s
 partitions, so similar sets share one.
 
 Partitions in which a projection has fewer than two elements would put dissimilar sets together. A few partitions more than
-needed are made, so a set may leave out the signatures of as many partitions; a set with
-more such partitions keeps them all. Two sets that agree on a projection decide alike, so no link is lost.
+needed are made, so that similar sets agree in more partitions than either may leave out: whether a set is poor in a partition is a property of its own
+projections, a set that is poor in more partitions than there are spare ones keeps them all, and of the partitions in which two sets agree one is kept by both, since where their projections
+are equal they are poor alike. So no link is lost.
 
 Equal sets are found first and only one of them goes on. Sets that share a signature are compared with the member
 of the bucket that shares most signatures with others; the links give components, and only
@@ -17,8 +18,9 @@ pairs of a bucket that lie in different components by then are compared as well.
 bound of the Hamming distance) rule a link out are left out inside the join; all comparisons are exact set intersections. So copies cost nothing, near copies cost a comparison each, and no link between components is lost.
 
 Edge cases: null text is empty; texts without words have an empty set, which links with nothing;
-texts with fewer words than a shingle have the whole sequence as their only element; rows that share an id count as one document; rows with
-a null id are returned with a null component; other columns are ignored.
+texts with fewer words than a shingle have the whole sequence as their only element; rows that share an id are linked with each other, whatever their texts; rows with
+a null id are returned with a null component; rows repeated in full are returned each; other columns are ignored, and pass through ``keep_first`` whatever their names.
+``keep_first`` keeps all rows of an id that it keeps. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from utilmine.llm.common import as_text, components, materialise, small_side, spread
+from utilmine.llm.common import as_text, components, fresh_name, materialise, release, small_side, spread, with_key
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IS_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
@@ -217,6 +219,22 @@ def _verify(num: int, den: int):
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; sets link from a similarity of num / den on."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), as_text(text_col).alias("text"))
+    named = texts.where("id IS NOT NULL")
+    if not named.groupBy("id").count().where("count > 1").limit(1).count():
+        return _components(texts, k, num, den)
+    # rows of one id are linked: components of rows are joined to components of ids
+    rows, _ = with_key(named, "id", "text")
+    found = materialise(_components(rows.select(F.col("key").alias("id"), "text"), k, num, den), "row-components")
+    owner = rows.select("key", "id").distinct()
+    owned = found.withColumnRenamed("doc_id", "key").join(owner, "key").join(owner.select(F.col("key").alias("component_id"), F.col("id").alias("b")), "component_id")
+    owned = materialise(owned.select("id", "n_shingles", "b"), "owned")
+    label = components(owned.select(F.col("id").alias("a"), "b"))
+    out = owned.join(label.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    return out.unionByName(_components(texts.where("id IS NULL"), k, num, den))
+
+
+def _components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``jaccard_components`` of (id, text) whose ids are distinct or null."""
     seen = materialise(spread(texts).mapInArrow(_describe(k), "id long, n long, key binary, " + ", ".join(f"{x} long" for x in PARITIES)), "sets")
     full = seen.where("n > 0 AND id IS NOT NULL")
     first = full.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("key", "first")
@@ -224,7 +242,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_copies = copies.count()
 
     # texts of one row of each set only; most rows stay, so what is taken away is the small side
-    own = spread(texts.where("id IS NOT NULL").join(small_side(copies.select("id").distinct(), n_copies), "id", "left_anti"))
+    own = spread(texts).where("id IS NOT NULL").join(small_side(copies.select("id"), n_copies), "id", "left_anti")
     signed = own.mapInArrow(_sign(k, num, den), "signature long, id long")
     bucket = Window.partitionBy("signature")
     shared = materialise(signed.withColumn("size", F.count("*").over(bucket)).where("size > 1"), "buckets").dropDuplicates(["signature", "id"])
@@ -278,5 +296,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id. Rows without an id stay."""
     found = jaccard_components(docs, id_col, text_col, k, num, den)
-    gone = materialise(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(small_side(gone, gone.count()), F.col(id_col) == F.col("gone_id"), "left_anti")
+    gone_id = fresh_name(docs, "gone_id")
+    gone = materialise(found.where("doc_id != component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
+    return docs.join(small_side(gone, gone.count()), F.col(id_col) == F.col(gone_id), "left_anti")
