@@ -76,7 +76,7 @@ def as_text(column) -> "F.Column":
 
 
 #: Most bytes of a table that is broadcast, as Spark holds it, whatever the corpus size.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def small_side(df: DataFrame, rows: int, numbers: int = 2) -> DataFrame:

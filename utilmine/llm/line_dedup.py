@@ -236,7 +236,7 @@ def _reach(n: Column, per_words: int) -> Column:
 
 
 #: Lines of a bucket up to which all of them meet.
-HOT = 256
+HOT = 128
 
 
 def line_keys(lines: DataFrame, edits: int, min_chars: int, per_words: int) -> DataFrame:
@@ -279,38 +279,46 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int) ->
     wanted = materialise(met.select("h1").unionByName(met.where("h1_2 IS NOT NULL").select(F.col("h1_2").alias("h1"))).distinct(), "lines-wanted")
     occurs = hashed.join(small_side(wanted, wanted.count()), "h1", "left_semi").select("h1", F.xxhash64(F.lit(17), "line").alias("h2"), F.struct("id", "at", "line").alias("x"))
     firsts = occurs.groupBy("h1", "h2").agg(F.min("x").alias("x")).select("h1", "x.id", "x.at", "x.line")
-    firsts = materialise(_profiled(firsts).withColumn("spelled", spelled(_words("line"))), "lines")
-    texts = firsts.select("id", "at", "n", "line", "spelled")
+    firsts = _profiled(firsts).drop("codes").withColumns({"size": F.char_length("line"), "spelled": spelled(_words("line"))})
+    firsts = materialise(firsts, "lines")
 
-    def later(pairs: DataFrame) -> DataFrame:
-        """The (id, at) of the later line of each pair (line, line_2 and so on) that is within the threshold."""
-        close = pairs.where((F.col("id") != F.col("id_2")) | (F.col("at") != F.col("at_2")))
-        fewer = F.abs(F.char_length("line") - F.char_length("line_2")) <= edits
+    def other(df: DataFrame) -> DataFrame:
+        return df.withColumnsRenamed({c: f"{c}_2" for c in df.columns if c != "key"})
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs (id, at, n, size, spelled and so on) that can be within a threshold, and by which: words that share a character only bring lines closer."""
+        characters = F.abs(F.col("size") - F.col("size_2")) <= edits
         if per_words:
             most = F.floor(F.greatest("n", "n_2") / per_words).cast("int")
-            reworded = (F.abs(F.col("n") - F.col("n_2")) <= most) & (most > 0)
-            # words that share a character can only bring lines closer: such pairs are looked at again
-            roughly = F.call_function("levenshtein", F.col("spelled"), F.col("spelled_2"), most) >= 0
-            one_each = F.size(F.array_union(_words("line"), _words("line_2"))) == F.size(F.array_distinct(F.split(F.concat("spelled", "spelled_2"), "")))
-            exactly = F.when(one_each, True).otherwise(word_distance(_words("line"), _words("line_2"), most) >= 0)
-            close = close.withColumn("near", F.when(reworded & roughly, exactly).otherwise(False))
-            fewer = fewer & ~F.col("near") & (F.greatest("n", "n_2") < 2 * edits * per_words)
+            reworded = F.when(F.abs(F.col("n") - F.col("n_2")) <= most, F.call_function("levenshtein", F.col("spelled"), F.col("spelled_2"), most) >= 0).otherwise(False)
+            pairs = pairs.withColumn("reworded", reworded & (most > 0))
+            characters = characters & ~F.col("reworded") & (F.greatest("n", "n_2") < 2 * edits * per_words)
         else:
-            close = close.withColumn("near", F.lit(False))
-        close = differing_parts(close.withColumn("fewer", fewer), edits, b="line_2")
-        edited = F.when(F.col("fewer"), banded_distance(F.col("part_a"), F.col("part_b"), edits) <= edits).otherwise(False)
-        last = F.greatest(F.struct("id", "at"), F.struct(F.col("id_2").alias("id"), F.col("at_2").alias("at")))
-        return close.where(F.col("near") | edited).select(last.alias("last")).select("last.id", "last.at").distinct()
+            pairs = pairs.withColumn("reworded", F.lit(False))
+        pairs = pairs.withColumn("characters", characters).where(F.col("reworded") | F.col("characters"))
+        return materialise(pairs.select("id", "at", "id_2", "at_2", "reworded", "characters"), "close-lines")
 
-    def other(df: DataFrame) -> DataFrame:
-        return df.withColumnsRenamed({c: f"{c}_2" for c in df.columns if c != "key"})
+    def later(pairs: DataFrame) -> DataFrame:
+        """The (id, at) of the later line of each close pair that is within the threshold."""
+        texts = firsts.select("id", "at", "n", "line", "spelled")
+        both = pairs.where((F.col("id") != F.col("id_2")) | (F.col("at") != F.col("at_2"))).join(texts, ["id", "at"]).join(other(texts), ["id_2", "at_2"])
+        near = F.lit(False)
+        if per_words:
+            one_each = F.size(F.array_union(_words("line"), _words("line_2"))) == F.size(F.array_distinct(F.split(F.concat("spelled", "spelled_2"), "")))
+            most = F.floor(F.greatest("n", "n_2") / per_words).cast("int")
+            near = F.when(F.col("reworded"), F.when(one_each, True).otherwise(word_distance(_words("line"), _words("line_2"), most) >= 0)).otherwise(False)
+        both = differing_parts(both.withColumn("near", near), edits, b="line_2")
+        edited = F.when(F.col("characters"), banded_distance(F.col("part_a"), F.col("part_b"), edits) <= edits).otherwise(False)
+        last = F.greatest(F.struct("id", "at"), F.struct(F.col("id_2").alias("id"), F.col("at_2").alias("at")))
+        return both.where(F.col("near") | edited).select(last.alias("last")).select("last.id", "last.at").distinct()
 
-    def with_texts(pairs: DataFrame) -> DataFrame:
-        return pairs.join(texts, ["id", "at"]).join(other(texts), ["id_2", "at_2"])
+    def with_profiles(pairs: DataFrame) -> DataFrame:
+        own = firsts.select("id", "at", "n", "size", "spelled")
+        return pairs.join(own, ["id", "at"]).join(other(own), ["id_2", "at_2"])
 
     pairs = materialise(met.where("h1_2 IS NOT NULL").select("h1", "h1_2").distinct(), "line-pairs")
-    named = firsts.select("h1", "id", "at", "n", "line", "spelled")
-    found = materialise(later(pairs.join(named, "h1").join(other(named), "h1_2")), "near-lines")
+    named = firsts.select("h1", "id", "at", "n", "size", "spelled")
+    found = materialise(later(close(pairs.join(named, "h1").join(other(named), "h1_2"))), "near-lines")
     hot = met.where("h1_2 IS NULL").select("key", "h1").join(firsts.select("h1", "id", "at", "n", "p", "q"), "h1").drop("h1")
     hot = materialise(hot, "hot-lines")
     if not hot.limit(1).count():
@@ -321,12 +329,12 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int) ->
     match = may_match(own, their, edits, per_words)
     star = hot.join(hot.groupBy("key").agg(F.min(place).alias("x")).select("key", *(F.col(f"x.{c}").alias(f"{c}_2") for c in ("id", "at", "n", "p", "q"))), "key")
     star = materialise(star.where(match).select("id", "at", "id_2", "at_2").distinct(), "line-pairs")
-    found = materialise(found.unionByName(later(with_texts(star))).distinct(), "near-lines")
+    found = materialise(found.unionByName(later(close(with_profiles(star)))).distinct(), "near-lines")
     members = hot
     if per_words:
         # two words in common: the first that two lines share is in a hot bucket, the second follows it in both lines
         tokens = firsts.where(F.col("n") >= per_words - 1).join(hot.select("id", "at").distinct(), ["id", "at"], "left_semi")
-        tokens = with_first_tokens(tokens, _reach(F.col("n"), per_words) + 2).select("id", "at", "tokens", F.explode(length_bands(F.col("n"), per_words)).alias("band"))
+        tokens = with_first_tokens(tokens.withColumn("codes", F.sort_array(word_codes(_words("line")))), _reach(F.col("n"), per_words) + 2).select("id", "at", "tokens", F.explode(length_bands(F.col("n"), per_words)).alias("band"))
         tokens = tokens.select("id", "at", "tokens", "band", F.posexplode("tokens").alias("i", "token"))
         tokens = tokens.withColumn("key", F.xxhash64("token", "band").bitwiseOR(F.lit(1).cast("long")))
         refined = hot.join(tokens, ["key", "id", "at"]).select("id", "at", "n", "p", "q", "key", F.explode(F.slice("tokens", F.col("i") + 2, F.size("tokens"))).alias("second"))
@@ -337,7 +345,7 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int) ->
     before = (F.col("id_2") < F.col("id")) | ((F.col("id_2") == F.col("id")) & (F.col("at_2") < F.col("at")))
     rest = open_.join(other(members), "key").where(before & match).select("id", "at", "id_2", "at_2").distinct()
     rest = materialise(rest.join(star, ["id", "at", "id_2", "at_2"], "left_anti"), "line-pairs")
-    return found.unionByName(later(with_texts(rest)))
+    return found.unionByName(later(close(with_profiles(rest))))
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> Column:
