@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from utilmine.functions import itemset_text
 from utilmine.operators.prep import dataset_stats, item_dim, pairs, ranked_entries, total_utility
 from utilmine.plans import cut
 from utilmine.queries import mine
@@ -51,9 +52,8 @@ def threshold(entries: DataFrame) -> int:
 
 def shown(result: DataFrame) -> DataFrame:
     """Itemsets as text, for comparison across engines."""
-    text = F.array_join(F.transform("itemset", lambda x: x.cast("string")), " ")
     extra = [c for c in ("window_id",) if c in result.columns]
-    return result.select(*extra, text.alias("itemset"), "length", "utility", "support")
+    return result.select(*extra, itemset_text("itemset").alias("itemset"), "length", "utility", "support")
 
 
 def _mined(algorithm: str, profile: str, options: dict) -> Query:
@@ -92,7 +92,7 @@ def result_diff_events(spark, sf_dir):
     entries = cut(PROFILES["events"](spark, sf_dir))
     m = threshold(entries)
     found = diff(mine(entries, "fhm", m), mine(entries, "efim", 2 * m))
-    return found.select(F.array_join(F.transform("itemset", lambda x: x.cast("string")), " ").alias("itemset"), "status", "expected", "found")
+    return found.select(itemset_text("itemset").alias("itemset"), "status", "expected", "found")
 
 
 PLAIN: dict[str, Query] = {f.__name__: f for f in (dataset_stats_brand, item_twu_brand, pair_twu_brand, twu_filtered_supp, result_diff_events)}

@@ -11,11 +11,6 @@ def itemset_text(itemset: Column | str) -> Column:
     return F.array_join(F.transform(F.array_sort(itemset), lambda x: x.cast("string")), " ")
 
 
-def contains_all(transaction: Column | str, itemset: Column | str) -> Column:
-    """Whether every item of ``itemset`` is in ``transaction``."""
-    return F.size(F.array_except(itemset, transaction)) == 0
-
-
 def one_removed(itemset: Column | str) -> Column:
     """All subsets of one item less, in the same order."""
     size = F.size(itemset)

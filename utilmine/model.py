@@ -9,7 +9,7 @@ result       : itemset ARRAY<LONG>, length INT, utility LONG, support LONG
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TRANSACTIONS = "tid long, tu long, items array<struct<item:long,utility:long>>"
@@ -24,11 +24,10 @@ def entries_from(df: DataFrame, tid: str = "tid", item: str = "item", utility: s
     The declared transaction utility is ``tu`` where given, else the sum of the item utilities.
     """
     chosen = df.select(F.col(tid).cast("long").alias("tid"), F.col(item).cast("long").alias("item"), F.col(utility).cast("long").alias("u"), *([F.col(tu).cast("long").alias("tu")] if tu else []))
-    once = chosen.where("tid IS NOT NULL AND item IS NOT NULL").groupBy("tid", "item").agg(F.sum("u").alias("u"), *([F.max("tu").alias("tu")] if tu else []))
-    if tu:
-        return once
-    total = once.groupBy("tid").agg(F.sum("u").alias("tu"))
-    return once.join(total, "tid")
+    # one exchange by transaction serves both sums
+    dealt = chosen.where("tid IS NOT NULL AND item IS NOT NULL").repartition("tid")
+    once = dealt.groupBy("tid", "item").agg(F.sum("u").alias("u"), *([F.max("tu").alias("tu")] if tu else []))
+    return once if tu else once.withColumn("tu", F.sum("u").over(Window.partitionBy("tid")))
 
 
 def to_transactions(entries: DataFrame) -> DataFrame:
@@ -42,6 +41,12 @@ def to_entries(transactions: DataFrame, recompute_tu: bool = False) -> DataFrame
     return entries_from(rows, tu=None if recompute_tu else "tu")
 
 
+def checked(entries: DataFrame) -> DataFrame:
+    """``entries`` that fail when they are read if a utility is negative, at no cost of a job of its own."""
+    wrong = F.raise_error(F.lit("negative utilities are not supported")).cast("long")
+    return entries.withColumn("u", F.when(F.col("u") < 0, wrong).otherwise(F.col("u")))
+
+
 def check(entries: DataFrame) -> None:
     """Refuse what the bounds cannot handle: negative utilities and ids out of range."""
     bad = entries.agg(F.min("u").alias("u"), F.min("item").alias("low"), F.max("item").alias("high")).first()

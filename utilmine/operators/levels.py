@@ -1,8 +1,8 @@
 """Vertical level loop: itemsets grow by one item per level, joined on the transaction.
 
 L(k+1) = Lk joined with the entries on (tid, later rank); the utility of P and y in a transaction is u(P) + u(y), so
-a two-way join is enough. Both sides are hashed by transaction, so only the per-itemset sums
-change partitioning. Prefixes that cannot lead to a result are dropped before the join; items
+a two-way join is enough. Both sides are kept hashed by transaction, level after level, so only the per-itemset sums
+change partitioning. What is kept can be computed again from the entries if an executor is lost; sums are checkpoints. Prefixes that cannot lead to a result are dropped before the join; items
 never are, since a weak item can still extend a strong prefix.
 """
 
@@ -35,7 +35,9 @@ def mine_levels(entries: DataFrame, rule: Rule) -> DataFrame:
     """(groups, itemset in processing order, utility, support) of all emitted itemsets; ``entries`` are ranked ones."""
     g = rule.groups
     keys = [*g, "tid"]
-    base = cut(entries.select(*keys, "item", "rank", "u", "ru", "mu", "tu", *(["threshold"] if "threshold" in entries.columns else [])))
+    base = entries.select(*keys, "item", "rank", "u", "ru", "mu", "tu", *(["threshold"] if "threshold" in entries.columns else []))
+    base = base.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).persist()
+    kept = [base]
     threshold = "threshold" in entries.columns
     extra = ["threshold"] if threshold else []
     level = base.select(*keys, F.array("item").alias("itemset"), F.col("item").alias("last"), F.col("rank").alias("last_rank"), F.col("u").alias("iu"), "ru", "mu", "tu", *extra)
@@ -47,6 +49,9 @@ def mine_levels(entries: DataFrame, rule: Rule) -> DataFrame:
             F.sum("iu").alias("utility"), F.sum("ru").alias("rem"), F.sum("tu").alias("twu"), F.sum("mu").alias("mu"), F.count("*").alias("support"), F.max("tid").alias("last_tid"), *(F.min(c).alias(c) for c in extra)
         )
         sums = cut(sums.withColumn("length", F.lit(length)))
+        for old in kept[1:-1]:
+            old.unpersist()
+        kept[1:-1] = []
         if rule.border:
             emit, extend = rule.border(sums)
         out = sums.where(emit).select(*g, "itemset", "utility", "support")
@@ -57,7 +62,7 @@ def mine_levels(entries: DataFrame, rule: Rule) -> DataFrame:
         n = alive.count()
         if not n:
             break
-        grown = level.join(hinted(alive, n), [*g, "itemset"], "left_semi")
+        grown = level.join(hinted(alive, n, length + 2), [*g, "itemset"], "left_semi")
         joined = grown.join(right, keys).where("next_rank > last_rank")
         if rule.pair_filter:
             if pair_table is None:
@@ -66,8 +71,11 @@ def mine_levels(entries: DataFrame, rule: Rule) -> DataFrame:
             joined = joined.join(hinted(pair_table.select(*g, F.col("i").alias("last"), F.col("j").alias("next")), pair_rows), [*g, "last", "next"], "left_semi")
         if rule.before_join:
             joined = rule.before_join(joined, grown)
-        level = cut(
+        level = (
             joined.select(*keys, F.concat("itemset", F.array("next")).alias("itemset"), F.col("next").alias("last"), F.col("next_rank").alias("last_rank"), (F.col("iu") + F.col("next_u")).alias("iu"), F.col("next_ru").alias("ru"), "mu", "tu", *extra)
-        )
+        ).persist()
+        kept.append(level)
         length += 1
+    for old in kept:
+        old.unpersist()
     return found

@@ -42,7 +42,7 @@ def path_table(entries: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def mine_paths(paths: DataFrame, m: int, kind: str, least: DataFrame | None = None) -> DataFrame:
-    """(itemset, estimate, utility) of the candidates with estimate >= m; ``utility`` is set for ``exact`` only.
+    """(itemset, estimate, utility, support) of the candidates with estimate >= m; ``utility`` and ``support`` are right for ``exact`` only.
 
     ``least`` (item, least) replaces the path minima by those of the whole database.
     """
@@ -65,14 +65,14 @@ def mine_paths(paths: DataFrame, m: int, kind: str, least: DataFrame | None = No
             F.concat("itemset", F.array("z")).alias("itemset"), before.alias("path"), F.slice("us", 1, F.col("at")).alias("us"), F.slice("least", 1, F.col("at")).alias("least"), "n", (F.col("base") + F.get("us", F.col("at"))).alias("base"), weight.alias("w"), "tu"
         )
         estimate = F.sum("w") if kind == "estimate" else F.sum("tu")
-        sums = cut(grown.groupBy("itemset").agg(estimate.alias("estimate"), F.sum("base").alias("utility")))
+        sums = cut(grown.groupBy("itemset").agg(estimate.alias("estimate"), F.sum("base").alias("utility"), F.sum("n").alias("support")))
         alive = sums.where(F.col("estimate") >= m)
         n = alive.count()
-        out = alive.select("itemset", "estimate", "utility")
+        out = alive.select("itemset", "estimate", "utility", "support")
         found = out if found is None else found.unionByName(out)
         if not n:
             return found
-        kept = cut(grown.join(hinted(alive.select("itemset"), n), "itemset", "left_semi").where(F.size("path") > 0))
+        kept = cut(grown.join(hinted(alive.select("itemset"), n, 8), "itemset", "left_semi").where(F.size("path") > 0))
         # items that are not promising in a conditional base leave its paths, with their least utility
         weigh = F.col("w") if kind == "estimate" else F.col("tu")
         local = kept.select("itemset", F.explode("path").alias("z"), weigh.alias("x")).groupBy("itemset", "z").agg(F.sum("x").alias("x")).where(F.col("x") >= m)
@@ -98,9 +98,10 @@ def verify_rarest(candidates: DataFrame, entries: DataFrame, items: DataFrame) -
     """Exact (itemset, utility, support): candidates meet the transactions of their rarest item, then all items are looked up."""
     named = candidates.select(F.array_sort("itemset").alias("itemset"))
     long_ = named.select("itemset", F.explode("itemset").alias("item")).join(items.select("item", "support"), "item")
-    rare = long_.groupBy("itemset").agg(F.min(F.struct("support", "item")).alias("r")).select("itemset", F.col("r.item").alias("item"))
+    rare = cut(long_.groupBy("itemset").agg(F.min(F.struct("support", "item")).alias("r")).select("itemset", F.col("r.item").alias("item")))
+    # a transaction is one row that meets the candidates of each of its items; the sums are combined before their only exchange
     horizontal = entries.groupBy("tid").agg(F.map_from_entries(F.collect_list(F.struct("item", "u"))).alias("of"))
-    met = rare.join(entries.select("tid", "item"), "item").join(horizontal, "tid")
+    met = horizontal.select("of", F.explode(F.map_keys("of")).alias("item")).join(hinted(rare, rare.count(), 8), "item")
     values = F.transform("itemset", lambda x: F.try_element_at("of", x))
     hit = met.select("itemset", values.alias("v")).where(~F.exists("v", lambda x: x.isNull()))
     return hit.groupBy("itemset").agg(F.sum(_sum(F.col("v"))).alias("utility"), F.count("*").alias("support"))
@@ -117,7 +118,7 @@ def verify_trie(candidates: DataFrame, entries: DataFrame) -> DataFrame:
     for k in range(depth):
         wanted = edges.where(F.size("node") == k)
         n = wanted.count()
-        step = at.join(entries.select("tid", "item", "u"), "tid").join(hinted(wanted, n), ["node", "item"])
+        step = at.join(entries.select("tid", "item", "u"), "tid").join(hinted(wanted, n, 8), ["node", "item"])
         at = cut(step.select("tid", F.concat("node", F.array("item")).alias("node"), (F.col("total") + F.col("u")).alias("total")))
         sums = at.groupBy(F.col("node").alias("itemset")).agg(F.sum("total").alias("utility"), F.count("*").alias("support"))
         found = sums if found is None else found.unionByName(sums)

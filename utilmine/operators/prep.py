@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Item tables of at most so many rows are broadcast (three numbers a row); larger ones are joined by shuffle.
-BROADCAST_ITEMS = 1_000_000
+#: Tables of at most so many bytes, as Spark holds them, are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def item_dim(entries: DataFrame, groups: list[str] | None = None) -> DataFrame:
@@ -15,8 +15,9 @@ def item_dim(entries: DataFrame, groups: list[str] | None = None) -> DataFrame:
     return entries.groupBy(*keys).agg(F.sum("tu").alias("twu"), F.sum("u").alias("utility"), F.count("*").alias("support"))
 
 
-def hinted(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ITEMS else df
+def hinted(df: DataFrame, rows: int, numbers: int = 3) -> DataFrame:
+    """Broadcast a table of counted ``rows`` with about so many ``numbers`` in each (array elements included) while it is within the bound."""
+    return F.broadcast(df) if rows * (32 + 8 * numbers) <= BROADCAST_BYTES else df
 
 
 def ranked_entries(entries: DataFrame, items: DataFrame, order: list[Column], groups: list[str] | None = None) -> DataFrame:

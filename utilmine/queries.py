@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from utilmine.functions import one_removed
+from utilmine.model import checked
 from utilmine.operators import heuristics
 from utilmine.operators.explode import mine_projected
 from utilmine.operators.levels import Rule, mine_levels
@@ -64,8 +66,9 @@ def mhuiminer(entries, m, **_):
 
 
 def hup_miner(entries, m, partitions=8, **_):
-    span = entries.agg(F.max("tid")).first()[0] or 0
-    bucket = F.floor(F.col("tid") * partitions / (span + 1))
+    numbers, total = numbered_rows(entries)
+    entries = entries.join(numbers, "tid").drop("tid").withColumnRenamed("row", "tid")
+    bucket = F.floor(F.col("tid") * partitions / max(1, total))
 
     def bounded(joined: DataFrame, grown: DataFrame) -> DataFrame:
         """Keep extensions whose bound, over the ranges of transactions in which they occur, reaches the threshold."""
@@ -83,7 +86,7 @@ def efim(entries, m, **_):
 
 def closed(found: DataFrame) -> DataFrame:
     """Itemsets without a superset of one more item and the same support; with utilities >= 0 such a superset is in the result itself."""
-    smaller = found.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("itemset")), lambda i: F.concat(F.slice("itemset", 1, i - 1), F.slice("itemset", i + 1, F.size("itemset"))))).alias("itemset"), "support")
+    smaller = found.select(F.explode(one_removed("itemset")).alias("itemset"), "support")
     return found.join(smaller, ["itemset", "support"], "left_anti").select(*found.columns)
 
 
@@ -160,9 +163,9 @@ def hui_trie(entries, m, **_):
 
 
 def hup_tree(entries, m, **_):
-    """Exact utilities from the utility vectors; supports come from the verification walk of what is left."""
-    found, items = _candidates(entries, m, "exact")
-    return _result(verify_rarest(found.where(F.col("utility") >= m), entries, items))
+    """Exact utilities from the utility vectors, supports from the counts of the paths: nothing is verified."""
+    found, _items = _candidates(entries, m, "exact")
+    return _result(found.where(F.col("utility") >= m))
 
 
 def up_growth(entries, m, **_):
@@ -225,20 +228,22 @@ def mine_windows(entries: DataFrame, m: int) -> DataFrame:
 
 
 def incfhm(entries, m, batches=10, **_):
-    """Growing batches of transactions: a batch reports what its new rows touched, the newest report of an itemset counts."""
+    """Growing batches of transactions: a batch reports what its new rows touched, the newest report of an itemset counts.
+
+    All batches are mined in one pass: a row belongs to its own batch and to all later ones.
+    """
     numbers, n = numbered_rows(entries)
     ends = [n * (b + 1) // batches for b in range(batches)]
-    numbered = cut(entries.join(numbers, "tid"))
-    found, start = None, 0
-    for b, end in enumerate(ends):
-        if end == start:
-            continue
-        seen = numbered.where(F.col("row") < end).drop("tid").withColumnRenamed("row", "tid")
-        out = mine_touched(seen, m, start).withColumn("batch", F.lit(b))
-        found = out if found is None else found.unionByName(out)
-        start = end
-    if found is None:
-        return _result(_levels(entries, m))
+    starts = [0, *ends[:-1]]
+    own = F.size(F.filter(F.lit(ends).cast("array<bigint>"), lambda e: e <= F.col("row")))
+    dealt = entries.join(numbers.select("tid", "row", F.explode(F.sequence(own, F.lit(batches - 1))).alias("batch")), "tid")
+    grown = F.element_at(F.lit([e > s for s, e in zip(starts, ends)]), F.col("batch") + 1)  # empty batches report nothing
+    dealt = dealt.where(grown).drop("tid").withColumnRenamed("row", "tid")
+    touched = F.col("last_tid") >= F.element_at(F.lit(starts).cast("array<bigint>"), F.col("batch") + 1)
+    groups = ["batch"]
+    ranked = _ranked(dealt, _promising(dealt, m, groups), order=("item",), groups=groups)
+    rule = Rule(emit=(F.col("utility") >= m) & touched, extend=(F.col("utility") + F.col("rem") >= m) & touched, pair_filter=lambda: pairs(ranked, groups).where(F.col("twu") >= m), groups=groups)
+    found = _result(mine_levels(ranked, rule), groups)
     newest = F.max_by(F.struct("utility", "support"), "batch").alias("x")
     return found.groupBy("itemset", "length").agg(newest).select("itemset", "length", "x.utility", "x.support")
 
@@ -278,4 +283,4 @@ def mine(entries: DataFrame, algorithm: str = "fhm", min_utility: int = 1, **opt
         raise ValueError(f"unknown algorithm {algorithm!r}; known are {', '.join(sorted(STRATEGIES))}")
     if options.get("k") is not None and name not in TOP_K:
         raise ValueError(f"{name} takes no k")
-    return STRATEGIES[name](entries, min_utility, **options)
+    return STRATEGIES[name](checked(entries), min_utility, **options)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from utilmine.functions import itemset_text
 from utilmine.model import MAX_ITEM
 
 # Fixed values of the two formats.
@@ -63,7 +64,7 @@ def read_utility_text(spark: SparkSession, path: str, mode: str = "DROPMALFORMED
 
 def write_results(result: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One line per itemset; ``mode='append'`` adds to earlier results."""
-    line = F.concat(F.array_join(F.transform("itemset", lambda x: x.cast("string")), " "), F.lit(RESULT_MARK), F.col("utility").cast("string"))
+    line = F.concat(itemset_text("itemset"), F.lit(RESULT_MARK), F.col("utility").cast("string"))
     result.select(line.alias("value")).write.mode(mode).text(path)
 
 

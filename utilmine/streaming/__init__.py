@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from utilmine.model import entries_from
+from utilmine.model import checked, entries_from
 from utilmine.plans import cut
-from utilmine.queries import mine, mine_touched
-
+from utilmine.queries import mine_touched, mine_windows
 
 
 def incremental(stream: DataFrame, state_path: str, result_path: str, min_utility: int, checkpoint: str) -> StreamingQuery:
@@ -42,14 +41,19 @@ def current(spark, result_path: str) -> DataFrame:
     return rows.groupBy("itemset").agg(newest).select("itemset", "x.length", "x.utility", "x.support")
 
 
-def closed_windows(stream: DataFrame, time: str, key: str, item: str, utility: str, window: str, delay: str, sink: Callable[[DataFrame, int], None], checkpoint: str, algorithm: str = "fhm", min_utility: int = 1) -> StreamingQuery:
-    """Baskets of (window, key) on event time; windows are mined in the batch in which the watermark closes them."""
+def closed_windows(stream: DataFrame, time: str, key: str, item: str, utility: str, window: str, delay: str, sink: Callable[[DataFrame, int], None], checkpoint: str, min_utility: int = 1) -> StreamingQuery:
+    """Baskets of (window, key) on event time; all windows that the watermark closes in a batch are mined in one pass."""
     baskets = stream.withWatermark(time, delay).groupBy(F.window(time, window).alias("w"), F.col(key).alias("key"), F.col(item).alias("item")).agg(F.sum(utility).alias("utility"))
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = cut(batch.select(F.col("w.start").cast("timestamp").alias("start"), F.xxhash64("w", "key").alias("tid"), "item", "utility"))
-        for (start,) in rows.select("start").distinct().orderBy("start").toLocalIterator():  # the few windows that have just closed
-            one = entries_from(rows.where(F.col("start") == F.lit(start)))
-            sink(mine(one, algorithm, min_utility).withColumn("window_start", F.lit(start)), number)
+        sink(mine_event_windows(batch, min_utility), number)
 
     return baskets.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", checkpoint).start()
+
+
+def mine_event_windows(baskets: DataFrame, min_utility: int) -> DataFrame:
+    """High-utility itemsets (window_start, itemset, length, utility, support) of rows (w, key, item, utility), for each window by itself."""
+    rows = cut(baskets.select(F.unix_micros(F.col("w.start").cast("timestamp_ltz")).alias("window_id"), F.xxhash64("w", "key").alias("tid"), "item", "utility"))
+    owner = rows.select("tid", "window_id").distinct()
+    found = mine_windows(checked(cut(entries_from(rows).join(owner, "tid"))), min_utility)
+    return found.select(F.timestamp_micros("window_id").alias("window_start"), F.array_sort("itemset").alias("itemset"), F.size("itemset").alias("length"), "utility", "support")
