@@ -34,7 +34,8 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from utilmine.llm.common import as_text, fresh_name, materialise, small_side
+from utilmine.llm import common
+from utilmine.llm.common import as_text, fresh_name, materialise, release, small_side
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two strings if it is ``edits`` at most, else a larger number.
@@ -272,8 +273,13 @@ def candidates(keyed: DataFrame, per_words: int) -> DataFrame:
     return met.where(F.col("hot") | (F.col("h1_2").isNotNull() & match)).select("key", "h1", "h1_2")
 
 
-def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int) -> DataFrame:
-    """(id, at) of the lines of (id, at, line) that are near an earlier line but not equal to it, where they come first."""
+def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scratch: list[DataFrame]) -> DataFrame:
+    """(id, at) of the lines of (id, at, line) that are near an earlier line but not equal to it, where they come first. ``scratch`` gets the tables to be released once the result is written."""
+
+    def materialise(df: DataFrame, what: str) -> DataFrame:
+        scratch.append(written := common.materialise(df, what))
+        return written
+
     hashed = lines.withColumn("h1", F.xxhash64("line"))
     met = materialise(candidates(line_keys(hashed.select("h1", "line"), edits, min_chars, per_words), per_words), "line-keys")
     wanted = materialise(met.select("h1").unionByName(met.where("h1_2 IS NOT NULL").select(F.col("h1_2").alias("h1"))).distinct(), "lines-wanted")
@@ -387,8 +393,11 @@ def _repeated(docs: DataFrame, key: Column, text_col: str, edits: int, min_chars
     place = F.struct("id", "at")
     groups = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = hashed.join(groups, ["h1", "h2"]).where(place != F.col("first")).select("id", "at")
-    gone = again.unionByName(near_lines(_lines(docs, key, text_col, min_chars), edits, min_chars, per_words))
-    return materialise(gone.groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("gone")), "repeated-lines")
+    scratch = [hashed]
+    gone = again.unionByName(near_lines(_lines(docs, key, text_col, min_chars), edits, min_chars, per_words, scratch))
+    gone = materialise(gone.groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("gone")), "repeated-lines")
+    release(*scratch)
+    return gone
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20, report: bool = False, per_words: int = 0, exact_chars: int | None = None) -> DataFrame:
