@@ -12,10 +12,11 @@ needed are made, so that similar sets agree in more partitions than either may l
 projections, a set that is poor in more partitions than there are spare ones keeps them all, and of the partitions in which two sets agree one is kept by both, since where their projections
 are equal they are poor alike. So no link is lost.
 
-Equal sets are found first and only one of them goes on. Sets that share a signature are compared with the member
-of the bucket that shares most signatures with others; the links give components, and only
-pairs of a bucket that lie in different components by then are compared as well. Pairs whose sizes or parity bits (a lower
-bound of the Hamming distance) rule a link out are left out inside the join; all comparisons are exact set intersections. So copies cost nothing, near copies cost a comparison each, and no link between components is lost.
+Equal sets are found first and only one of them goes on. A bucket's centre is the member that shares most signatures with others; each set is compared
+with the most popular of its centres. The links give components, and only pairs of a bucket that lie in different components by then are compared as well.
+Pairs whose sizes or parity bits (a lower bound of the Hamming distance) rule a link out are left out: first by 512 bits inside the join, then by two or more
+bits for each element, and only pairs that pass both have their sets brought together; all comparisons are exact set intersections. So copies cost nothing,
+near copies cost a comparison each, and no link between components is lost.
 
 Edge cases: null text is empty; texts without words have an empty set, which links with nothing;
 texts with fewer words than a shingle have the whole sequence as their only element; rows that share an id are linked with each other, whatever their texts; rows with
@@ -158,6 +159,46 @@ def parities(items: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def parity_bits(items: np.ndarray) -> bytes:
+    """Parity bits of a set, at least two for each element: a power of two of them, so that longer ones fold into shorter ones."""
+    size = 512
+    while size < 2 * len(items):
+        size *= 2
+    odd = np.bincount((items & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_distance(a: bytes, b: bytes) -> int:
+    """How many elements two sets differ in at least, by their parity bits."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _bits(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py(), k) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(parity_bits, sets)), pa.binary())], names=["id", "n", "bits"])
+
+    return run
+
+
+def _may_link(num: int, den: int):
+    """(a, b) of the (a, b, n_a, n_b, bits_a, bits_b) that can be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column(2).to_pylist(), b.column(3).to_pylist()
+            ok = [den * min(x, y) >= num * max(x, y) and (den + num) * least_distance(p.as_py(), q.as_py()) <= (den - num) * (x + y) for x, y, p, q in zip(n, m, b.column(4), b.column(5))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,6 +276,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``jaccard_components`` of (id, text) whose ids are distinct or null."""
+    scratch: list[DataFrame] = []
     seen = materialise(spread(texts).mapInArrow(_describe(k), "id long, n long, key binary, " + ", ".join(f"{x} long" for x in PARITIES)), "sets")
     full = seen.where("n > 0 AND id IS NOT NULL")
     first = full.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("key", "first")
@@ -245,11 +287,13 @@ def _components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     own = spread(texts).where("id IS NOT NULL").join(small_side(copies.select("id"), n_copies), "id", "left_anti")
     signed = own.mapInArrow(_sign(k, num, den), "signature long, id long")
     bucket = Window.partitionBy("signature")
-    shared = materialise(signed.withColumn("size", F.count("*").over(bucket)).where("size > 1"), "buckets").dropDuplicates(["signature", "id"])
+    buckets = materialise(signed.withColumn("size", F.count("*").over(bucket)).where("size > 1"), "buckets")
+    shared = buckets.dropDuplicates(["signature", "id"])
     popular = shared.groupBy("id").agg(F.sum("size").alias("popular"))
     ranked = shared.select("signature", "id").join(popular, "id")
     best = ranked.groupBy("signature").agg(F.min(F.struct((-F.col("popular")).alias("p"), F.col("id").alias("centre"))).alias("best"))
-    star = ranked.join(best, "signature").where("id != best.centre").select(F.least("id", "best.centre").alias("a"), F.greatest("id", "best.centre").alias("b"), F.col("best.centre").alias("centre"))
+    star = ranked.join(best, "signature").where("id != best.centre").groupBy("id").agg(F.min("best").alias("best"))
+    star = star.select(F.least("id", "best.centre").alias("a"), F.greatest("id", "best.centre").alias("b"))
     # sizes and parity bits of the documents in buckets; ids with several rows have none, so they are always compared
     profile = full.join(popular.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("rows"), F.min("n").alias("n"), *(F.min(x).alias(x) for x in PARITIES))
     profile = materialise(profile.where("rows = 1").drop("rows"), "profiles")
@@ -264,13 +308,21 @@ def _components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     star = star.select("a", "b").distinct().join(side("a"), "a", "left").join(side("b"), "b", "left").where(can_link)
     star = materialise(star.select("a", "b"), "pairs")
 
+    def sides(pairs: DataFrame, kind, schema: str, columns: list[str]) -> DataFrame:
+        """``pairs`` with ``columns`` of both documents, as ``kind`` makes them from their texts."""
+        named = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+        made = materialise(texts.join(small_side(named, named.count()), "id", "left_semi").mapInArrow(kind(k), schema), "sides")
+        scratch.extend((named, made))
+        for x in "ba":
+            pairs = pairs.join(made.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)), x)
+        return pairs.select("a", "b", *(f"{c}_{x}" for c in columns for x in "ab"))
+
     def compare(pairs: DataFrame) -> DataFrame:
-        sets_wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-        wanted = texts.join(small_side(sets_wanted, sets_wanted.count()), "id", "left_semi")
-        sets = materialise(wanted.mapInArrow(_sets(k), "id long, items binary"), "items")
-        with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
-        both = with_b.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a").select("a", "b", "items_a", "items_b")
-        return materialise(both.mapInArrow(_verify(num, den), "a long, b long, linked boolean"), "compared")
+        """(a, b, linked) of all pairs; sets are fetched for those that long parity bits leave open."""
+        likely = materialise(sides(pairs, _bits, "id long, n long, bits binary", ["n", "bits"]).mapInArrow(_may_link(num, den), "a long, b long").distinct(), "likely")
+        linked = materialise(sides(likely, _sets, "id long, items binary", ["items"]).mapInArrow(_verify(num, den), "a long, b long, linked boolean"), "compared")
+        scratch.append(likely)
+        return linked
 
     compared = compare(star)
     label = components(compared.where("linked"))
@@ -280,11 +332,14 @@ def _components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     left, right = (open_.select("signature", F.col("id").alias(x), F.col("component").alias(f"c{x}")).join(side(x), x, "left") for x in "ab")
     across = left.join(right, (left["signature"] == right["signature"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & can_link)
     across = across.select("a", "b").distinct()
-    rest = materialise(across.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    rest = materialise(across.join(star, ["a", "b"], "left_anti"), "pairs")
     if rest.limit(1).count():
-        found = compare(rest).where("linked")
+        more = compare(rest)
+        found = more.where("linked")
         if found.limit(1).count():
             label = components(compared.where("linked").select("a", "b").unionByName(found.select("a", "b")))
+        scratch.append(more)
+    release(*scratch, buckets, profile, star, compared, open_, rest)
 
     placed = copies.groupBy("id").agg(F.min("first").alias("first"))
     out = seen.select("id", "n").join(small_side(placed, n_copies), "id", "left").withColumn("node", F.coalesce("first", "id"))
