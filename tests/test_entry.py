@@ -28,6 +28,6 @@ def test_contract(spark):
     assert set(catalog.queries()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["dataset_stats_brand", "item_twu_brand", "twu_filtered_supp", "haui_events", "tko_brand", "shuim_events"])
+@pytest.mark.parametrize("name", ["dataset_stats_brand", "item_twu_brand", "twu_filtered_supp", "haui_events", "tko_brand", "shuim_events", "incfhm_brand", "hup_tree_events", "text_round_trip_supp", "event_windows", "sql_function_nations"])
 def test_same_as_sql(spark, small, duck, name):
     assert rows(catalog.queries()[name](spark, small).toPandas()) == rows(duck.execute(catalog.oracle_sql()[name]).df())

@@ -1,4 +1,7 @@
-"""``python -m utilmine DATASET ALGORITHM MIN_UTILITY OUTPUT``: mine a file in the utility text format."""
+"""``python -m utilmine DATASET ALGORITHM MIN_UTILITY OUTPUT``: mine a file in the utility text format.
+
+``--report FILE --report-format json|csv|console`` also compares strategies named by ``--compare`` and reports counts and times.
+"""
 
 from __future__ import annotations
 
@@ -6,26 +9,54 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from utilmine import experiment
 from utilmine.model import check, to_entries
 from utilmine.plans import cut
-from utilmine.queries import mine
+from utilmine.queries import ALIASES, STRATEGIES, TOP_K, mine
 from utilmine.sources.utility_text import read_utility_text, write_results
 
+#: Options and the strategies that know them.
+OWN = {
+    "min_length": ("fhm+",), "max_length": ("fhm+", "huim-ga", "huim-bpso", "mhui-aco"), "window": ("shuim",), "batches": ("incfhm",), "beta": ("huim-mmu",), "partitions": ("hup-miner",),
+    "seed": ("huim-ga", "huim-bpso", "mhui-aco"), "iterations": ("huim-ga", "huim-bpso", "mhui-aco"), "population": ("huim-ga", "huim-bpso", "mhui-aco"), "shard_rows": ("huim-ga", "huim-bpso", "mhui-aco"), "k": tuple(sorted(TOP_K)),
+}
+
 
-def main() -> None:
-    p = argparse.ArgumentParser(prog="utilmine")
+def parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="utilmine", description=__doc__)
     p.add_argument("dataset"), p.add_argument("algorithm"), p.add_argument("min_utility", type=int), p.add_argument("output")
-    p.add_argument("--top-k", type=int), p.add_argument("--min-length", type=int, default=1), p.add_argument("--max-length", type=int)
     p.add_argument("--malformed", choices=("drop", "fail"), default="drop"), p.add_argument("--recompute-tu", action="store_true")
-    a = p.parse_args()
+    p.add_argument("--top-k", dest="k", type=int)
+    for name in OWN:
+        if name != "k":
+            p.add_argument("--" + name.replace("_", "-"), type=float if name == "beta" else int)
+    p.add_argument("--report"), p.add_argument("--report-format", choices=experiment.FORMATS, default="json"), p.add_argument("--compare", default="")
+    return p
+
+
+def options_of(a: argparse.Namespace) -> dict:
+    """The options that were given; one that the strategy does not know is an error."""
+    name = ALIASES.get(a.algorithm, a.algorithm)
+    if name not in STRATEGIES:
+        raise SystemExit(f"unknown algorithm {a.algorithm}; known are {', '.join(sorted(STRATEGIES))}")
+    given = {k: getattr(a, k) for k in OWN if getattr(a, k) is not None}
+    if strange := [k for k in given if name not in OWN[k]]:
+        raise SystemExit(f"{name} takes no {', '.join(strange)}")
+    return given
+
+
+def main(argv: list[str] | None = None) -> None:
+    a = parser().parse_args(argv)
+    options = options_of(a)
     spark = SparkSession.builder.getOrCreate()
     rows = read_utility_text(spark, a.dataset, "FAILFAST" if a.malformed == "fail" else "DROPMALFORMED")
     entries = cut(to_entries(rows, a.recompute_tu))
     check(entries)
-    options = {"k": a.top_k} if a.top_k is not None else {}
-    if a.algorithm in ("fhm+", "fhm-plus"):
-        options |= {"min_length": a.min_length, "max_length": a.max_length}
-    write_results(mine(entries, a.algorithm, a.min_utility, **options), a.output)
+    found = cut(mine(entries, a.algorithm, a.min_utility, **options))
+    write_results(found, a.output)
+    if a.report:
+        names = [x for x in a.compare.split(",") if x] or [a.algorithm]
+        experiment.report(experiment.run(entries, names, a.min_utility, found), a.report, a.report_format)
 
 
 if __name__ == "__main__":

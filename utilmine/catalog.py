@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,14 @@ from pyspark.sql import functions as F
 
 from utilmine.functions import itemset_text
 from utilmine.operators.prep import dataset_stats, item_dim, pairs, ranked_entries, total_utility
-from utilmine.plans import cut
+from utilmine.model import to_entries
+from utilmine.plans import cut, shared_folder
 from utilmine.queries import mine
+from utilmine.sources.convert import write_utility_text
 from utilmine.sources.profiles import PROFILES, SQL
-from utilmine.sources.utility_text import diff
+from utilmine.sources.utility_text import diff, read_results, read_utility_text, write_results
+from utilmine.sql import register
+from utilmine.streaming import mine_event_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,7 +100,46 @@ def result_diff_events(spark, sf_dir):
     return found.select(itemset_text("itemset").alias("itemset"), "status", "expected", "found")
 
 
-PLAIN: dict[str, Query] = {f.__name__: f for f in (dataset_stats_brand, item_twu_brand, pair_twu_brand, twu_filtered_supp, result_diff_events)}
+def _folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def text_round_trip_supp(spark, sf_dir):
+    """Transactions written in the text format, read again, mined, and the result file read back."""
+    entries = cut(PROFILES["supp"](spark, sf_dir))
+    at, out = _folder(spark, "text"), _folder(spark, "results")
+    write_utility_text(entries, at)
+    again = cut(to_entries(read_utility_text(spark, at)))
+    write_results(mine(again, "fhm", threshold(entries)), out)
+    return read_results(spark, out).select(itemset_text("itemset").alias("itemset"), "utility")
+
+
+def event_windows(spark, sf_dir):
+    """Baskets of a user in windows of seven days of event time; each window is mined by itself, at a thousandth of all utility."""
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    rows = events.select(F.window("ts", "7 days").alias("w"), F.col("user_id").alias("key"), F.get_json_object("props", "$.k").cast("bigint").alias("item"), F.round(F.col("value") * 100).cast("bigint").alias("utility"))
+    baskets = cut(rows.groupBy("w", "key", "item").agg(F.sum("utility").alias("utility")))
+    m = (baskets.where("item IS NOT NULL").agg(F.sum("utility")).first()[0] or 0) // 1000
+    found = mine_event_windows(baskets, m)
+    return found.select(F.unix_seconds("window_start").alias("window_second"), itemset_text("itemset").alias("itemset"), "length", "utility", "support")
+
+
+def sql_function_nations(spark, sf_dir):
+    """The table function on the orders of each nation's customers: suppliers' nations as items, quantities as utilities, at a fiftieth of the group's total."""
+    register(spark)
+    at = sf_dir.rstrip("/")
+    for name in ("lineitem", "orders", "customer", "supplier"):
+        spark.read.parquet(f"{at}/{name}.parquet").createOrReplaceTempView(f"utilmine_{name}")
+    spark.sql("""CREATE OR REPLACE TEMP VIEW utilmine_groups AS
+        SELECT c_nationkey AS g, l_orderkey AS tid, CAST(s_nationkey AS BIGINT) AS item, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS u
+        FROM utilmine_lineitem JOIN utilmine_orders ON o_orderkey = l_orderkey JOIN utilmine_customer ON c_custkey = o_custkey JOIN utilmine_supplier ON s_suppkey = l_suppkey
+        GROUP BY 1, 2, 3""")
+    total = spark.sql("SELECT sum(u) FROM utilmine_groups").first()[0] or 0
+    found = spark.sql(f"SELECT * FROM mine_utility(TABLE(utilmine_groups) PARTITION BY g, {total // 2000})")
+    return found.groupBy("length").agg(F.count("*").alias("itemsets"), F.sum("utility").alias("utility"), F.sum("support").alias("support"))
+
+
+PLAIN: dict[str, Query] = {f.__name__: f for f in (dataset_stats_brand, item_twu_brand, pair_twu_brand, twu_filtered_supp, result_diff_events, text_round_trip_supp, event_windows, sql_function_nations)}
 
 
 def queries() -> dict[str, Query]:
@@ -155,4 +199,16 @@ SELECT CAST(tid AS BIGINT) AS tid, CAST(item AS BIGINT) AS item, CAST(row_number
 FROM e JOIN t USING (tid) JOIN i USING (item) WINDOW w AS (PARTITION BY tid ORDER BY twu, item)""",
         "result_diff_events": f"WITH RECURSIVE {events}, {_SUBSETS.strip()} SELECT array_to_string(items, ' ') AS itemset, 'missing' AS status, utility AS expected, CAST(NULL AS BIGINT) AS found FROM x, mm WHERE utility >= m AND utility < 2 * m",
     }
+    plain["text_round_trip_supp"] = f"WITH RECURSIVE {supp}, {_SUBSETS.strip()} SELECT array_to_string(items, ' ') AS itemset, utility FROM x, mm WHERE utility >= m"
+    plain["event_windows"] = f"""WITH RECURSIVE b AS (SELECT (epoch_us(ts)::BIGINT // 604800000000) * 604800 AS w, user_id AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS u FROM events GROUP BY 1, 2, 3),
+e AS (SELECT * FROM b WHERE item IS NOT NULL), mm AS (SELECT CAST(sum(u) AS BIGINT) // 1000 AS m FROM e),
+s AS (SELECT w, k, item AS last, [item] AS items, u FROM e UNION ALL SELECT s.w, s.k, e.item, list_append(s.items, e.item), s.u + e.u FROM s JOIN e ON s.w = e.w AND s.k = e.k AND e.item > s.last),
+x AS (SELECT w, items, CAST(sum(u) AS BIGINT) AS utility, count(*) AS support FROM s GROUP BY 1, 2)
+SELECT w AS window_second, {_SHOWN} FROM x, mm WHERE utility >= m"""
+    plain["sql_function_nations"] = """WITH RECURSIVE e AS (SELECT c_nationkey AS g, l_orderkey AS tid, CAST(s_nationkey AS BIGINT) AS item, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS u
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3),
+mm AS (SELECT CAST(sum(u) AS BIGINT) // 2000 AS m FROM e),
+s AS (SELECT g, tid, item AS last, [item] AS items, u FROM e UNION ALL SELECT s.g, s.tid, e.item, list_append(s.items, e.item), s.u + e.u FROM s JOIN e ON s.tid = e.tid AND e.item > s.last),
+x AS (SELECT g, items, CAST(sum(u) AS BIGINT) AS utility, count(*) AS support FROM s GROUP BY 1, 2)
+SELECT CAST(len(items) AS INT) AS length, count(*) AS itemsets, CAST(sum(utility) AS BIGINT) AS utility, CAST(sum(support) AS BIGINT) AS support FROM x, mm WHERE utility >= m GROUP BY 1"""
     return plain | {name: _mined_sql(name) for name in MINED if name not in APPROXIMATE}
