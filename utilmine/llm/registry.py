@@ -124,5 +124,39 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_jaccard_join, op2_warc, op3_winnowing, op4_url_lists, op5_suffix_dedup, op6_line_dedup, op7_decontamination, op8_quality, op9_extraction, op10_packing)}
 
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM w),
+items AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM sets),
+same AS (SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM same UNION ALL SELECT b, a FROM same),
+reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id FROM sets LEFT JOIN least USING (doc_id)
+"""
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, n, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * (CAST(k AS INT) // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (CAST(k AS INT) % 4))) & 31 AS BIGINT) + 1, 1) FOR k IN range(32)], '') AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d GROUP BY payload_digest)
+SELECT page_id, n AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d JOIN f USING (payload_digest)
+"""
+
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT item, least(len(w), 10) AS k, unnest([array_to_string(w[j:j + least(len(w), 10) - 1], ' ') FOR j IN range(1, len(w) - least(len(w), 10) + 2)]) AS x FROM i WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM iw),
+dw AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS pos, unnest([array_to_string(w[j:j + k - 1], ' ') FOR j IN range(1, len(w) - k + 2)]) AS x FROM d, ks WHERE len(w) >= k),
+m AS (SELECT doc_id, item, k, pos FROM dw JOIN iw USING (k, x)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS p FROM (SELECT DISTINCT doc_id, k, pos FROM m)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_lists": OP4_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op2_warc": OP2_SQL, "op4_url_lists": OP4_SQL, "op7_decontamination": OP7_SQL}
