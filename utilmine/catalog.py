@@ -115,9 +115,9 @@ def text_round_trip_supp(spark, sf_dir):
 
 
 def event_windows(spark, sf_dir):
-    """Baskets of a user in windows of seven days of event time; each window is mined by itself, at a thousandth of all utility."""
+    """Baskets of a user in windows of one day of event time; each window is mined by itself, at a thousandth of all utility."""
     events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    rows = events.select(F.window("ts", "7 days").alias("w"), F.col("user_id").alias("key"), F.get_json_object("props", "$.k").cast("bigint").alias("item"), F.round(F.col("value") * 100).cast("bigint").alias("utility"))
+    rows = events.select(F.window("ts", "1 day").alias("w"), F.col("user_id").alias("key"), F.get_json_object("props", "$.k").cast("bigint").alias("item"), F.round(F.col("value") * 100).cast("bigint").alias("utility"))
     baskets = cut(rows.groupBy("w", "key", "item").agg(F.sum("utility").alias("utility")))
     m = (baskets.where("item IS NOT NULL").agg(F.sum("utility")).first()[0] or 0) // 1000
     found = mine_event_windows(baskets, m)
@@ -135,7 +135,7 @@ def sql_function_nations(spark, sf_dir):
         FROM utilmine_lineitem JOIN utilmine_orders ON o_orderkey = l_orderkey JOIN utilmine_customer ON c_custkey = o_custkey JOIN utilmine_supplier ON s_suppkey = l_suppkey
         GROUP BY 1, 2, 3""")
     total = spark.sql("SELECT sum(u) FROM utilmine_groups").first()[0] or 0
-    found = spark.sql(f"SELECT * FROM mine_utility(TABLE(utilmine_groups) PARTITION BY g, {total // 2000})")
+    found = spark.sql(f"SELECT * FROM mine_utility(TABLE(utilmine_groups) PARTITION BY (g), {total // 2000})")
     return found.groupBy("length").agg(F.count("*").alias("itemsets"), F.sum("utility").alias("utility"), F.sum("support").alias("support"))
 
 
@@ -200,7 +200,7 @@ FROM e JOIN t USING (tid) JOIN i USING (item) WINDOW w AS (PARTITION BY tid ORDE
         "result_diff_events": f"WITH RECURSIVE {events}, {_SUBSETS.strip()} SELECT array_to_string(items, ' ') AS itemset, 'missing' AS status, utility AS expected, CAST(NULL AS BIGINT) AS found FROM x, mm WHERE utility >= m AND utility < 2 * m",
     }
     plain["text_round_trip_supp"] = f"WITH RECURSIVE {supp}, {_SUBSETS.strip()} SELECT array_to_string(items, ' ') AS itemset, utility FROM x, mm WHERE utility >= m"
-    plain["event_windows"] = f"""WITH RECURSIVE b AS (SELECT (epoch_us(ts)::BIGINT // 604800000000) * 604800 AS w, user_id AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS u FROM events GROUP BY 1, 2, 3),
+    plain["event_windows"] = f"""WITH RECURSIVE b AS (SELECT (epoch_us(ts)::BIGINT // 86400000000) * 86400 AS w, user_id AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS u FROM events GROUP BY 1, 2, 3),
 e AS (SELECT * FROM b WHERE item IS NOT NULL), mm AS (SELECT CAST(sum(u) AS BIGINT) // 1000 AS m FROM e),
 s AS (SELECT w, k, item AS last, [item] AS items, u FROM e UNION ALL SELECT s.w, s.k, e.item, list_append(s.items, e.item), s.u + e.u FROM s JOIN e ON s.w = e.w AND s.k = e.k AND e.item > s.last),
 x AS (SELECT w, items, CAST(sum(u) AS BIGINT) AS utility, count(*) AS support FROM s GROUP BY 1, 2)

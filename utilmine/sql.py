@@ -9,7 +9,7 @@ from pyspark.sql.functions import udtf
 
 @udtf(returnType="itemset array<bigint>, length int, utility bigint, support bigint")
 class MineUtility:
-    """``SELECT * FROM mine_utility(TABLE(t) PARTITION BY g, m)`` (or ``WITH SINGLE PARTITION``): exact high-utility itemsets of each group of (tid, item, u) rows.
+    """``SELECT * FROM mine_utility(TABLE(t) PARTITION BY (g), m)`` (or ``WITH SINGLE PARTITION``): exact high-utility itemsets of each group of (tid, item, u) rows.
 
     A group is mined in one task, so this is for many small groups (a store's day); use ``mine`` for one large database.
     """
