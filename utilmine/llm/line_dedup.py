@@ -20,7 +20,7 @@ Texts are read where they lie: what is shuffled are hashes of lines, keys, and t
 5. Buckets of more than ``HOT`` lines are not paired. Their lines are compared with the earliest of the bucket; those that have no earlier partner by then
    meet the others by two words instead of one (or by the segment), again only if the parities allow it.
 6. Pairs are verified with a banded bit-parallel edit distance: the 2 * ``edits`` + 1 cells of a column that matter are bits of one number that slides
-   down with each character; or by the edit distance of words, each word standing as one character.
+   down with each character; or by the edit distance of words, each word standing as one character (words are told apart by 64-bit hashes).
 
 Edge cases: null text is empty and has no lines to lose; a document whose lines all go becomes an empty text; rows that share an id are
 ordered by the digest of their texts, and rows that agree in both are one document and keep the same lines; rows with a null id keep all lines, which no other
@@ -237,7 +237,7 @@ def _reach(n: Column, per_words: int) -> Column:
 
 
 #: Lines of a bucket up to which all of them meet.
-HOT = 128
+HOT = 1024
 
 
 def line_keys(lines: DataFrame, edits: int, min_chars: int, per_words: int) -> DataFrame:
@@ -285,7 +285,8 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
     wanted = materialise(met.select("h1").unionByName(met.where("h1_2 IS NOT NULL").select(F.col("h1_2").alias("h1"))).distinct(), "lines-wanted")
     occurs = hashed.join(small_side(wanted, wanted.count()), "h1", "left_semi").select("h1", F.xxhash64(F.lit(17), "line").alias("h2"), F.struct("id", "at", "line").alias("x"))
     firsts = occurs.groupBy("h1", "h2").agg(F.min("x").alias("x")).select("h1", "x.id", "x.at", "x.line")
-    firsts = _profiled(firsts).drop("codes").withColumns({"size": F.char_length("line"), "spelled": spelled(_words("line"))})
+    words = _words("line")
+    firsts = _profiled(firsts).drop("codes").withColumns({"size": F.char_length("line"), "spelled": spelled(words), "words": F.transform(words, lambda w: F.xxhash64(w))})
     firsts = materialise(firsts, "lines")
 
     def other(df: DataFrame) -> DataFrame:
@@ -306,13 +307,14 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
 
     def later(pairs: DataFrame) -> DataFrame:
         """The (id, at) of the later line of each close pair that is within the threshold."""
-        texts = firsts.select("id", "at", "n", "line", "spelled")
+        short = F.when(F.col("n") < 2 * edits * per_words, F.col("line")) if per_words else F.col("line")
+        texts = firsts.select("id", "at", "n", short.alias("line"), "spelled", "words")
         both = pairs.where((F.col("id") != F.col("id_2")) | (F.col("at") != F.col("at_2"))).join(texts, ["id", "at"]).join(other(texts), ["id_2", "at_2"])
         near = F.lit(False)
         if per_words:
-            one_each = F.size(F.array_union(_words("line"), _words("line_2"))) == F.size(F.array_distinct(F.split(F.concat("spelled", "spelled_2"), "")))
+            one_each = F.size(F.array_union("words", "words_2")) == F.size(F.array_distinct(F.split(F.concat("spelled", "spelled_2"), "")))
             most = F.floor(F.greatest("n", "n_2") / per_words).cast("int")
-            near = F.when(F.col("reworded"), F.when(one_each, True).otherwise(word_distance(_words("line"), _words("line_2"), most) >= 0)).otherwise(False)
+            near = F.when(F.col("reworded"), F.when(one_each, True).otherwise(word_distance(F.col("words"), F.col("words_2"), most) >= 0)).otherwise(False)
         both = differing_parts(both.withColumn("near", near), edits, b="line_2")
         edited = F.when(F.col("characters"), banded_distance(F.col("part_a"), F.col("part_b"), edits) <= edits).otherwise(False)
         last = F.greatest(F.struct("id", "at"), F.struct(F.col("id_2").alias("id"), F.col("at_2").alias("at")))
@@ -392,9 +394,13 @@ def _repeated(docs: DataFrame, key: Column, text_col: str, edits: int, min_chars
     hashed = materialise(able.select("id", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line").alias("h2")), "line-hashes")
     place = F.struct("id", "at")
     groups = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = hashed.join(groups, ["h1", "h2"]).where(place != F.col("first")).select("id", "at")
-    scratch = [hashed]
-    gone = again.unionByName(near_lines(_lines(docs, key, text_col, min_chars), edits, min_chars, per_words, scratch))
+    again = materialise(hashed.join(groups, ["h1", "h2"]).where(place != F.col("first")).select("id", "at"), "equal-lines")
+    scratch = [hashed, again]
+    lines, n = _lines(docs, key, text_col, min_chars), again.count()
+    # equal lines share all their keys and are told apart by their hashes later on; a list that is small enough spares them the way there
+    if (known := small_side(again, n)) is not again:
+        lines = lines.join(known, ["id", "at"], "left_anti")
+    gone = again.unionByName(near_lines(lines, edits, min_chars, per_words, scratch))
     gone = materialise(gone.groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("gone")), "repeated-lines")
     release(*scratch)
     return gone
