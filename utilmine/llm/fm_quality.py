@@ -11,8 +11,9 @@ Training takes at most ``max_train`` labelled rows, half of each class where the
 by the hash of the id; only their sparse features come to the driver. The model has a fixed size and is broadcast.
 
 Edge cases: null text is the empty text, which gets a score from its structure features; rows without
-a label are scored only; null or repeated label rows count once per id (the smallest label); with
-no usable labels of one class every score is 0.5 plus the prior of the other; an empty table gives no rows.
+a label are scored only; null or repeated label rows count once per id (the smallest label), and of documents that share an id
+one is learned from (the smallest text); with no usable labels of one class every score is 0.5 plus the prior of the other; rows with null or
+repeated ids are each scored; an empty table gives no rows; columns of the input pass through, but for one named as the score, which is replaced.
 """
 
 from __future__ import annotations
@@ -175,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     parts = [single.where(F.col("label") == k).orderBy(mixed, "label_id").limit(max_train // 2) for k in (0, 1)]
     sample = parts[0].unionByName(parts[1])  # at most max_train rows of two numbers: safe to broadcast
     rows = docs.select(F.col(id_col).alias("label_id"), as_text(text_col).alias("text")).join(F.broadcast(sample), "label_id")
+    rows = rows.groupBy("label_id", "label").agg(F.min("text").alias("text"))  # one text per id, so the bound holds for repeated ids too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
