@@ -299,7 +299,8 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
             most = F.floor(F.greatest("n", "n_2") / per_words).cast("int")
             reworded = F.when(F.abs(F.col("n") - F.col("n_2")) <= most, F.call_function("levenshtein", F.col("spelled"), F.col("spelled_2"), most) >= 0).otherwise(False)
             pairs = pairs.withColumn("reworded", reworded & (most > 0))
-            characters = characters & ~F.col("reworded") & (F.greatest("n", "n_2") < 2 * edits * per_words)
+            # pairs within an edit of characters share a segment, so those that words alone brought together are not looked at again
+            characters = characters & F.col("segment") & ~F.col("reworded") & (F.greatest("n", "n_2") < 2 * edits * per_words)
         else:
             pairs = pairs.withColumn("reworded", F.lit(False))
         pairs = pairs.withColumn("characters", characters).where(F.col("reworded") | F.col("characters"))
@@ -324,7 +325,9 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
         own = firsts.select("id", "at", "n", "size", "spelled")
         return pairs.join(own, ["id", "at"]).join(other(own), ["id_2", "at_2"])
 
-    pairs = materialise(met.where("h1_2 IS NOT NULL").select("h1", "h1_2").distinct(), "line-pairs")
+    segment = F.col("key").bitwiseAND(F.lit(1).cast("long")) == 0
+    pairs = met.where("h1_2 IS NOT NULL").groupBy("h1", "h1_2").agg(F.max(segment).alias("segment"))
+    pairs = materialise(pairs, "line-pairs")
     named = firsts.select("h1", "id", "at", "n", "size", "spelled")
     found = materialise(later(close(pairs.join(named, "h1").join(other(named), "h1_2"))), "near-lines")
     hot = met.where("h1_2 IS NULL").select("key", "h1").join(firsts.select("h1", "id", "at", "n", "p", "q"), "h1").drop("h1")
@@ -336,7 +339,7 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
     own, their = ({c: F.col(f"{c}{x}") for c in ("n", "p", "q")} for x in ("", "_2"))
     match = may_match(own, their, edits, per_words)
     star = hot.join(hot.groupBy("key").agg(F.min(place).alias("x")).select("key", *(F.col(f"x.{c}").alias(f"{c}_2") for c in ("id", "at", "n", "p", "q"))), "key")
-    star = materialise(star.where(match).select("id", "at", "id_2", "at_2").distinct(), "line-pairs")
+    star = materialise(star.where(match).groupBy("id", "at", "id_2", "at_2").agg(F.max(segment).alias("segment")), "line-pairs")
     found = materialise(found.unionByName(later(close(with_profiles(star)))).distinct(), "near-lines")
     members = hot
     if per_words:
@@ -346,13 +349,13 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
         tokens = tokens.select("id", "at", "tokens", "band", F.posexplode("tokens").alias("i", "token"))
         tokens = tokens.withColumn("key", F.xxhash64("token", "band").bitwiseOR(F.lit(1).cast("long")))
         refined = hot.join(tokens, ["key", "id", "at"]).select("id", "at", "n", "p", "q", "key", F.explode(F.slice("tokens", F.col("i") + 2, F.size("tokens"))).alias("second"))
-        refined = refined.select(F.xxhash64("key", "second").alias("key"), "id", "at", "n", "p", "q")
+        refined = refined.select(F.xxhash64("key", "second").bitwiseOR(F.lit(1).cast("long")).alias("key"), "id", "at", "n", "p", "q")
         members = hot.where(F.col("key").bitwiseAND(F.lit(1).cast("long")) == 0).unionByName(refined)
     members = materialise(members, "hot-lines")
     open_ = members.join(found, ["id", "at"], "left_anti")
     before = (F.col("id_2") < F.col("id")) | ((F.col("id_2") == F.col("id")) & (F.col("at_2") < F.col("at")))
-    rest = open_.join(other(members), "key").where(before & match).select("id", "at", "id_2", "at_2").distinct()
-    rest = materialise(rest.join(star, ["id", "at", "id_2", "at_2"], "left_anti"), "line-pairs")
+    rest = open_.join(other(members), "key").where(before & match).groupBy("id", "at", "id_2", "at_2").agg(F.max(segment).alias("segment"))
+    rest = materialise(rest.join(star, ["id", "at", "id_2", "at_2", "segment"], "left_anti"), "line-pairs")
     return found.unionByName(later(close(with_profiles(rest))))
 
 
