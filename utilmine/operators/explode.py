@@ -19,34 +19,25 @@ def _rest(column: str) -> "F.Column":
     return F.aggregate(column, F.lit(0).cast("long"), lambda n, x: n + x["u"])
 
 
-def _running(column: str) -> "F.Column":
-    """Sums of the utilities up to each place."""
-    return F.aggregate(column, F.array().cast("array<bigint>"), lambda sums, x: F.concat(sums, F.array(F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0)) + x["u"])))
-
-
 def mine_projected(entries: DataFrame, m: int) -> DataFrame:
     """(itemset, utility, support) with utility >= m; ``entries`` are ranked ones."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", "item", "u")))
     rows = entries.groupBy("tid").agg(F.transform(ordered, lambda x: F.struct(x["item"].alias("item"), x["u"].alias("u"))).alias("suffix"))
-    rows = cut(rows.select(F.array().cast("array<bigint>").alias("itemset"), F.lit(0).cast("long").alias("pu"), "suffix", _rest("suffix").alias("total"), F.lit(1).cast("long").alias("n")))
-    found, length = None, 1
+    rows = cut(rows.select(F.array().cast("array<bigint>").alias("itemset"), F.lit(0).cast("long").alias("pu"), "suffix", F.lit(1).cast("long").alias("n")))
+    found = None
     while True:
-        # what is left after an item: the whole suffix less what stands up to it
-        each = rows.select("itemset", "pu", "total", "n", F.posexplode("suffix").alias("at", "x"), _running("suffix").alias("running"))
-        each = each.select("itemset", F.col("x.item").alias("z"), "pu", F.col("x.u").alias("u"), "total", (F.col("total") - F.get("running", F.col("at"))).alias("rest"), "n")
-        sums = each.groupBy("itemset", "z").agg(F.sum(F.col("pu") + F.col("u")).alias("utility"), F.sum(F.col("pu") + F.col("u") + F.col("rest")).alias("su"), F.sum(F.col("pu") + F.col("total")).alias("lu"), F.sum("n").alias("support"))
+        each = rows.select("itemset", "pu", "suffix", "n", F.posexplode("suffix").alias("at", "z"))
+        each = each.select("itemset", F.col("z.item").alias("z"), (F.col("pu") + F.col("z.u")).alias("pu"), F.slice("suffix", F.col("at") + 2, F.size("suffix")).alias("suffix"), (F.col("pu") + _rest("suffix")).alias("local"), "n")
+        sums = each.groupBy("itemset", "z").agg(F.sum("pu").alias("utility"), F.sum(F.col("pu") + _rest("suffix")).alias("su"), F.sum("local").alias("lu"), F.sum("n").alias("support"))
         sums = cut(sums)
         out = sums.where(F.col("utility") >= m).select(F.concat("itemset", F.array("z")).alias("itemset"), "utility", "support")
         found = out if found is None else found.unionByName(out)
-        sets = sums.groupBy("itemset").agg(F.collect_set(F.when(F.col("su") >= m, F.col("z"))).alias("grow"), F.collect_set(F.when(F.col("lu") >= m, F.col("z"))).alias("keep"))
-        sets = cut(sets.where(F.size("grow") > 0))
-        size = sets.agg(F.count("*").alias("n"), F.sum(F.size("keep") + F.size("grow")).alias("m")).first()
-        if not size["n"]:
+        primary = sums.where(F.col("su") >= m).select("itemset", "z")
+        n = primary.count()
+        if not n:
             return found
-        # only the items that may grow are unfolded, and only what may follow them goes along
-        met = rows.join(hinted(sets, size["n"], length + size["m"] // size["n"]), "itemset")
-        grown = met.select("itemset", "pu", "keep", "suffix", "n", F.posexplode("suffix").alias("at", "x"), "grow").where(F.array_contains("grow", F.col("x.item")))
-        left = F.filter(F.slice("suffix", F.col("at") + 2, F.size("suffix")), lambda x: F.array_contains("keep", x["item"]))
-        step = grown.select(F.concat("itemset", F.array("x.item")).alias("itemset"), (F.col("pu") + F.col("x.u")).alias("pu"), left.alias("suffix"), "n").where(F.size("suffix") > 0)
-        rows = cut(step.select("itemset", "pu", "suffix", _rest("suffix").alias("total"), "n"))
-        length += 1
+        secondary = sums.where(F.col("lu") >= m).groupBy("itemset").agg(F.collect_set("z").alias("keep"))
+        grown = each.join(hinted(primary, n), ["itemset", "z"], "left_semi").join(hinted(secondary, n, 32), "itemset")
+        kept = F.filter("suffix", lambda x: F.array_contains("keep", x["item"]))
+        step = grown.select(F.concat("itemset", F.array("z")).alias("itemset"), "pu", kept.alias("suffix"), "n").where(F.size("suffix") > 0)
+        rows = cut(step)
