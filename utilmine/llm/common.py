@@ -62,12 +62,20 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Deal rows out evenly where the input has fewer splits than the cluster has cores.
+    """Deal rows out evenly where the cluster's cores would not have even shares of them.
 
-    Large inputs keep their splits, so nothing is shuffled there. Counting the splits plans ``df``: call it on scans, not above joins.
+    A split can be empty (a file's only row group lies in one of its splits), so where splits are few their rows are counted, which
+    reads no column. Large inputs keep their splits, so nothing is counted or shuffled there. Counting plans ``df``: call it on scans, not above joins.
     """
     least = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
+    splits = df.rdd.getNumPartitions()
+    if splits >= 4 * least:
+        return df
+    if splits >= least:
+        rows = [r[0] for r in df.groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]  # fewer than 4 * least numbers
+        if max(rows, default=0) * least <= 2 * sum(rows):
+            return df
+    return df.repartition(least)
 
 
 def as_text(column) -> "F.Column":
@@ -113,6 +121,7 @@ def components(links: DataFrame) -> DataFrame:
         label, held = step.select("node", "component"), step
         if not changed:
             release(both)
+            label._utilmine_path = held._utilmine_path
             return label
 
 

@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -257,37 +257,56 @@ def _verify(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; sets link from a similarity of num / den on."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100, find: Callable | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; sets link from a similarity of num / den on.
+
+    ``find`` gives these of (id, text) whose ids are distinct or null; by default with PartEnum signatures.
+    """
+    find = find or _components
     texts = docs.select(F.col(id_col).cast("long").alias("id"), as_text(text_col).alias("text"))
     named = texts.where("id IS NOT NULL")
     if not named.groupBy("id").count().where("count > 1").limit(1).count():
-        return _components(texts, k, num, den)
+        return find(texts, k, num, den)
     # rows of one id are linked: components of rows are joined to components of ids
     rows, _ = with_key(named, "id", "text")
-    found = materialise(_components(rows.select(F.col("key").alias("id"), "text"), k, num, den), "row-components")
+    found = materialise(find(rows.select(F.col("key").alias("id"), "text"), k, num, den), "row-components")
     owner = rows.select("key", "id").distinct()
     owned = found.withColumnRenamed("doc_id", "key").join(owner, "key").join(owner.select(F.col("key").alias("component_id"), F.col("id").alias("b")), "component_id")
     owned = materialise(owned.select("id", "n_shingles", "b"), "owned")
+    release(found)
     label = components(owned.select(F.col("id").alias("a"), "b"))
     out = owned.join(label.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    return out.unionByName(_components(texts.where("id IS NULL"), k, num, den))
+    return out.unionByName(find(texts.where("id IS NULL"), k, num, den))
+
+
+def copies_of(full: DataFrame) -> DataFrame:
+    """(id, first): rows of ``full`` (id, key) whose set is that of a row with a smaller id."""
+    first = full.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("key", "first")
+    return materialise(full.join(first, "key").where("id != first").select("id", "first"), "copies")
+
+
+def shared_buckets(signed: DataFrame) -> DataFrame:
+    """(signature, id, size) of the signatures that more than one row has."""
+    return materialise(signed.withColumn("size", F.count("*").over(Window.partitionBy("signature"))).where("size > 1"), "buckets")
 
 
 def _components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``jaccard_components`` of (id, text) whose ids are distinct or null."""
-    scratch: list[DataFrame] = []
     seen = materialise(spread(texts).mapInArrow(_describe(k), "id long, n long, key binary, " + ", ".join(f"{x} long" for x in PARITIES)), "sets")
     full = seen.where("n > 0 AND id IS NOT NULL")
-    first = full.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("key", "first")
-    copies = materialise(full.join(first, "key").where("id != first").select("id", "first"), "copies")
-    n_copies = copies.count()
-
+    copies = copies_of(full)
     # texts of one row of each set only; most rows stay, so what is taken away is the small side
-    own = spread(texts).where("id IS NOT NULL").join(small_side(copies.select("id"), n_copies), "id", "left_anti")
-    signed = own.mapInArrow(_sign(k, num, den), "signature long, id long")
-    bucket = Window.partitionBy("signature")
-    buckets = materialise(signed.withColumn("size", F.count("*").over(bucket)).where("size > 1"), "buckets")
+    own = spread(texts).where("id IS NOT NULL").join(small_side(copies.select("id"), copies.count()), "id", "left_anti")
+    buckets = shared_buckets(own.mapInArrow(_sign(k, num, den), "signature long, id long"))
+    return with_components(seen, copies, link_buckets(texts, full, buckets, k, num, den))
+
+
+def link_buckets(texts: DataFrame, full: DataFrame, buckets: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, component) over the links between rows that share a bucket, confirmed on their full sets; ``buckets`` (a materialised table) is deleted.
+
+    ``full`` (id, n, parities) describes the rows, ``texts`` (id, text) gives their sets.
+    """
+    scratch: list[DataFrame] = []
     shared = buckets.dropDuplicates(["signature", "id"])
     popular = shared.groupBy("id").agg(F.sum("size").alias("popular"))
     ranked = shared.select("signature", "id").join(popular, "id")
@@ -337,12 +356,17 @@ def _components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
         more = compare(rest)
         found = more.where("linked")
         if found.limit(1).count():
-            label = components(compared.where("linked").select("a", "b").unionByName(found.select("a", "b")))
+            first, label = label, components(compared.where("linked").select("a", "b").unionByName(found.select("a", "b")))
+            scratch.append(first)
         scratch.append(more)
     release(*scratch, buckets, profile, star, compared, open_, rest)
+    return label
+
 
+def with_components(seen: DataFrame, copies: DataFrame, label: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of all rows of ``seen`` (id, n): copies are where the first row of their set is."""
     placed = copies.groupBy("id").agg(F.min("first").alias("first"))
-    out = seen.select("id", "n").join(small_side(placed, n_copies), "id", "left").withColumn("node", F.coalesce("first", "id"))
+    out = seen.select("id", "n").join(small_side(placed, copies.count()), "id", "left").withColumn("node", F.coalesce("first", "id"))
     return out.join(label, "node", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "node")).alias("component_id")
     )

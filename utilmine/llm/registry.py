@@ -127,24 +127,36 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(conversation_rows(table(spark, sf_dir, "conversations"))))
 
 
+def op13_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from utilmine.llm.minmax_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=5, num=85, den=100)
+
+
 def queries() -> dict:
-    numbered = (op1_jaccard_join, op2_warc, op3_winnowing, op4_url_lists, op5_suffix_dedup, op6_line_dedup, op7_decontamination, op8_quality, op9_extraction, op10_packing, op12_structure_repair)
+    numbered = (op1_jaccard_join, op2_warc, op3_winnowing, op4_url_lists, op5_suffix_dedup, op6_line_dedup, op7_decontamination, op8_quality, op9_extraction, op10_packing, op12_structure_repair, op13_minmax_dedup)
     return {f.__name__: f for f in numbered}
 
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-OP1_SQL = rf"""
+def _linked_sql(k: int, more: str = "") -> str:
+    """Sets of k-word shingles, links from a similarity of 85 / 100 on, and the smallest id that links reach."""
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
-sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM w),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + {k - 1}], ' ') FOR i IN range(1, len(w) - {k - 2})]) END AS s FROM w),
 items AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM sets),
 same AS (SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
 links AS (SELECT a, b FROM same UNION ALL SELECT b, a FROM same),
 reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
 least AS (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id)
-SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id FROM sets LEFT JOIN least USING (doc_id)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id{more} FROM sets LEFT JOIN least USING (doc_id)
 """
 
+
+OP1_SQL = _linked_sql(4)
+OP13_SQL = _linked_sql(5, ", doc_id <= coalesce(low, doc_id) AS kept")
+
 OP2_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (SELECT page_id, n, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * (CAST(k AS INT) // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (CAST(k AS INT) % 4))) & 31 AS BIGINT) + 1, 1) FOR k IN range(32)], '') AS payload_digest FROM p),
@@ -167,4 +179,4 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL, "op2_warc": OP2_SQL, "op4_url_lists": OP4_SQL, "op7_decontamination": OP7_SQL, "op12_structure_repair": OP12_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op2_warc": OP2_SQL, "op4_url_lists": OP4_SQL, "op7_decontamination": OP7_SQL, "op12_structure_repair": OP12_SQL, "op13_minmax_dedup": OP13_SQL}
