@@ -1,4 +1,4 @@
-"""Structure repair of conversations against brute force and its SQL."""
+"""Structure repair and prefix tries of conversations against brute force and their SQL."""
 
 import hashlib
 import random
@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from utilmine.llm import conversation_sql, registry, structure_repair
+from utilmine.llm import conversation_sql, prefix_trie, registry, structure_repair
 
 ROWS = "conv_id long, turn long, role string, text string, audit string"
 PRICE = {"K": 0, "R": 3, "D": 4, "I": 3}
@@ -23,11 +23,12 @@ def table(spark, rows):
 def same_as_sql(spark, query, sql, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
-    want = con.execute(sql).df()
-    got = query(spark, sf).toPandas()
-    assert sorted(got.columns) == sorted(want.columns)
-    rows = [sorted(map(tuple, f[sorted(want.columns)].astype(object).where(f[sorted(want.columns)].notna(), None).values.tolist()), key=str) for f in (got, want)]
-    assert rows[0] == rows[1]
+    want = con.execute(sql)
+    columns = sorted(c[0] for c in want.description)
+    frame = query(spark, sf)
+    assert sorted(frame.columns) == columns
+    asked = con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+    assert sorted(map(tuple, frame.select(*columns).collect()), key=str) == sorted(asked, key=str)
 
 
 def repaired_by_force(rows):
@@ -131,3 +132,69 @@ def test_damage_follows_the_checksum(spark):
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_repair_is_what_sql_gives(spark, sf):
     same_as_sql(spark, registry.queries()["op12_structure_repair"], conversation_sql.OP12_SQL, f"/root/testdata/{sf}")
+
+
+# prefix trie
+
+
+def trie_by_force(conversations, every=20, heads=4):
+    """Nodes of {conv_id: [(role, text)]} by walking all prefixes."""
+    rebuilt = {}
+    for c, own in conversations.items():
+        h = zlib.crc32(str(c).encode()) % heads
+        rebuilt[c] = conversations.get(c - c % every, [])[:h] + own[h:]
+    members = {}
+    for c, turns in sorted(rebuilt.items()):
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    out = set()
+    for path, held in members.items():
+        below = [p for p in members if p[: len(path)] == path]
+        kids = [p for p in below if len(p) == len(path) + 1]
+        leaves = [p for p in below if not any(len(q) == len(p) + 1 and q[: len(p)] == p for q in below)]
+        saved = sum((len(members[p]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) for p in below if p)
+        ends = ",".join(str(c) for c in held if len(rebuilt[c]) == len(path))
+        out.add((held[0], len(path), members[path[:-1]][0] if path else None, len(held), len(kids), len(leaves), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+@pytest.mark.parametrize("bound", [1, 7, 4096])
+def test_trie_of_mixed_conversations(spark, bound):
+    """Shared beginnings of all lengths, exact copies, one long shared chain and turnless conversations; small bounds make Spark split the components."""
+    r = random.Random(bound)
+    words = ["a b", "c", "", "d e f", "long words here"]
+    chain = [("user", f"step {i}") for i in range(40)]
+    conversations = {c: [(r.choice(["user", "assistant"]), r.choice(words)) for _ in range(r.randint(1, 6))] for c in range(0, 160, 3)}
+    conversations |= {1000 + c: list(chain) for c in range(0, 12)} | {1100 + c: chain[: 5 * c + 1] for c in range(7)}
+    rows = [(c, t, *x) for c, turns in conversations.items() for t, x in enumerate(turns)]
+    got = prefix_trie.rebuilt_trie(table(spark, rows), bound=bound).select(*COLUMNS).collect()
+    assert len(got) == len(set(got)) and set(map(tuple, got)) == trie_by_force(conversations)
+
+
+def test_decomposition_of_any_tree():
+    r = random.Random(6)
+    for n, shape in [(1, "r"), (2, "r"), (300, "chain"), (300, "star"), *((r.randint(2, 200), "r") for _ in range(20))]:
+        parents = [-1] + [{"chain": v - 1, "star": 0}.get(shape, r.randrange(v)) for v in range(1, n)]
+        values = [[r.randint(-5, 9) for _ in range(n)] for _ in range(2)]
+        want = [list(v) for v in values]
+        for v in range(n - 1, 0, -1):
+            for w in want:
+                w[parents[v]] += w[v]
+        assert prefix_trie._decompose(parents, values) == want
+
+
+def test_trie_of_odd_rows(spark):
+    """Null ids are left out; null roles, texts and turns, repeated rows and very long texts count; an empty table has no root."""
+    long_ = "word " * 100_000
+    rows = [(None, 0, "user", "x"), (40, None, None, None), (40, 0, "user", long_), (40, 0, "user", long_), (41, 0, "", ""), (41, 1, "user", long_), (42, 3, "user", "b"), (2**60, 0, "user", "c")]
+    want = {40: [("", ""), ("user", long_), ("user", long_)], 41: [("", ""), ("user", long_)], 42: [("user", "b")], 2**60: [("user", "c")]}
+    assert set(map(tuple, prefix_trie.rebuilt_trie(table(spark, rows)).select(*COLUMNS).collect())) == trie_by_force(want)
+    assert prefix_trie.rebuilt_trie(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_trie_is_what_sql_gives(spark, sf):
+    same_as_sql(spark, registry.queries()["op11_prefix_trie"], conversation_sql.OP11_SQL, f"/root/testdata/{sf}")

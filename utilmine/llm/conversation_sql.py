@@ -53,3 +53,21 @@ FROM ends LEFT JOIN c USING (conv_id) WHERE ends.i = coalesce(c.n, 0)
 
 
 OP12_SQL = _op12()
+
+OP11_SQL = rf"""
+WITH {_TABLE},
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h, n FROM (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id), tab),
+p AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS k FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (SELECT p.conv_id, o.pos AS d, role, text FROM p JOIN o ON o.conv_id = p.base AND o.pos <= p.h
+  UNION ALL SELECT p.conv_id, o.pos - h + k, role, text FROM p JOIN o ON o.conv_id = p.conv_id AND o.pos > p.h),
+m AS (SELECT conv_id, d, sha256(CAST(to_json(list({{'role': role, 'text': text}}) OVER (PARTITION BY conv_id ORDER BY d)) AS VARCHAR)) AS key, text FROM r UNION ALL SELECT conv_id, 0, '', '' FROM p),
+nodes AS (SELECT d AS depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, len(regexp_extract_all(min(text), '[^\x20\x09-\x0D]+')) AS words FROM m GROUP BY d, key),
+paths AS (SELECT m.conv_id AS member, nodes.conv_id, depth FROM m JOIN nodes ON d = depth AND m.key = nodes.key),
+up AS (SELECT n.*, paths.conv_id AS parent_conv_id FROM nodes n LEFT JOIN paths ON member = n.conv_id AND paths.depth = n.depth - 1),
+kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY 1, 2),
+own AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids USING (conv_id, depth)),
+roll AS (SELECT paths.conv_id, paths.depth, count(*) FILTER (x.n_children = 0) AS n_leaves, CAST(sum((x.n_convs - 1) * x.words) AS BIGINT) AS saved_tokens FROM own x JOIN paths ON member = x.conv_id AND paths.depth <= x.depth GROUP BY 1, 2),
+ends AS (SELECT paths.conv_id, depth, string_agg(CAST(member AS VARCHAR), ',' ORDER BY member) AS members FROM paths JOIN (SELECT conv_id, max(d) AS total FROM m GROUP BY conv_id) t ON member = t.conv_id AND depth = total GROUP BY 1, 2)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(members, '')) AS ends_sha256 FROM own JOIN roll USING (conv_id, depth) LEFT JOIN ends USING (conv_id, depth)
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utilmine.llm.common import table
-from utilmine.llm.conversation_sql import OP12_SQL
+from utilmine.llm.conversation_sql import OP11_SQL, OP12_SQL
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +121,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "doc_id", "text", capacity=2048)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from utilmine.llm.prefix_trie import rebuilt_trie
+
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from utilmine.llm.structure_repair import conversation_rows, damage, repair
 
@@ -134,7 +140,7 @@ def op13_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    numbered = (op1_jaccard_join, op2_warc, op3_winnowing, op4_url_lists, op5_suffix_dedup, op6_line_dedup, op7_decontamination, op8_quality, op9_extraction, op10_packing, op12_structure_repair, op13_minmax_dedup)
+    numbered = (op1_jaccard_join, op2_warc, op3_winnowing, op4_url_lists, op5_suffix_dedup, op6_line_dedup, op7_decontamination, op8_quality, op9_extraction, op10_packing, op11_prefix_trie, op12_structure_repair, op13_minmax_dedup)
     return {f.__name__: f for f in numbered}
 
 
@@ -179,4 +185,4 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL, "op2_warc": OP2_SQL, "op4_url_lists": OP4_SQL, "op7_decontamination": OP7_SQL, "op12_structure_repair": OP12_SQL, "op13_minmax_dedup": OP13_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op2_warc": OP2_SQL, "op4_url_lists": OP4_SQL, "op7_decontamination": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op12_structure_repair": OP12_SQL, "op13_minmax_dedup": OP13_SQL}
