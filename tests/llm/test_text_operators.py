@@ -43,6 +43,32 @@ def test_encoder_is_exact():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [reference_ids(t) for t in texts]
 
 
+def test_packing_needs_few_sequences(spark):
+    """At most one in a hundred more than the tokens take, from one small file as from many."""
+    docs_ = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    placed = packing.pack(docs_, capacity=2048).agg(F.sum("length").alias("tokens"), F.countDistinct("sequence_id").alias("n")).first()
+    assert placed["n"] <= 1.01 * placed["tokens"] / 2048 + 1
+
+
+def test_spread_counts_rows_not_splits(spark, tmp_path):
+    from utilmine.llm.common import spread
+
+    one = f"{tmp_path}/one"
+    spark.range(4000).coalesce(1).write.parquet(one)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        read = spark.read.parquet(one)
+        assert read.rdd.getNumPartitions() >= 4  # more splits than cores, all rows in one of them
+        shares = [len(x) for x in spread(read).rdd.glom().collect()]
+        assert max(shares) < 2000 and sum(shares) == 4000
+        even = spark.range(4000).repartition(5)
+        assert spread(even) is even
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_packing_places_every_token_once(spark):
     r = random.Random(5)
     texts = {i: " ".join(invent(r, r.choice([1, 5, 30, 200, 900]))) for i in range(60)} | {100: None, 101: ""}

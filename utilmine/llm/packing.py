@@ -4,7 +4,8 @@ Method: bounded-space online best-fit. A task keeps at most ``open_bins`` open s
 keyed by free space (bit *f* set: some open sequence has *f* free places) answers "the fullest
 sequence that still takes this piece" with two integer operations. When a new sequence is needed
 and all places are taken, the fullest open one closes first. Pieces arrive in look-ahead blocks
-ordered from long to short, which is still online (a block is bounded) and wastes less.
+ordered from long to short, which is still online (a block is bounded). A block of about twice the open sequences wastes
+least: in much longer ones so many long pieces come one after the other that sequences close before the short pieces that would fill them.
 
 What tasks leave open is packed again: these sequences become items of the next round, ``fan_in`` tasks to a group, and
 what a group leaves open goes on, until one group is left. A group holds at most ``open_bins`` open sequences and gets at most
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utilmine.llm.common import materialise, spread
+from utilmine.llm.common import materialise, release, spread
 
 #: Fixed value: the pre-tokenisation pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -283,21 +284,21 @@ def pack(
     tokenizer: str | None = None,
     capacity: int = 2048,
     open_bins: int = 1024,
-    look_ahead: int = 16_384,
+    look_ahead: int | None = None,
     fan_in: int = 256,
 ) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence.
 
-    ``open_bins`` and ``look_ahead`` bound a task's memory; ``fan_in`` bounds how many rows of two numbers
+    ``open_bins`` and ``look_ahead`` (pieces sorted at a time; by default twice ``open_bins``) bound a task's memory; ``fan_in`` bounds how many rows of two numbers
     a group of a later round gets (``fan_in * open_bins``).
     """
     spark = docs.sparkSession
     source = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    run = _tokenise_and_pack(tokenizer or default_tokenizer(), capacity, open_bins, look_ahead)
+    run = _tokenise_and_pack(tokenizer or default_tokenizer(), capacity, open_bins, look_ahead or 2 * open_bins)
     pieces = materialise(source.mapInArrow(run, PIECES), "pieces")
     left = pieces.where("is_open").groupBy("sequence_id").agg(F.sum("length").alias("fill"), F.shiftright("sequence_id", 33).alias("task"))
     left = materialise(left.select("sequence_id", "fill", "task"), "open")
-    moved, tasks = None, (left.agg(F.max("task")).first()[0] or 0) + 1
+    opened, moved, tasks = left, None, (left.agg(F.max("task")).first()[0] or 0) + 1
     while True:
         groups = -(-tasks // fan_in)
         dealt = left.select(F.expr(f"task div {fan_in}").alias("g"), "sequence_id", "fill").repartition(max(1, min(groups, 4096)), "g")
@@ -313,6 +314,7 @@ def pack(
             break
         left = step.where("is_open").select(F.col("into").alias("sequence_id"), "fill", F.col("g").alias("task"))
         tasks = groups
+    release(opened)
     return pieces.join(moved, "sequence_id", "left").select(
         "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("into", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")
     )
