@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from utilmine.functions import one_removed
 from utilmine.model import checked
 from utilmine.operators import heuristics
-from utilmine.operators.explode import mine_projected
 from utilmine.operators.levels import Rule, mine_levels
-from utilmine.operators.paths import mine_paths, path_table, verify_rarest, verify_trie
+from utilmine.operators.verify import verify_rarest, verify_trie
 from utilmine.operators.prep import item_dim, pairs, ranked_entries
+from utilmine.operators.shards import mine_shards, mine_top_shards
 from utilmine.plans import cut
 
 ALIASES = {"fhm-plus": "fhm+", "up-growth-plus": "up-growth+", "mhui-miner": "mhuiminer"}
@@ -81,7 +81,7 @@ def hup_miner(entries, m, partitions=8, **_):
 
 
 def efim(entries, m, **_):
-    return _result(mine_projected(_ranked(entries, _promising(entries, m)), m))
+    return _result(mine_shards(entries, cut(_promising(entries, m)), m)[0])
 
 
 def closed(found: DataFrame) -> DataFrame:
@@ -91,7 +91,8 @@ def closed(found: DataFrame) -> DataFrame:
 
 
 def efim_closed(entries, m, **_):
-    return closed(cut(efim(entries, m)))
+    """Closedness is tested in the search, which cuts branches that cannot hold closed itemsets; ``closed`` gives the same from all itemsets."""
+    return _result(mine_shards(entries, cut(_promising(entries, m)), m, closed=True)[0])
 
 
 def haui_miner(entries, m, **_):
@@ -146,47 +147,36 @@ def rept(entries, m=0, k=None, **_):
     return hui_miner(entries, m) if k is None else _top_k(entries, k, True)
 
 
-def _candidates(entries, m, kind, global_least=False) -> tuple[DataFrame, DataFrame]:
-    items = cut(_promising(entries, m))
-    least = entries.groupBy("item").agg(F.min("u").alias("least")) if global_least else None
-    return cut(mine_paths(path_table(entries, items), m, kind, least)), items
-
-
 def ihup(entries, m, **_):
-    found, items = _candidates(entries, m, "twu")
-    return _result(verify_rarest(found, entries, items).where(F.col("utility") >= m))
+    return _result(mine_shards(entries, cut(_promising(entries, m)), m, "twu")[0])
 
 
 def hui_trie(entries, m, **_):
-    found, _items = _candidates(entries, m, "twu")
-    return _result(verify_trie(found, entries).where(F.col("utility") >= m))
+    """Candidates by transaction utility, verified by walking their prefix trie over the transactions."""
+    found, _counts = mine_shards(entries, cut(_promising(entries, m)), m, "twu", candidates=True)
+    return _result(verify_trie(cut(found), entries).where(F.col("utility") >= m))
 
 
 def hup_tree(entries, m, **_):
-    """Exact utilities from the utility vectors, supports from the counts of the paths: nothing is verified."""
-    found, _items = _candidates(entries, m, "exact")
-    return _result(found.where(F.col("utility") >= m))
+    """Utilities place by place, so the sums that the transaction utilities bound are exact."""
+    return ihup(entries, m)
 
 
 def up_growth(entries, m, **_):
-    found, items = _candidates(entries, m, "estimate", global_least=True)
-    return _result(verify_rarest(found, entries, items).where(F.col("utility") >= m))
+    """Estimates less the least utility that each left-out item has anywhere."""
+    least = entries.groupBy("item").agg(F.min("u").alias("least"))
+    return _result(mine_shards(entries, cut(_promising(entries, m).join(least, "item")), m, "least")[0])
 
 
 def up_growth_plus(entries, m, **_):
-    found, items = _candidates(entries, m, "estimate")
-    return _result(verify_rarest(found, entries, items).where(F.col("utility") >= m))
+    """Estimates less the least utilities of the transactions that were merged."""
+    return _result(mine_shards(entries, cut(_promising(entries, m)), m, "least")[0])
 
 
 def tku(entries, m=0, k=None, **_):
     k = k or DEFAULT_K
     items = cut(item_dim(entries))
-    best = [r[0] for r in items.orderBy(F.desc("utility")).limit(k).select("utility").collect()]
-    border = max(1, best[k - 1]) if len(best) >= k else 1
-    more = [r[0] for r in pairs(_ranked(entries, items.where(F.col("twu") >= border))).orderBy(F.desc("utility")).limit(k).select("utility").collect()]
-    best = sorted(best + more, reverse=True)[:k]
-    border = max(border, best[k - 1]) if len(best) >= k else 1
-    return _top(up_growth_plus(entries, border), k)
+    return _top(mine_top_shards(entries, items, k)[0], k)
 
 
 def shuim(entries, m, window=1000, **_):
