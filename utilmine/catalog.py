@@ -80,16 +80,15 @@ def item_twu_brand(spark, sf_dir):
 
 
 def pair_twu_brand(spark, sf_dir):
-    entries = PROFILES["brand"](spark, sf_dir)
-    ranked = ranked_entries(entries, item_dim(entries).select("item"), [F.col("item")])
+    ranked = ranked_entries(PROFILES["brand"](spark, sf_dir), None, [F.col("item")])
     return pairs(ranked).select("i", "j", "twu", "utility", "support")
 
 
 def twu_filtered_supp(spark, sf_dir):
     """Entries of promising items (TWU of a hundredth of the total utility), in processing order, with the remaining utility."""
     entries = cut(PROFILES["supp"](spark, sf_dir))
-    items = item_dim(entries).where(F.col("twu") >= total_utility(entries) // 100)
-    return ranked_entries(entries, items.select("item", "twu"), [F.col("twu"), F.col("item")]).select("tid", "item", "rank", "u", "ru", "tu")
+    items = cut(item_dim(entries).where(F.col("twu") >= total_utility(entries) // 100).select("item", "twu"))
+    return ranked_entries(entries, items, [F.col("twu"), F.col("item")]).select("tid", "item", "rank", "u", "ru", "tu")
 
 
 def result_diff_events(spark, sf_dir):

@@ -24,7 +24,7 @@ class Rule:
 
     emit: Column
     extend: Column
-    pair_filter: Callable[[], DataFrame] | None = None
+    pair_filter: Callable[[DataFrame], DataFrame] | None = None
     max_length: int | None = None
     groups: list[str] = field(default_factory=list)
     border: Callable[[DataFrame], tuple[Column, Column]] | None = None
@@ -32,11 +32,14 @@ class Rule:
 
 
 def mine_levels(entries: DataFrame, rule: Rule) -> DataFrame:
-    """(groups, itemset in processing order, utility, support) of all emitted itemsets; ``entries`` are ranked ones."""
+    """(groups, itemset in processing order, utility, support) of all emitted itemsets; ``entries`` are ranked ones, hashed by transaction.
+
+    ``pair_filter`` makes the table of pairs (i, j) that may follow each other from the entries as they are kept here.
+    """
     g = rule.groups
     keys = [*g, "tid"]
     base = entries.select(*keys, "item", "rank", "u", "ru", "mu", "tu", *(["threshold"] if "threshold" in entries.columns else []))
-    base = base.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).persist()
+    base = base.persist()
     kept = [base]
     threshold = "threshold" in entries.columns
     extra = ["threshold"] if threshold else []
@@ -66,7 +69,7 @@ def mine_levels(entries: DataFrame, rule: Rule) -> DataFrame:
         joined = grown.join(right, keys).where("next_rank > last_rank")
         if rule.pair_filter:
             if pair_table is None:
-                pair_table = cut(rule.pair_filter())
+                pair_table = cut(rule.pair_filter(base))
                 pair_rows = pair_table.count()
             joined = joined.join(hinted(pair_table.select(*g, F.col("i").alias("last"), F.col("j").alias("next")), pair_rows), [*g, "last", "next"], "left_semi")
         if rule.before_join:

@@ -20,17 +20,20 @@ def hinted(df: DataFrame, rows: int, numbers: int = 3) -> DataFrame:
     return F.broadcast(df) if rows * (32 + 8 * numbers) <= BROADCAST_BYTES else df
 
 
-def ranked_entries(entries: DataFrame, items: DataFrame, order: list[Column], groups: list[str] | None = None) -> DataFrame:
+def ranked_entries(entries: DataFrame, items: DataFrame | None, order: list[Column], groups: list[str] | None = None) -> DataFrame:
     """Entries of the kept items with ``rank`` (processing order) and ``ru`` (utility of later items of the transaction).
 
     ``order`` is a total order of the item table. Ranks are comparable within a transaction, which is all that extension needs,
-    so no global sort is made: a window over each transaction numbers its items by that order.
+    so no global sort is made: a window over each transaction numbers its items by that order. Entries never move by item: the item table is sent to them
+    while it is within the bound. The result is hashed by transaction, for all that follows. Without ``items`` all entries are ranked, where they lie if they are hashed by transaction.
     """
     keys = [*(groups or []), "tid"]
-    kept = entries.join(items, [*(groups or []), "item"])
+    if items is not None:
+        entries = entries.join(hinted(items, items.count(), 1 + len(items.columns)), [*(groups or []), "item"])
+        entries = entries.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     back = Window.partitionBy(*keys).orderBy(*order)
     rest = back.rowsBetween(1, Window.unboundedFollowing)
-    return kept.select(*keys, "item", F.row_number().over(back).alias("rank"), "u", F.coalesce(F.sum("u").over(rest), F.lit(0)).cast("long").alias("ru"), F.max("u").over(Window.partitionBy(*keys)).alias("mu"), "tu")
+    return entries.select(*keys, "item", F.row_number().over(back).alias("rank"), "u", F.coalesce(F.sum("u").over(rest), F.lit(0)).cast("long").alias("ru"), F.max("u").over(Window.partitionBy(*keys)).alias("mu"), "tu")
 
 
 def pairs(entries: DataFrame, groups: list[str] | None = None) -> DataFrame:

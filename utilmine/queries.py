@@ -12,7 +12,7 @@ from utilmine.model import checked
 from utilmine.operators import heuristics
 from utilmine.operators.levels import Rule, mine_levels
 from utilmine.operators.verify import verify_rarest, verify_trie
-from utilmine.operators.prep import item_dim, pairs, ranked_entries
+from utilmine.operators.prep import hinted, item_dim, pairs, ranked_entries
 from utilmine.operators.shards import mine_shards, mine_top_shards
 from utilmine.plans import cut
 
@@ -34,13 +34,13 @@ def _promising(entries: DataFrame, m: int, groups: list[str] | None = None) -> D
 
 
 def _ranked(entries: DataFrame, items: DataFrame, order=("twu", "item"), groups=None) -> DataFrame:
-    return cut(ranked_entries(entries, items, [F.col(c) for c in order], groups))
+    return ranked_entries(entries, cut(items), [F.col(c) for c in order], groups)
 
 
 def _levels(entries: DataFrame, m: int, extend=None, order=("twu", "item"), pair_twu: int | None = None, **more) -> DataFrame:
     items = _promising(entries, m)
     ranked = _ranked(entries, items, order)
-    filter_ = (lambda: pairs(ranked).where(F.col("twu") >= pair_twu)) if pair_twu is not None else None
+    filter_ = (lambda base: pairs(base).where(F.col("twu") >= pair_twu)) if pair_twu is not None else None
     rule = Rule(emit=more.pop("emit", F.col("utility") >= m), extend=extend if extend is not None else F.col("utility") + F.col("rem") >= m, pair_filter=filter_, **more)
     return mine_levels(ranked, rule)
 
@@ -103,8 +103,9 @@ def haui_miner(entries, m, **_):
 
 def huim_mmu(entries, m, beta=0.1, **_):
     items = _promising(entries, m).withColumn("threshold", F.greatest(F.lit(m).cast("long"), F.floor(F.lit(beta) * F.col("utility"))))
-    ranked = ranked_entries(entries, items.select("item", "twu", "threshold"), [F.col("threshold"), F.col("twu"), F.col("item")])
-    ranked = cut(ranked.join(items.select("item", "threshold"), "item"))
+    items = cut(items.select("item", "twu", "threshold"))
+    ranked = ranked_entries(entries, items, [F.col("threshold"), F.col("twu"), F.col("item")])
+    ranked = ranked.join(hinted(items.select("item", "threshold"), items.count()), "item")
     rule = Rule(emit=F.col("utility") >= F.col("threshold"), extend=F.col("utility") + F.col("rem") >= F.col("threshold"))
     return _result(mine_levels(ranked, rule))
 
@@ -119,6 +120,7 @@ def _top_k(entries, k, with_pairs: bool) -> DataFrame:
 
     ranked = _ranked(entries, items.where(F.col("twu") >= border()))
     if with_pairs:
+        ranked = ranked.persist()
         more = [r[0] for r in pairs(ranked).orderBy(F.desc("utility")).limit(k).select("utility").collect()]
         start = sorted(best + more, reverse=True)[:k]
         floor_ = start[k - 1] if len(start) >= k else 1
@@ -135,8 +137,11 @@ def _top_k(entries, k, with_pairs: bool) -> DataFrame:
         b = max(border(), floor_)
         return F.col("utility") >= b, F.col("utility") + F.col("rem") >= b
 
-    rule = Rule(emit=F.lit(True), extend=F.lit(True), border=raised, pair_filter=lambda: pairs(ranked).where(F.col("twu") >= floor_))
-    return _top(mine_levels(ranked, rule), k)
+    rule = Rule(emit=F.lit(True), extend=F.lit(True), border=raised, pair_filter=lambda base: pairs(base).where(F.col("twu") >= floor_))
+    found = _top(mine_levels(ranked, rule), k)
+    if with_pairs:
+        ranked.unpersist()
+    return found
 
 
 def tko(entries, m=0, k=None, **_):
@@ -213,7 +218,7 @@ def with_windows(entries: DataFrame, window: int) -> DataFrame:
 def mine_windows(entries: DataFrame, m: int) -> DataFrame:
     groups = ["window_id"]
     ranked = _ranked(entries, _promising(entries, m, groups), groups=groups)
-    rule = Rule(emit=F.col("utility") >= m, extend=F.col("utility") + F.col("rem") >= m, pair_filter=lambda: pairs(ranked, groups).where(F.col("twu") >= m), groups=groups)
+    rule = Rule(emit=F.col("utility") >= m, extend=F.col("utility") + F.col("rem") >= m, pair_filter=lambda base: pairs(base, groups).where(F.col("twu") >= m), groups=groups)
     return mine_levels(ranked, rule)
 
 
@@ -232,20 +237,12 @@ def incfhm(entries, m, batches=10, **_):
     touched = F.col("last_tid") >= F.element_at(F.lit(starts).cast("array<bigint>"), F.col("batch") + 1)
     groups = ["batch"]
     ranked = _ranked(dealt, _promising(dealt, m, groups), order=("item",), groups=groups)
-    rule = Rule(emit=(F.col("utility") >= m) & touched, extend=(F.col("utility") + F.col("rem") >= m) & touched, pair_filter=lambda: pairs(ranked, groups).where(F.col("twu") >= m), groups=groups)
+    rule = Rule(emit=(F.col("utility") >= m) & touched, extend=(F.col("utility") + F.col("rem") >= m) & touched, pair_filter=lambda base: pairs(base, groups).where(F.col("twu") >= m), groups=groups)
     found = _result(mine_levels(ranked, rule), groups)
     newest = F.max_by(F.struct("utility", "support"), "batch").alias("x")
     return found.groupBy("itemset", "length").agg(newest).select("itemset", "length", "x.utility", "x.support")
 
 
-def mine_touched(entries: DataFrame, m: int, start: int) -> DataFrame:
-    """High-utility itemsets of all rows that occur in a row from ``start`` on."""
-    touched = F.col("last_tid") >= start
-    ranked = _ranked(entries, _promising(entries, m), order=("item",))
-    rule = Rule(emit=(F.col("utility") >= m) & touched, extend=(F.col("utility") + F.col("rem") >= m) & touched, pair_filter=lambda: pairs(ranked).where(F.col("twu") >= m))
-    return _result(mine_levels(ranked, rule))
-
-
 def _heuristic(kind: str) -> Callable:
     def run(entries, m, **options):
         items = cut(_promising(entries, m))

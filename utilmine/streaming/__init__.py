@@ -10,26 +10,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from utilmine.model import checked, entries_from
 from utilmine.plans import cut
-from utilmine.queries import mine_touched, mine_windows
+from utilmine.queries import mine_windows
+from utilmine.streaming.state import MiningState
 
 
 def incremental(stream: DataFrame, state_path: str, result_path: str, min_utility: int, checkpoint: str) -> StreamingQuery:
-    """Keep the high-utility itemsets of all rows so far up to date, a batch at a time.
+    """Keep the high-utility itemsets of all rows so far up to date, a batch at a time, from kept state (``state.MiningState``).
 
-    ``state_path`` grows by a folder a batch; a batch that is run again replaces its own folder, so results do not depend on
-    retries. Only itemsets that the batch touched are mined again; ``result_path/batch=N`` holds them, and the newest batch counts.
-    Transactions must not span batches, and their ids must rise from batch to batch.
+    A batch reads the sums of the itemsets that it touches, and old transactions only where an itemset reaches the threshold for the first time. A batch that
+    is run again replaces its own folders, so results do not depend on retries. ``result_path/batch=N`` holds what batch N touched; the newest report of an
+    itemset counts. Transactions must not span batches.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = cut(entries_from(batch))
-        if not new.limit(1).count():
-            return
-        new.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
-        seen = cut(spark.read.parquet(state_path).where(F.col("batch") <= number).drop("batch"))
-        start = new.agg(F.min("tid")).first()[0]
-        mine_touched(seen, min_utility, start).write.mode("overwrite").parquet(f"{result_path}/batch={number}")
+        new = cut(checked(entries_from(batch)))
+        report, _counts = MiningState(batch.sparkSession, state_path, min_utility).apply(new, number)
+        report.write.mode("overwrite").parquet(f"{result_path}/batch={number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
 
