@@ -202,16 +202,26 @@ def numbered_rows(entries: DataFrame) -> tuple[DataFrame, int]:
     return order.select("tid", (first + F.col("at").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))).alias("row")), total
 
 
+def full_windows(total: int, window: int) -> int:
+    """How many windows of ``window`` transactions, half a window apart, lie in the first ``total`` ones."""
+    return (total - window) // (window // 2) + 1 if total >= window else 0
+
+
+def window_ids(row: str, window: int, first: int, last: int) -> "F.Column":
+    """The windows from ``first`` to ``last`` that hold the transaction of number ``row``."""
+    half = window // 2
+    low = F.greatest(F.lit(first), F.floor((F.col(row) - window) / half) + 1)
+    high = F.least(F.floor(F.col(row) / half), F.lit(last))
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+
+
 def with_windows(entries: DataFrame, window: int) -> DataFrame:
     """Entries once per window they lie in: full windows of ``window`` transactions, half a window apart, then the tail."""
     window = max(2, window)
-    half = window // 2
     numbers, total = numbered_rows(entries)
-    full = (total - window) // half + 1 if total >= window else 0
-    low = F.greatest(F.lit(0), F.floor((F.col("row") - window) / half) + 1)
-    high = F.least(F.floor(F.col("row") / half), F.lit(full - 1))
-    ids = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-    ids = F.when(F.col("row") >= full * half, F.concat(ids, F.array(F.lit(full).cast("bigint")))).otherwise(ids)
+    full = full_windows(total, window)
+    ids = window_ids("row", window, 0, full - 1)
+    ids = F.when(F.col("row") >= full * (window // 2), F.concat(ids, F.array(F.lit(full).cast("bigint")))).otherwise(ids)
     return entries.join(numbers.select("tid", F.explode(ids).alias("window_id")), "tid")
 
 
@@ -264,8 +274,15 @@ TOP_K = {"tko", "tku", "rept"}
 
 
 def mine(entries: DataFrame, algorithm: str = "fhm", min_utility: int = 1, **options) -> DataFrame:
-    """Mine ``entries`` (tid, item, u, tu) by the named strategy; results are (itemset, length, utility, support)."""
+    """Mine ``entries`` (tid, item, u, tu) by the named strategy; results are (itemset, length, utility, support).
+
+    A streaming DataFrame of (tid, item, utility) rows, or of lines of the text format, starts a query of ``incfhm`` or ``shuim`` instead (``streaming.mine_stream``).
+    """
     name = ALIASES.get(algorithm, algorithm)
+    if entries.isStreaming:
+        from utilmine.streaming import mine_stream
+
+        return mine_stream(entries, name, min_utility, **options)
     if name not in STRATEGIES:
         raise ValueError(f"unknown algorithm {algorithm!r}; known are {', '.join(sorted(STRATEGIES))}")
     if options.get("k") is not None and name not in TOP_K:

@@ -13,8 +13,8 @@ COMMENT_MARKS = ("#", "@", "%")
 RESULT_MARK = " #UTIL: "
 
 
-def parse_lines(lines: DataFrame, mode: str = "DROPMALFORMED") -> DataFrame:
-    """(tid, tu, items) of a ``value`` column of lines; comments and blank lines get no tid.
+def parse_lines(lines: DataFrame, mode: str = "DROPMALFORMED", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(tid, tu, items, columns to ``keep``) of a ``value`` column of lines; comments and blank lines get no tid.
 
     ``tid`` follows the order of the lines. Malformed lines (wrong numbers, unequal counts, ids out of range) are dropped,
     or raise an error with ``mode='FAILFAST'``. Duplicate items are summed in the place of the first.
@@ -29,7 +29,7 @@ def parse_lines(lines: DataFrame, mode: str = "DROPMALFORMED") -> DataFrame:
         words = F.filter(F.split(F.trim(part), r"[ \t]+"), lambda x: x != "")
         return F.transform(words, lambda x: x.try_cast("bigint"))
 
-    fields = marked.select("at", F.size(parts).alias("fields"), numbers(F.get(parts, F.lit(0))).alias("ids"), F.trim(F.get(parts, F.lit(1))).try_cast("bigint").alias("tu"), numbers(F.get(parts, F.lit(2))).alias("us"))
+    fields = marked.select("at", *keep, F.size(parts).alias("fields"), numbers(F.get(parts, F.lit(0))).alias("ids"), F.trim(F.get(parts, F.lit(1))).try_cast("bigint").alias("tu"), numbers(F.get(parts, F.lit(2))).alias("us"))
     good = (F.col("fields") == 3) & F.col("tu").isNotNull() & (F.size("ids") == F.size("us")) & F.forall("ids", lambda x: x.isNotNull() & (x >= 0) & (x <= MAX_ITEM)) & F.forall("us", lambda x: x.isNotNull())
     good = F.coalesce(good, F.lit(False))
     if mode == "FAILFAST":
@@ -41,7 +41,7 @@ def parse_lines(lines: DataFrame, mode: str = "DROPMALFORMED") -> DataFrame:
     distinct = F.array_distinct("ids")
     pairs = F.arrays_zip("ids", "us")
     items = F.transform(distinct, lambda d: F.struct(d.alias("item"), F.aggregate(pairs, F.lit(0).cast("long"), lambda n, x: n + F.when(x["ids"] == d, x["us"]).otherwise(0)).alias("utility")))
-    return rows.select(F.col("at").alias("tid"), "tu", items.alias("items"))
+    return rows.select(F.col("at").alias("tid"), "tu", items.alias("items"), *keep)
 
 
 def dense_tids(transactions: DataFrame) -> DataFrame:
@@ -62,6 +62,18 @@ def read_utility_text(spark: SparkSession, path: str, mode: str = "DROPMALFORMED
     return dense_tids(parse_lines(spark.read.text(path), mode))
 
 
+def stream_utility_text(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Lines (value, file) of the files that come into a folder; ``batch_transactions`` numbers them."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else spark.readStream
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def batch_transactions(lines: DataFrame, mode: str = "DROPMALFORMED") -> DataFrame:
+    """Transactions of a batch of (value, file), numbered from 0 by file name and line: the same numbers whenever the batch is read, however its files are split."""
+    parsed = parse_lines(lines, mode, keep=("file",))
+    return dense_tids(parsed.sort("file", "tid").withColumn("tid", F.monotonically_increasing_id()).drop("file"))
+
+
 def write_results(result: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One line per itemset; ``mode='append'`` adds to earlier results."""
     line = F.concat(itemset_text("itemset"), F.lit(RESULT_MARK), F.col("utility").cast("string"))
