@@ -63,11 +63,14 @@ def test_no_shard_beyond_the_limit(hot):
     assert max(r["n"] for r in places) <= 60 and {r["depth"] for r in places} > {1} and names.count() >= len(places)
 
 
-def test_long_transaction_is_made_in_pieces(spark, monkeypatch):
+def test_long_transaction_is_made_in_pieces(spark):
+    """The conditional transactions of a long one are made some thousand places at a time, and are the same."""
     rows = [{i: 1 for i in range(300)}, {0: 5, 299: 7}]
     e = entries(spark, rows)
-    monkeypatch.setattr(shards, "_CHUNK", 1000)
-    assert found(shards.mine_shards(e, item_dim(e), 300, "exact")[0]) == {tuple(range(300)): (300, 1)} | {c: v for c, v in enumerate_all([rows[1]]).items() if v[0] >= 300}
+    assert found(shards.mine_shards(e, item_dim(e), 300, "exact")[0]) == {tuple(range(300)): (300, 1)}
+    top = shards.transactions(e, item_dim(e), "exact")
+    whole, pieces = (top.mapInArrow(shards._project("exact", False, n), shards._schema("exact", False)) for n in (1 << 19, 500))
+    assert whole.exceptAll(pieces).count() == pieces.exceptAll(whole).count() == 0 and pieces.count() == 302
 
 
 def test_two_exchanges(hot):

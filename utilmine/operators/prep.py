@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from utilmine.plans import cut
+
 #: Tables of at most so many bytes, as Spark holds them, are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -36,11 +38,38 @@ def ranked_entries(entries: DataFrame, items: DataFrame | None, order: list[Colu
     return entries.select(*keys, "item", F.row_number().over(back).alias("rank"), "u", F.coalesce(F.sum("u").over(rest), F.lit(0)).cast("long").alias("ru"), F.max("u").over(Window.partitionBy(*keys)).alias("mu"), "tu")
 
 
-def pairs(entries: DataFrame, groups: list[str] | None = None) -> DataFrame:
-    """(i, j, twu, utility, support) of every pair of items that occur together, i before j by rank of the transaction."""
+#: Items of a transaction that are paired with each other in one task.
+PAIR_BLOCK = 256
+
+
+def pair_rows(entries: DataFrame, groups: list[str] | None = None, block: int = PAIR_BLOCK) -> DataFrame:
+    """(groups, tid, item, j, u, u_j, tu) of every two items of a transaction, item before j by rank.
+
+    Transactions of up to ``block`` items are paired where they lie. The items of longer ones are cut into blocks, and each pair of blocks is a group of its own, so one long
+    transaction is dealt over many tasks: an item is sent once per block of its transaction, and no group makes more than ``block`` squared rows.
+    """
     keys = [*(groups or []), "tid"]
-    later = entries.select(*keys, F.col("item").alias("j"), F.col("rank").alias("rank_j"), F.col("u").alias("u_j"))
-    both = entries.join(later, keys).where("rank < rank_j")
+
+    def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        later = right.select(*on, F.col("item").alias("j"), F.col("rank").alias("rank_j"), F.col("u").alias("u_j"))
+        return left.join(later, on).where("rank < rank_j").select(*keys, "item", "j", "u", "u_j", "tu")
+
+    long_ = cut(entries.where(F.col("rank") > block).groupBy(*keys).agg(F.ceil(F.max("rank") / block).cast("int").alias("blocks")))
+    n = long_.count()
+    if not n:
+        return joined(entries, entries, keys)
+    within = entries.join(hinted(long_, n), keys).withColumn("b", F.floor((F.col("rank") - 1) / block).cast("int"))
+    short = entries.join(hinted(long_, n), keys, "left_anti")
+    # the number of groups says how much there is to do, the size of the rows does not: they are dealt to a fixed number of partitions
+    parts, on = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*keys, "b1", "b2"]
+    left = within.withColumn("b1", F.col("b")).withColumn("b2", F.explode(F.sequence("b", F.col("blocks") - 1))).repartition(parts, *on)
+    right = within.withColumn("b2", F.col("b")).withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("b")))).repartition(parts, *on)
+    return joined(short, short, keys).unionByName(joined(left, right, on))
+
+
+def pairs(entries: DataFrame, groups: list[str] | None = None, block: int = PAIR_BLOCK) -> DataFrame:
+    """(i, j, twu, utility, support) of every pair of items that occur together, i before j by rank of the transaction."""
+    both = pair_rows(entries, groups, block)
     return both.groupBy(*(groups or []), F.col("item").alias("i"), "j").agg(F.sum("tu").alias("twu"), F.sum(F.col("u") + F.col("u_j")).alias("utility"), F.count("*").alias("support"))
 
 

@@ -241,7 +241,7 @@ def _list(values: np.ndarray, edges: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
 
 
-def _project(kind: str, closed: bool):
+def _project(kind: str, closed: bool, chunk: int = _CHUNK):
     """Conditional transactions of every place; those of a batch that agree in itemset and items are merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,7 @@ def _project(kind: str, closed: bool):
             losses = np.where(is_first & (kind == "least"), rows.u, _losses(rows, kind, row))
             before = _before(losses, rows.start, row)
             made = np.cumsum(rows.start[row + 1] - np.arange(len(row)) + 4) if not closed else np.cumsum(np.diff(rows.start)[row] + 4 + np.diff(rows.since)[row])
-            edges = np.searchsorted(made, np.arange(0, made[-1] if len(made) else 0, _CHUNK))
+            edges = np.searchsorted(made, np.arange(0, made[-1] if len(made) else 0, chunk))
             for lo, hi in zip(edges, [*edges[1:], len(row)]):
                 at = np.arange(lo, hi)
                 if not len(at):

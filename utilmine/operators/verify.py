@@ -1,31 +1,14 @@
-"""Exact utilities of candidate itemsets: through their rarest items, or along their prefix trie."""
+"""Exact utilities of candidate itemsets along their prefix trie."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utilmine.operators.prep import hinted
 from utilmine.plans import cut
 
 
-def _sum(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0).cast("long"), lambda n, x: n + x)
-
-
-def verify_rarest(candidates: DataFrame, entries: DataFrame, items: DataFrame) -> DataFrame:
-    """Exact (itemset, utility, support): candidates meet the transactions of their rarest item, then all items are looked up."""
-    named = candidates.select(F.array_sort("itemset").alias("itemset"))
-    long_ = named.select("itemset", F.explode("itemset").alias("item")).join(items.select("item", "support"), "item")
-    rare = cut(long_.groupBy("itemset").agg(F.min(F.struct("support", "item")).alias("r")).select("itemset", F.col("r.item").alias("item")))
-    # a transaction is one row that meets the candidates of each of its items; the sums are combined before their only exchange
-    horizontal = entries.groupBy("tid").agg(F.map_from_entries(F.collect_list(F.struct("item", "u"))).alias("of"))
-    met = horizontal.select("of", F.explode(F.map_keys("of")).alias("item")).join(hinted(rare, rare.count(), 8), "item")
-    values = F.transform("itemset", lambda x: F.try_element_at("of", x))
-    hit = met.select("itemset", values.alias("v")).where(~F.exists("v", lambda x: x.isNull()))
-    return hit.groupBy("itemset").agg(F.sum(_sum(F.col("v"))).alias("utility"), F.count("*").alias("support"))
-
-
 def verify_trie(candidates: DataFrame, entries: DataFrame) -> DataFrame:
     """Exact (itemset, utility, support) by walking the candidates' prefix trie level by level over the transactions."""
     sorted_ = cut(candidates.select(F.array_sort("itemset").alias("itemset")).distinct())

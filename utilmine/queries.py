@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from utilmine.functions import one_removed
 from utilmine.model import checked
 from utilmine.operators import heuristics
+from utilmine.operators.blocks import score, tid_blocks
 from utilmine.operators.levels import Rule, mine_levels
-from utilmine.operators.verify import verify_rarest, verify_trie
+from utilmine.operators.verify import verify_trie
 from utilmine.operators.prep import hinted, item_dim, pairs, ranked_entries
 from utilmine.operators.shards import mine_shards, mine_top_shards
 from utilmine.plans import cut
@@ -253,13 +254,34 @@ def incfhm(entries, m, batches=10, **_):
     return found.groupBy("itemset", "length").agg(newest).select("itemset", "length", "x.utility", "x.support")
 
 
+def _neighbours(found: DataFrame, partners: DataFrame) -> DataFrame:
+    """Itemsets of one item less, and of one item more that occurs with one of theirs."""
+    less = found.select(F.explode(one_removed("itemset")).alias("itemset")).where(F.size("itemset") > 0)
+    more = found.select("itemset", F.explode("itemset").alias("i")).join(partners, "i").where(~F.array_contains("itemset", F.col("j")))
+    return less.unionByName(more.select(F.array_sort(F.concat("itemset", F.array("j"))).alias("itemset"))).distinct()
+
+
 def _heuristic(kind: str) -> Callable:
-    def run(entries, m, **options):
+    """Islands propose, and all transactions decide: proposals are scored exactly by their transactions' blocks. Then local search: neighbours of what was found are scored as
+    well, for up to ``sweeps`` rounds or until nothing is new. Partners of an item are those whose pair has a transaction utility of the threshold."""
+
+    def run(entries, m, sweeps=6, **options):
         items = cut(_promising(entries, m))
-        kept = cut(entries.join(items.select("item"), "item"))
+        kept = cut(entries.join(hinted(items.select("item"), items.count()), "item"))
         names = ("seed", "iterations", "population", "max_length", "shard_rows")
-        found = cut(heuristics.propose(kept, kind, m, **{k: v for k, v in options.items() if k in names}))
-        return _result(verify_rarest(found, kept, items).where(F.col("utility") >= m))
+        blocks = cut(tid_blocks(kept, numbered_rows(kept)[0]))
+        asked = cut(heuristics.propose(kept, kind, m, **{k: v for k, v in options.items() if k in names}))
+        pair = cut(pairs(ranked_entries(kept, None, [F.col("item")])).where(F.col("twu") >= m).select("i", "j")) if sweeps else None
+        partners = pair.unionByName(pair.select(F.col("j").alias("i"), F.col("i").alias("j"))) if sweeps else None
+        found = new = cut(score(asked, blocks).where(F.col("utility") >= m))
+        for _ in range(sweeps):
+            around = cut(_neighbours(new, partners).join(asked, "itemset", "left_anti"))
+            if not around.limit(1).count():
+                break
+            asked = asked.unionByName(around)
+            new = cut(score(around, blocks).where(F.col("utility") >= m))
+            found = found.unionByName(new)
+        return _result(found)
 
     return run
 
