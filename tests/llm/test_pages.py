@@ -94,6 +94,23 @@ def test_main_text(spark):
     assert got[None]["text"].startswith("Head & more")
 
 
+def test_extraction_of_repeated_rows_and_clashing_names(spark):
+    """Every row counts, whatever its id; columns named as results are ignored; no pages, no rows."""
+    odd = spark.createDataFrame([(1, "u", PAGE, "mine", 7)] * 2 + [(1, "u", "<p>" + "Quite another text that is long enough to be content. " * 3, "mine", 7)], "page_id long, url string, html string, text string, n_chars int")
+    got = mincut_html.extract(odd)
+    assert sorted(got.columns)[:2] == ["n_chars", "page_id"] and len(set(got.columns)) == len(got.columns)
+    texts = sorted(r["text"] for r in got.collect())
+    assert len(texts) == 3 and texts[0] == texts[1] and texts[0].startswith("Head & more") and texts[2].startswith("Quite another")
+    assert mincut_html.extract(odd.where("false")).count() == 0
+
+
+def test_archives_of_rows_repeated_in_full(spark):
+    """Each of the repeated rows is a record; one is the response, the others revisit it."""
+    got = warc.round_trip(pages(spark, [(4, "http://a", "same")] * 3 + [(2, "http://b", "other")] * 2)).collect()
+    kinds = sorted((r["page_id"], r["record_type"], r["refers_to"] or 0) for r in got)
+    assert kinds == [(2, "response", 0), (2, "revisit", 2), (4, "response", 0), (4, "revisit", 4), (4, "revisit", 4)]
+
+
 def test_broken_markup():
     long_ = "Some text that is long enough to be the content of a page, or so one would think."
     e = mincut_html.extract_text
