@@ -157,7 +157,7 @@ def heuristics_recall_events(spark, sf_dir):
     n = exact.count()
     rows = []
     for kind in ("huim-ga", "huim-bpso", "mhui-aco"):
-        found = cut(mine(entries, kind, m))
+        found = cut(mine(entries, kind, m, iterations=300))
         good = found.join(exact, ["itemset", "length", "utility", "support"], "left_semi").count()
         rows.append((kind, n, found.count() - good, good >= 0.9 * n))
     return spark.createDataFrame(rows, "kind string, n_exact long, wrong long, recalled boolean")
