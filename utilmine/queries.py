@@ -55,7 +55,8 @@ def hui_miner(entries, m, **_):
 
 
 def fhm(entries, m, **_):
-    return _result(_levels(entries, m, pair_twu=m))
+    """Depth first by item: in an item's shard the rows that an item shares with it bound the pair, more tightly than the pair table's transaction utilities do."""
+    return _result(mine_shards(entries, cut(_promising(entries, m)), m)[0])
 
 
 def fhm_plus(entries, m, min_length=1, max_length=None, **_):
