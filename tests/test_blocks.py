@@ -45,6 +45,23 @@ def test_long_transaction_is_paired_in_blocks(spark):
     assert (sums["s"], sums["d"], sums["least"]) == (sum(i * 5000 * (4999 - i) + i * j0 for i, j0 in [(0, 0)]) + sum(i * 5000 * (4999 - i) + sum(range(i + 1, 5000)) for i in range(5000)), 4999, 1)
 
 
+def test_large_item_tables_meet_hot_items_in_shares(spark, monkeypatch):
+    """Beyond the bound nothing is broadcast, and the entries of an item that is in every transaction go to many groups."""
+    from utilmine.operators import prep
+
+    rows = [x | {77: 1} for x in database(6, 80, 9, 6)]
+    e = entries(spark, rows)
+    items = prep.item_dim(e).where("item > 1").cache()
+    want = sorted(map(tuple, prep.with_items(e, items).select("tid", "item", "u", "twu").collect()))
+    monkeypatch.setattr(prep, "BROADCAST_BYTES", 0)
+    joined = prep.with_items(e, items)
+    assert sorted(map(tuple, joined.select("tid", "item", "u", "twu").collect())) == want
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in plan and "strategy=broadcast" not in plan
+    every = enumerate_all(rows)
+    assert as_dict(mine(e, "efim", 100)) == {c: v for c, v in every.items() if v[0] >= 100} == as_dict(mine(e, "hui-miner", 100))
+
+
 @pytest.mark.parametrize("block", [2, 3, 256])
 def test_pairs_of_mixed_lengths(spark, block):
     r = random.Random(3)

@@ -22,16 +22,28 @@ def hinted(df: DataFrame, rows: int, numbers: int = 3) -> DataFrame:
     return F.broadcast(df) if rows * (32 + 8 * numbers) <= BROADCAST_BYTES else df
 
 
+#: Shares into which the entries of an item are dealt where the item table is too large to be sent.
+SALTS = 16
+
+
+def with_items(entries: DataFrame, items: DataFrame, groups: list[str] | None = None) -> DataFrame:
+    """Entries of the items of a kept table, with its columns. The table is sent to the entries while it is within the bound; beyond it both meet by (item, share of the transactions), so no task gets all entries of one item."""
+    on = [*(groups or []), "item"]
+    if (sent := hinted(items, items.count(), 1 + len(items.columns))) is not items:
+        return entries.join(sent, on)
+    shares = items.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return entries.withColumn("salt", F.pmod(F.xxhash64("tid"), F.lit(SALTS)).cast("int")).join(shares, [*on, "salt"]).drop("salt")
+
+
 def ranked_entries(entries: DataFrame, items: DataFrame | None, order: list[Column], groups: list[str] | None = None) -> DataFrame:
     """Entries of the kept items with ``rank`` (processing order) and ``ru`` (utility of later items of the transaction).
 
     ``order`` is a total order of the item table. Ranks are comparable within a transaction, which is all that extension needs,
-    so no global sort is made: a window over each transaction numbers its items by that order. Entries never move by item: the item table is sent to them
-    while it is within the bound. The result is hashed by transaction, for all that follows. Without ``items`` all entries are ranked, where they lie if they are hashed by transaction.
+    so no global sort is made: a window over each transaction numbers its items by that order. The result is hashed by transaction, for all that follows. Without ``items`` all entries are ranked, where they lie if they are hashed by transaction.
     """
     keys = [*(groups or []), "tid"]
     if items is not None:
-        entries = entries.join(hinted(items, items.count(), 1 + len(items.columns)), [*(groups or []), "item"])
+        entries = with_items(entries, items, groups)
         entries = entries.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     back = Window.partitionBy(*keys).orderBy(*order)
     rest = back.rowsBetween(1, Window.unboundedFollowing)

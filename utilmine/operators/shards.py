@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utilmine.operators.prep import hinted
+from utilmine.operators.prep import hinted, with_items
 from utilmine.plans import cut
 
 #: Places (items of conditional transactions) of a shard that one task mines.
@@ -330,7 +330,7 @@ def _mine(m: int, kind: str, closed: bool = False, candidates: bool = False, bes
 def transactions(entries: DataFrame, items: DataFrame, kind: str) -> DataFrame:
     """(itemset: empty, items, us, base, n, w, ...) of the promising ``items`` (item, twu, perhaps least): the shard that holds everything."""
     own_least = kind == "least" and "least" in items.columns
-    kept = entries.select("tid", "item", "u", "tu").join(hinted(items.select("item", "twu", *["least"] * own_least), items.count()), "item")
+    kept = with_items(entries.select("tid", "item", "u", "tu"), items.select("item", "twu", *["least"] * own_least))
     places = F.array_sort(F.collect_list(F.struct("twu", "item", "u", *["least"] * own_least)))
     rows = kept.groupBy("tid").agg(places.alias("x"), F.max("tu").alias("tu"))
     us = F.transform("x", lambda a: a["u"])

@@ -13,9 +13,10 @@ from utilmine.operators import heuristics
 from utilmine.operators.blocks import score, tid_blocks
 from utilmine.operators.levels import Rule, mine_levels
 from utilmine.operators.verify import verify_trie
-from utilmine.operators.prep import hinted, item_dim, pairs, ranked_entries
+from utilmine.operators.prep import hinted, item_dim, pairs, ranked_entries, with_items
 from utilmine.operators.shards import mine_shards, mine_top_shards
 from utilmine.plans import cut
+from utilmine.shipping import ship
 
 ALIASES = {"fhm-plus": "fhm+", "up-growth-plus": "up-growth+", "mhui-miner": "mhuiminer"}
 DEFAULT_K = 100
@@ -268,7 +269,7 @@ def _heuristic(kind: str) -> Callable:
 
     def run(entries, m, sweeps=6, **options):
         items = cut(_promising(entries, m))
-        kept = cut(entries.join(hinted(items.select("item"), items.count()), "item"))
+        kept = cut(with_items(entries, items.select("item")))
         names = ("seed", "iterations", "population", "max_length", "shard_rows")
         blocks = cut(tid_blocks(kept, numbered_rows(kept)[0]))
         asked = cut(heuristics.propose(kept, kind, m, **{k: v for k, v in options.items() if k in names}))
@@ -301,6 +302,7 @@ def mine(entries: DataFrame, algorithm: str = "fhm", min_utility: int = 1, **opt
 
     A streaming DataFrame of (tid, item, utility) rows, or of lines of the text format, starts a query of ``incfhm`` or ``shuim`` instead (``streaming.mine_stream``).
     """
+    ship(entries.sparkSession)
     name = ALIASES.get(algorithm, algorithm)
     if entries.isStreaming:
         from utilmine.streaming import mine_stream

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from utilmine.operators.prep import hinted
 from utilmine.operators.shards import _project, _schema
 from utilmine.plans import cut
+from utilmine.shipping import ship
 
 NODES = "itemset array<long>, utility long, support long, bound long, opened boolean"
 LISTS = "bucket int, " + _schema("exact", False)
@@ -44,6 +45,7 @@ class MiningState:
     """The tree of one threshold, kept in a folder that the cluster shares."""
 
     def __init__(self, spark: SparkSession, path: str, min_utility: int):
+        ship(spark)
         self.spark, self.path, self.m = spark, path.rstrip("/"), min_utility
         for name, schema in (("nodes", NODES), ("lists", LISTS)):
             spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(f"{self.path}/{name}/batch=-1")
@@ -79,16 +81,17 @@ class MiningState:
             added.append(sums.select("itemset", *(F.col(f"d_{c}").alias(c) for c in ("utility", "support", "bound")), F.col("open").alias("opened")))
             reports.append(sums.where(F.col("utility") >= self.m))
             opened = sums.where("open").select("itemset")
-            n_open = opened.count()
+            risen = F.col("open") & ~F.col("was_open") & F.col("had_list")
+            did = sums.agg(F.count_if("open").alias("open"), F.count_if(risen).alias("risen"), F.collect_set(F.when(risen, _bucket())).alias("buckets")).first()  # at most BUCKETS numbers
+            n_open, buckets = did["open"], did["buckets"]
             kept.append(rows.join(hinted(opened, n_open, 8), "itemset", "left_anti"))
             if not n_open:
                 break
             on = rows.join(hinted(opened, n_open, 8), "itemset", "left_semi")
-            fresh = cut(sums.where("open AND NOT was_open AND had_list").select("itemset", _bucket().alias("bucket")))
-            buckets = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS numbers
             if buckets:
+                fresh = hinted(sums.where(risen).select("itemset"), did["risen"], 8)
                 lists = self._read("lists", LISTS, batch).where(F.col("bucket").isin(buckets)).drop("bucket")
-                lists = cut(lists.join(hinted(fresh.select("itemset"), fresh.count(), 8), "itemset", "left_semi"))
+                lists = cut(lists.join(fresh, "itemset", "left_semi"))
                 counts["read_again"] += lists.agg(F.sum("n")).first()[0] or 0
                 on = on.unionByName(lists)
             rows = cut(on.where(F.size("items") > 0).mapInArrow(_project("exact", False), _schema("exact", False)))
