@@ -37,6 +37,12 @@ from pyspark.sql import functions as F
 from utilmine.llm import common
 from utilmine.llm.common import as_text, fresh_name, materialise, release, small_side
 
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed one time for each row. A projection's filters are pushed below it, where they would spell the expression out again at each use."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two strings if it is ``edits`` at most, else a larger number.
 
@@ -116,20 +122,39 @@ def spelled(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
 
+def ambiguous(words: Column) -> Column:
+    """Those of an array's distinct words (numbers of 64 bits) that share a character of ``spelled`` with another one."""
+    low = F.lit((1 << 20) - 1).cast("long")
+
+    def clashes(x: Column) -> Column:
+        ahead, behind = F.slice(x, 2, F.size(x)), F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))
+        both = F.zip_with(behind, ahead, lambda u, v: F.when(u["low"] == v["low"], F.array(u["w"], v["w"])))
+        return F.array_distinct(F.flatten(F.array_compact(both)))
+
+    by_character = F.sort_array(F.transform(words, lambda w: F.struct(w.bitwiseAND(low).alias("low"), w.alias("w"))))
+    return F.element_at(F.transform(F.array(by_character), clashes), 1)
+
+
 def word_distance(a: Column, b: Column, most: Column) -> Column:
-    """Edit distance of two arrays of words if it is ``most`` at most, else -1: each word becomes the character that its first place in both numbers."""
+    """Edit distance of two arrays of words (numbers of 64 bits) if it is ``most`` at most, else -1.
 
-    def numbered(of: Column, words: Column) -> Column:
+    A word is its character of ``spelled``. Words that would share one with another word of the two arrays, which are few, get characters of
+    their own by their place among such words.
+    """
+    low = F.lit((1 << 20) - 1).cast("long")
+
+    def told_apart(of: Column, words: Column) -> Column:
         def code(w: Column) -> Column:
-            n = F.array_position(of["all"], w) + 31
-            return F.lpad(F.hex(n + F.when(n >= 0xD800, 0x800).otherwise(0)), 8, "0")
+            own = F.array_position(of["shared"], w).cast("long") + 31
+            own = own + F.when(own >= 0xD800, 0x800).otherwise(0)
+            return F.lpad(F.hex(F.when(own > 31, own).otherwise(w.bitwiseAND(low) + 0x10000)), 8, "0")
 
         return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-32")
 
     def distance(of: Column) -> Column:
-        return F.call_function("levenshtein", numbered(of, of["a"]), numbered(of, of["b"]), of["most"])
+        return F.call_function("levenshtein", told_apart(of, of["a"]), told_apart(of, of["b"]), of["most"])
 
-    of = F.struct(F.array_union(a, b).alias("all"), a.alias("a"), b.alias("b"), most.cast("int").alias("most"))
+    of = F.struct(ambiguous(F.array_union(a, b)).alias("shared"), a.alias("a"), b.alias("b"), most.cast("int").alias("most"))
     return F.element_at(F.transform(F.array(of), distance), 1)
 
 
@@ -297,8 +322,8 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
         characters = F.abs(F.col("size") - F.col("size_2")) <= edits
         if per_words:
             most = F.floor(F.greatest("n", "n_2") / per_words).cast("int")
-            reworded = F.when(F.abs(F.col("n") - F.col("n_2")) <= most, F.call_function("levenshtein", F.col("spelled"), F.col("spelled_2"), most) >= 0).otherwise(False)
-            pairs = pairs.withColumn("reworded", reworded & (most > 0))
+            reworded = (most > 0) & (F.abs(F.col("n") - F.col("n_2")) <= most)
+            pairs = once(pairs, "reworded", F.when(reworded, F.call_function("levenshtein", F.col("spelled"), F.col("spelled_2"), most) >= 0).otherwise(False))
             # pairs within an edit of characters share a segment, so those that words alone brought together are not looked at again
             characters = characters & F.col("segment") & ~F.col("reworded") & (F.greatest("n", "n_2") < 2 * edits * per_words)
         else:
@@ -307,19 +332,23 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
         return materialise(pairs.select("id", "at", "id_2", "at_2", "reworded", "characters"), "close-lines")
 
     def later(pairs: DataFrame) -> DataFrame:
-        """The (id, at) of the later line of each close pair that is within the threshold."""
-        short = F.when(F.col("n") < 2 * edits * per_words, F.col("line")) if per_words else F.col("line")
-        texts = firsts.select("id", "at", "n", short.alias("line"), "spelled", "words")
-        both = pairs.where((F.col("id") != F.col("id_2")) | (F.col("at") != F.col("at_2"))).join(texts, ["id", "at"]).join(other(texts), ["id_2", "at_2"])
-        near = F.lit(False)
+        """The (id, at) of the later line of each close pair that is within the threshold. A pair is looked at for one of the two thresholds and fetches only what that needs."""
+        pairs = pairs.where((F.col("id") != F.col("id_2")) | (F.col("at") != F.col("at_2")))
+
+        def with_both(which: str, *columns: str) -> DataFrame:
+            texts = firsts.select("id", "at", *columns)
+            return pairs.where(which).select("id", "at", "id_2", "at_2").join(texts, ["id", "at"]).join(other(texts), ["id_2", "at_2"])
+
+        last = F.greatest(F.struct("id", "at"), F.struct(F.col("id_2").alias("id"), F.col("at_2").alias("at")))
+        parts = differing_parts(with_both("characters", "line"), edits, b="line_2")
+        near = once(parts, "distance", banded_distance(F.col("part_a"), F.col("part_b"), edits)).where(F.col("distance") <= edits).select(last.alias("last"))
         if per_words:
-            one_each = F.size(F.array_union("words", "words_2")) == F.size(F.array_distinct(F.split(F.concat("spelled", "spelled_2"), "")))
             most = F.floor(F.greatest("n", "n_2") / per_words).cast("int")
-            near = F.when(F.col("reworded"), F.when(one_each, True).otherwise(word_distance(F.col("words"), F.col("words_2"), most) >= 0)).otherwise(False)
-        both = differing_parts(both.withColumn("near", near), edits, b="line_2")
-        edited = F.when(F.col("characters"), banded_distance(F.col("part_a"), F.col("part_b"), edits) <= edits).otherwise(False)
-        last = F.greatest(F.struct("id", "at"), F.struct(F.col("id_2").alias("id"), F.col("at_2").alias("at")))
-        return both.where(F.col("near") | edited).select(last.alias("last")).select("last.id", "last.at").distinct()
+            # characters that several words share only bring lines closer: without such words the first look was exact
+            both = once(with_both("reworded", "n", "words"), "shared", ambiguous(F.array_union("words", "words_2")))
+            sure = F.when(F.size("shared") == 0, True).otherwise(word_distance(F.col("words"), F.col("words_2"), most) >= 0)
+            near = near.unionByName(once(both, "near", sure).where("near").select(last.alias("last")))
+        return near.select("last.id", "last.at").distinct()
 
     def with_profiles(pairs: DataFrame) -> DataFrame:
         own = firsts.select("id", "at", "n", "size", "spelled")
@@ -345,10 +374,12 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
     if per_words:
         # two words in common: the first that two lines share is in a hot bucket, the second follows it in both lines
         tokens = firsts.where(F.col("n") >= per_words - 1).join(hot.select("id", "at").distinct(), ["id", "at"], "left_semi")
-        tokens = with_first_tokens(tokens.withColumn("codes", F.sort_array(word_codes(_words("line")))), _reach(F.col("n"), per_words) + 2).select("id", "at", "tokens", F.explode(length_bands(F.col("n"), per_words)).alias("band"))
-        tokens = tokens.select("id", "at", "tokens", "band", F.posexplode("tokens").alias("i", "token"))
-        tokens = tokens.withColumn("key", F.xxhash64("token", "band").bitwiseOR(F.lit(1).cast("long")))
-        refined = hot.join(tokens, ["key", "id", "at"]).select("id", "at", "n", "p", "q", "key", F.explode(F.slice("tokens", F.col("i") + 2, F.size("tokens"))).alias("second"))
+        tokens = with_first_tokens(tokens.withColumn("codes", F.sort_array(word_codes(_words("line")))), _reach(F.col("n"), per_words) + 2).select("id", "at", "tokens")
+        odd = hot.where(F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1)
+        refined = odd.join(tokens, ["id", "at"]).select("*", F.explode(length_bands(F.col("n"), per_words)).alias("band"))
+        keys = F.transform("tokens", lambda x: F.xxhash64(x, F.col("band")).bitwiseOR(F.lit(1).cast("long")))
+        refined = once(refined, "i", F.array_position(keys, F.col("key")).cast("int")).where("i > 0")
+        refined = refined.select("id", "at", "n", "p", "q", "key", F.explode(F.slice("tokens", F.col("i") + 1, F.size("tokens"))).alias("second"))
         refined = refined.select(F.xxhash64("key", "second").bitwiseOR(F.lit(1).cast("long")).alias("key"), "id", "at", "n", "p", "q")
         members = hot.where(F.col("key").bitwiseAND(F.lit(1).cast("long")) == 0).unionByName(refined)
     members = materialise(members, "hot-lines")
