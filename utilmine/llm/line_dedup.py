@@ -33,6 +33,7 @@ from math import log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from utilmine.llm import common
 from utilmine.llm.common import as_text, fresh_name, materialise, release, small_side
@@ -317,6 +318,16 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
     def other(df: DataFrame) -> DataFrame:
         return df.withColumnsRenamed({c: f"{c}_2" for c in df.columns if c != "key"})
 
+    numbers = 16 if isinstance(lines.schema["id"].dataType, StructType) else 5
+
+    def with_both(pairs: DataFrame, n: int, sides: DataFrame, *keys: str) -> DataFrame:
+        """Pairs with the columns of both lines. While ``n`` pairs are few enough to be sent to the lines, only lines of pairs are shuffled, and once."""
+        theirs, far = [f"{k}_2" for k in keys], other(sides)
+        sent = small_side(pairs, n, numbers)
+        if sent is not pairs:
+            far = far.join(small_side(pairs.select(*theirs).distinct(), n, numbers), theirs, "left_semi")
+        return sides.join(sent, list(keys)).join(far, theirs)
+
     def close(pairs: DataFrame) -> DataFrame:
         """The pairs (id, at, n, size, spelled and so on) that can be within a threshold, and by which: words that share a character only bring lines closer."""
         characters = F.abs(F.col("size") - F.col("size_2")) <= edits
@@ -333,32 +344,31 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
 
     def later(pairs: DataFrame) -> DataFrame:
         """The (id, at) of the later line of each close pair that is within the threshold. A pair is looked at for one of the two thresholds and fetches only what that needs."""
+        n = pairs.count()
         pairs = pairs.where((F.col("id") != F.col("id_2")) | (F.col("at") != F.col("at_2")))
 
-        def with_both(which: str, *columns: str) -> DataFrame:
-            texts = firsts.select("id", "at", *columns)
-            return pairs.where(which).select("id", "at", "id_2", "at_2").join(texts, ["id", "at"]).join(other(texts), ["id_2", "at_2"])
+        def read(which: str, *columns: str) -> DataFrame:
+            return with_both(pairs.where(which).select("id", "at", "id_2", "at_2"), n, firsts.select("id", "at", *columns), "id", "at")
 
         last = F.greatest(F.struct("id", "at"), F.struct(F.col("id_2").alias("id"), F.col("at_2").alias("at")))
-        parts = differing_parts(with_both("characters", "line"), edits, b="line_2")
+        parts = differing_parts(read("characters", "line"), edits, b="line_2")
         near = once(parts, "distance", banded_distance(F.col("part_a"), F.col("part_b"), edits)).where(F.col("distance") <= edits).select(last.alias("last"))
         if per_words:
             most = F.floor(F.greatest("n", "n_2") / per_words).cast("int")
             # characters that several words share only bring lines closer: without such words the first look was exact
-            both = once(with_both("reworded", "n", "words"), "shared", ambiguous(F.array_union("words", "words_2")))
+            both = once(read("reworded", "n", "words"), "shared", ambiguous(F.array_union("words", "words_2")))
             sure = F.when(F.size("shared") == 0, True).otherwise(word_distance(F.col("words"), F.col("words_2"), most) >= 0)
             near = near.unionByName(once(both, "near", sure).where("near").select(last.alias("last")))
         return near.select("last.id", "last.at").distinct()
 
     def with_profiles(pairs: DataFrame) -> DataFrame:
-        own = firsts.select("id", "at", "n", "size", "spelled")
-        return pairs.join(own, ["id", "at"]).join(other(own), ["id_2", "at_2"])
+        return with_both(pairs, pairs.count(), firsts.select("id", "at", "n", "size", "spelled"), "id", "at")
 
     segment = F.col("key").bitwiseAND(F.lit(1).cast("long")) == 0
     pairs = met.where("h1_2 IS NOT NULL").groupBy("h1", "h1_2").agg(F.max(segment).alias("segment"))
     pairs = materialise(pairs, "line-pairs")
     named = firsts.select("h1", "id", "at", "n", "size", "spelled")
-    found = materialise(later(close(pairs.join(named, "h1").join(other(named), "h1_2"))), "near-lines")
+    found = materialise(later(close(with_both(pairs, pairs.count(), named, "h1"))), "near-lines")
     hot = met.where("h1_2 IS NULL").select("key", "h1").join(firsts.select("h1", "id", "at", "n", "p", "q"), "h1").drop("h1")
     hot = materialise(hot, "hot-lines")
     if not hot.limit(1).count():
