@@ -43,6 +43,33 @@ def test_encoder_is_exact():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [reference_ids(t) for t in texts]
 
 
+def test_white_space_is_looked_for_by_single_characters():
+    class Watched(str):
+        pairs = 0
+
+        def __contains__(self, part):
+            Watched.pairs += len(part) == 2
+            return str.__contains__(self, part)
+
+    texts = [Watched("é first line\nsecond line")] * 20
+    encoder = packing.Encoder.of(packing.default_tokenizer())
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)] == [reference_ids(str(t)) for t in texts]
+    assert Watched.pairs <= 2 * len(texts)  # a space and a line feed occur
+
+
+def test_packing_leaves_no_words_in_workers(spark):
+    packing.pack(docs(spark, {k: " ".join(f"word{k}{i}" for i in range(50)) for k in range(20)})).count()
+    path = packing.default_tokenizer()
+
+    def held(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing.Encoder.of(path).words)], pa.int64())], names=["n"])
+
+    assert spark.range(0, 64, 1, 8).mapInArrow(held, "n long").agg(F.max("n")).first()[0] == 0
+
+
 def test_packing_needs_few_sequences(spark):
     """At most one in a hundred more than the tokens take, from one small file as from many."""
     docs_ = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")

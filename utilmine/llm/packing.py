@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utilmine.llm.common import materialise, release, spread
+from utilmine.llm.common import materialise, release, spread, trimmed
 
 #: Fixed value: the pre-tokenisation pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,8 +47,7 @@ def default_tokenizer() -> str:
 
 #: White space that can stand beside a space, besides the space itself.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_AFTER_SPACE = tuple(" " + c for c in " " + SPACES)
-_AFTER_SPACE_ASCII = tuple(x for x in _AFTER_SPACE if x.isascii())
+_AFTER_SPACE = tuple((c, " " + c) for c in " " + SPACES)
 
 
 class Encoder:
@@ -110,7 +109,7 @@ class Encoder:
         order = list(missing)
         if not order:
             return
-        ids = np.array(self.bpe.encode_ordinary(" " + " ".join(order)), dtype="<u4")
+        ids = np.frombuffer(array("I", self.bpe.encode_ordinary(" " + " ".join(order))), dtype="<u4")
         first = np.flatnonzero(self.begins[ids])
         if len(first) != len(order):
             self.words.update((w, self.whole(" " + w)) for w in order)
@@ -130,14 +129,14 @@ class Encoder:
         yield from self._block(held)
 
     def _block(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if self.has_added(t) or any(x in t for x in (_AFTER_SPACE_ASCII if t.isascii() else _AFTER_SPACE)) else t.split(" ") for t in texts]
-        known = self.words
-        missing = {w for words in split if words for w in words[1:] if w not in known}
-        if missing:
+        # most kinds of white space are in few texts, and to look for one character is cheap
+        split = [None if self.has_added(t) or any(c in t and both in t for c, both in _AFTER_SPACE) else t.split(" ") for t in texts]
+        known, used = self.words, set().union(*filter(None, split))
+        if missing := used - known.keys():
             before = len(known)
             self.learn(missing)
             if len(known) < before:  # the cache was emptied
-                self.learn({w for words in split if words for w in words[1:] if w not in known})
+                self.learn(used - known.keys())
         get = known.__getitem__
         for text, words in zip(texts, split):
             yield self.whole(text) if words is None else self.whole(words[0]) + b"".join(map(get, words[1:]))
@@ -235,8 +234,9 @@ def _tokenise_and_pack(path: str, capacity: int, open_bins: int, look_ahead: int
                     yield settle(False)
         drain()
         yield settle(True)
+        encoder.words.clear()  # the worker stays, and other stages need its memory
 
-    return run
+    return trimmed(run)
 
 
 def _merge_open(capacity: int, open_bins: int):
