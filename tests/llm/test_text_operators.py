@@ -441,6 +441,43 @@ def test_reworded_lines(spark, monkeypatch, hot):
     assert left == expected and list(left.values()).count("") > 20
 
 
+def test_edits_of_characters_that_join_and_part_words(spark):
+    r = random.Random(15)
+    texts = {}
+    for n in (9, 10, 11, 12, 13, 19, 20, 29, 38, 39, 40, 41):
+        for _ in range(2):
+            base = " ".join(invent(r, n, 3000))
+            texts[len(texts)] = base
+            for edits in (1, 2, 2, 3):
+                x = base
+                for _ in range(edits):
+                    at = r.choice([k for k, c in enumerate(x) if c == " "])
+                    x = r.choice([x[:at] + x[at + 1 :], x[:at] + "-" + x[at + 1 :], x[: at + 2] + " " + x[at + 2 :]])
+                texts[len(texts)] = x
+    left = {x["doc_id"]: x["text"] for x in line_dedup.drop_repeated_lines(docs(spark, texts), per_words=10, exact_chars=1).collect()}
+    assert left == dict(zip(sorted(texts), brute_lines(sorted(texts.items()))))
+
+
+def test_few_keys_and_few_comparisons(spark, monkeypatch):
+    line = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(25)))], "h1 long, line string")
+    assert line_dedup.line_keys(line, 2, 20, 10).count() <= 2 * 5  # no keys of segments from ten words on
+
+    written = []
+    materialise = line_dedup.common.materialise
+
+    def counted(df, what):
+        out = materialise(df, what)
+        if what == "close-lines":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup.common, "materialise", counted)
+    texts = {k: " ".join([f"word{i}" for i in range(25)] + [f"end{k}"]) for k in range(60)}
+    got = line_dedup.drop_repeated_lines(docs(spark, texts), per_words=10, exact_chars=1, report=True)
+    assert got.agg(F.sum("n_gone")).first()[0] == 59
+    assert sum(written) <= 2 * 60  # not one for each of the 1,770 pairs
+
+
 def test_first_tokens_meet():
     """The prefix argument on plain lists: t edits of words leave a token in common among the first t + 1, two among the first t + 2."""
     r = random.Random(14)

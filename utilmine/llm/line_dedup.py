@@ -11,7 +11,7 @@ Texts are read where they lie: what is shuffled are hashes of lines, keys, and t
 2. Segment partition: a line of length l is cut into ``edits`` + 1 segments. Of two lines within ``edits`` edits one segment of
    the shorter is a substring of the longer, close to the same place. Each line probes, for each length it can be
    matched with, only the places that can hold the segment (multi-match-aware selection). Keys carry length, segment number and content.
-   With ``per_words``, lines of 2 * ``edits`` * ``per_words`` words or more need no such keys: an edit of a character is two edits of words at most.
+   With ``per_words``, only lines of few words need such keys: an edit of a character changes two words at most, so longer lines meet by their words.
 3. Edits of words: with t edits, all but t words of either line are in the other. In any order of all words the first t + 1 distinct words
    of both lines therefore have one in common, and the first t + 2 have two. Long words come first, being rare. A line has a key for each of these
    words, together with its band of lengths and, where it lies near enough to the lower end of that band, the band below. A line with too few
@@ -19,6 +19,7 @@ Texts are read where they lie: what is shuffled are hashes of lines, keys, and t
 4. Members of a bucket meet in one sorted pass, and parities of the words' hash classes rule pairs out there.
 5. Buckets of more than ``HOT`` lines are not paired. Their lines are compared with the earliest of the bucket; those that have no earlier partner by then
    meet the others by two words instead of one (or by the segment), again only if the parities allow it.
+   A line is looked at against the earlier line that it shares most keys with; only if that is not near it, against the others.
 6. Pairs are verified with a banded bit-parallel edit distance: the 2 * ``edits`` + 1 cells of a column that matter are bits of one number that slides
    down with each character; or by the edit distance of words, each word standing as one character (words are told apart by 64-bit hashes).
 
@@ -199,14 +200,15 @@ def with_first_tokens(lines: DataFrame, n: Column) -> DataFrame:
     return lines.withColumn("tokens", F.when(F.size(distinct) >= n, F.slice(distinct, 1, n)).otherwise(few))
 
 
-def length_bands(n: Column, per_words: int) -> Column:
+def length_bands(n: Column, per_words: int, edits: int) -> Column:
     """The band of a number of words, and the band of the shortest line that it can be matched with. A band is wider than all of these."""
     step = log(1 + 6 / per_words)
 
     def band(x: Column) -> Column:
         return F.floor(F.log(x) / step).cast("int")
 
-    return F.array_distinct(F.array(band(n), band(n - F.floor(n / per_words))))
+    shorter = F.greatest(F.floor(n / per_words), F.when(n >= _least_words(edits, per_words), F.lit(edits)).otherwise(0))
+    return F.array_distinct(F.array(band(n), band(n - shorter)))
 
 
 def word_keys(tokens: Column, bands: Column) -> Column:
@@ -257,9 +259,18 @@ def _profiled(lines: DataFrame) -> DataFrame:
     return coded.withColumns({"p": p, "q": q})
 
 
-def _reach(n: Column, per_words: int) -> Column:
-    """The most edits of words that a line of ``n`` words can be matched with: the partner may be the longer line."""
-    return F.floor(n / (per_words - 1)).cast("int")
+def _least_words(edits: int, per_words: int) -> int:
+    """From so many words on, lines within ``edits`` edits of characters meet by words: few enough of their words differ, and bands are wider than ``edits``."""
+    return per_words * max(2, edits) // 2
+
+
+def _reach(n: Column, per_words: int, edits: int) -> Column:
+    """The most words of a line of ``n`` words that a line near it can lack.
+
+    Of a line's words, a longer partner with t edits lacks t less the difference in length, which is never more than a partner of the same length may lack.
+    An edit of a character changes two words at most.
+    """
+    return F.greatest(F.floor(n / per_words), F.when(n >= _least_words(edits, per_words), F.lit(2 * edits)).otherwise(0)).cast("int")
 
 
 #: Lines of a bucket up to which all of them meet.
@@ -271,9 +282,9 @@ def line_keys(lines: DataFrame, edits: int, min_chars: int, per_words: int) -> D
     one = F.lit(1).cast("long")
     keyed = _profiled(lines)
     if per_words:
-        keyed = with_first_tokens(keyed, _reach(F.col("n"), per_words) + 1).withColumn("bands", length_bands(F.col("n"), per_words))
+        keyed = with_first_tokens(keyed, _reach(F.col("n"), per_words, edits) + 1).withColumn("bands", length_bands(F.col("n"), per_words, edits))
         words = F.when(F.col("n") >= per_words - 1, word_keys(F.col("tokens"), F.col("bands")))
-        keyed = with_segment_keys(keyed, edits, min_chars, F.col("n") < 2 * edits * per_words)
+        keyed = with_segment_keys(keyed, edits, min_chars, F.col("n") < _least_words(edits, per_words) + edits)
     else:
         words = F.lit(None).cast("array<bigint>")
         keyed = with_segment_keys(keyed, edits, min_chars, F.lit(True))
@@ -283,7 +294,7 @@ def line_keys(lines: DataFrame, edits: int, min_chars: int, per_words: int) -> D
     return keyed.select("key", "h1", *(F.when(odd, F.col(c)).otherwise(0).alias(c) for c in ("n", "p", "q")))
 
 
-def candidates(keyed: DataFrame, per_words: int) -> DataFrame:
+def candidates(keyed: DataFrame, edits: int, per_words: int) -> DataFrame:
     """(key, h1, h1_2): pairs of lines of small buckets that may match; for each line of a hot bucket a row without a second hash."""
     bucket = Window.partitionBy("key").orderBy("h1")
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -295,7 +306,7 @@ def candidates(keyed: DataFrame, per_words: int) -> DataFrame:
     met = met.select("key", *fields, "hot", *(F.col(f"x.{c}").alias(f"{c}_2") for c in fields))
     match = F.col("n") == 0
     if per_words:
-        match = match | may_match(*({c: F.col(f"{c}{x}") for c in ("n", "p", "q")} for x in ("", "_2")), 0, per_words)
+        match = match | may_match(*({c: F.col(f"{c}{x}") for c in ("n", "p", "q")} for x in ("", "_2")), edits, per_words)
     return met.where(F.col("hot") | (F.col("h1_2").isNotNull() & match)).select("key", "h1", "h1_2")
 
 
@@ -307,7 +318,7 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
         return written
 
     hashed = lines.withColumn("h1", F.xxhash64("line"))
-    met = materialise(candidates(line_keys(hashed.select("h1", "line"), edits, min_chars, per_words), per_words), "line-keys")
+    met = materialise(candidates(line_keys(hashed.select("h1", "line"), edits, min_chars, per_words), edits, per_words), "line-keys")
     wanted = materialise(met.select("h1").unionByName(met.where("h1_2 IS NOT NULL").select(F.col("h1_2").alias("h1"))).distinct(), "lines-wanted")
     occurs = hashed.join(small_side(wanted, wanted.count()), "h1", "left_semi").select("h1", F.xxhash64(F.lit(17), "line").alias("h2"), F.struct("id", "at", "line").alias("x"))
     firsts = occurs.groupBy("h1", "h2").agg(F.min("x").alias("x")).select("h1", "x.id", "x.at", "x.line")
@@ -334,9 +345,12 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
         if per_words:
             most = F.floor(F.greatest("n", "n_2") / per_words).cast("int")
             reworded = (most > 0) & (F.abs(F.col("n") - F.col("n_2")) <= most)
-            pairs = once(pairs, "reworded", F.when(reworded, F.call_function("levenshtein", F.col("spelled"), F.col("spelled_2"), most) >= 0).otherwise(False))
-            # pairs within an edit of characters share a segment, so those that words alone brought together are not looked at again
-            characters = characters & F.col("segment") & ~F.col("reworded") & (F.greatest("n", "n_2") < 2 * edits * per_words)
+            characters = characters & (F.greatest("n", "n_2") < 2 * edits * per_words)
+            # an edit of a character is two edits of words at most, so one look at the words serves both thresholds
+            limit = F.greatest(F.when(reworded, most).otherwise(-1), F.when(characters, 2 * edits).otherwise(-1))
+            pairs = once(pairs, "apart", F.when(limit >= 0, F.call_function("levenshtein", F.col("spelled"), F.col("spelled_2"), limit)).otherwise(-1))
+            pairs = pairs.where("apart >= 0").withColumn("reworded", reworded & (F.col("apart") <= most))
+            characters = characters & ~F.col("reworded")
         else:
             pairs = pairs.withColumn("reworded", F.lit(False))
         pairs = pairs.withColumn("characters", characters).where(F.col("reworded") | F.col("characters"))
@@ -364,11 +378,18 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
     def with_profiles(pairs: DataFrame) -> DataFrame:
         return with_both(pairs, pairs.count(), firsts.select("id", "at", "n", "size", "spelled"), "id", "at")
 
-    segment = F.col("key").bitwiseAND(F.lit(1).cast("long")) == 0
-    pairs = met.where("h1_2 IS NOT NULL").groupBy("h1", "h1_2").agg(F.max(segment).alias("segment"))
-    pairs = materialise(pairs, "line-pairs")
-    named = firsts.select("h1", "id", "at", "n", "size", "spelled")
-    found = materialise(later(close(with_both(pairs, pairs.count(), named, "h1"))), "near-lines")
+    place = F.struct("id", "at")
+    met_by = materialise(met.where("h1_2 IS NOT NULL").groupBy("h1", "h1_2").agg(F.count("*").alias("keys")), "line-pairs")
+    named = firsts.select("h1", "id", "at")
+    pairs = met_by.join(named, "h1").join(other(named), "h1_2")
+    here, there = place, F.struct(F.col("id_2").alias("id"), F.col("at_2").alias("at"))
+    pairs = materialise(pairs.select("keys", F.greatest(here, there).alias("x"), F.least(here, there).alias("y")).where("x != y").select("keys", "x.id", "x.at", F.col("y.id").alias("id_2"), F.col("y.at").alias("at_2")), "line-pairs")
+    # one earlier line near it is enough for a line to go: the one that it shares most keys with comes first, the others only where that is not near
+    best = pairs.groupBy("id", "at").agg(F.max_by(F.struct("id_2", "at_2"), F.struct("keys", "id_2", "at_2")).alias("x"))
+    best = materialise(best.select("id", "at", "x.id_2", "x.at_2"), "line-pairs")
+    found = materialise(later(close(with_profiles(best))), "near-lines")
+    rest = materialise(pairs.drop("keys").join(found, ["id", "at"], "left_anti").join(best, ["id", "at", "id_2", "at_2"], "left_anti"), "line-pairs")
+    found = materialise(found.unionByName(later(close(with_profiles(rest)))), "near-lines")
     hot = met.where("h1_2 IS NULL").select("key", "h1").join(firsts.select("h1", "id", "at", "n", "p", "q"), "h1").drop("h1")
     hot = materialise(hot, "hot-lines")
     if not hot.limit(1).count():
@@ -377,16 +398,16 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
     place = F.struct("id", "at", "n", "p", "q")
     own, their = ({c: F.col(f"{c}{x}") for c in ("n", "p", "q")} for x in ("", "_2"))
     match = may_match(own, their, edits, per_words)
-    star = hot.join(hot.groupBy("key").agg(F.min(place).alias("x")).select("key", *(F.col(f"x.{c}").alias(f"{c}_2") for c in ("id", "at", "n", "p", "q"))), "key")
-    star = materialise(star.where(match).groupBy("id", "at", "id_2", "at_2").agg(F.max(segment).alias("segment")), "line-pairs")
+    star = hot.join(found, ["id", "at"], "left_anti").join(hot.groupBy("key").agg(F.min(place).alias("x")).select("key", *(F.col(f"x.{c}").alias(f"{c}_2") for c in ("id", "at", "n", "p", "q"))), "key")
+    star = materialise(star.where(match).select("id", "at", "id_2", "at_2").distinct(), "line-pairs")
     found = materialise(found.unionByName(later(close(with_profiles(star)))).distinct(), "near-lines")
     members = hot
     if per_words:
         # two words in common: the first that two lines share is in a hot bucket, the second follows it in both lines
         tokens = firsts.where(F.col("n") >= per_words - 1).join(hot.select("id", "at").distinct(), ["id", "at"], "left_semi")
-        tokens = with_first_tokens(tokens.withColumn("codes", F.sort_array(word_codes(_words("line")))), _reach(F.col("n"), per_words) + 2).select("id", "at", "tokens")
+        tokens = with_first_tokens(tokens.withColumn("codes", F.sort_array(word_codes(_words("line")))), _reach(F.col("n"), per_words, edits) + 2).select("id", "at", "tokens")
         odd = hot.where(F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1)
-        refined = odd.join(tokens, ["id", "at"]).select("*", F.explode(length_bands(F.col("n"), per_words)).alias("band"))
+        refined = odd.join(tokens, ["id", "at"]).select("*", F.explode(length_bands(F.col("n"), per_words, edits)).alias("band"))
         keys = F.transform("tokens", lambda x: F.xxhash64(x, F.col("band")).bitwiseOR(F.lit(1).cast("long")))
         refined = once(refined, "i", F.array_position(keys, F.col("key")).cast("int")).where("i > 0")
         refined = refined.select("id", "at", "n", "p", "q", "key", F.explode(F.slice("tokens", F.col("i") + 1, F.size("tokens"))).alias("second"))
@@ -395,8 +416,8 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
     members = materialise(members, "hot-lines")
     open_ = members.join(found, ["id", "at"], "left_anti")
     before = (F.col("id_2") < F.col("id")) | ((F.col("id_2") == F.col("id")) & (F.col("at_2") < F.col("at")))
-    rest = open_.join(other(members), "key").where(before & match).groupBy("id", "at", "id_2", "at_2").agg(F.max(segment).alias("segment"))
-    rest = materialise(rest.join(star, ["id", "at", "id_2", "at_2", "segment"], "left_anti"), "line-pairs")
+    rest = open_.join(other(members), "key").where(before & match).select("id", "at", "id_2", "at_2").distinct()
+    rest = materialise(rest.join(star, ["id", "at", "id_2", "at_2"], "left_anti"), "line-pairs")
     return found.unionByName(later(close(with_profiles(rest))))
 
 
