@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utilmine.llm.common import fresh_name, spread
+from utilmine.llm.common import fresh_name, spread, trimmed
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _SEPARATORS = bytes((32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b) for b in range(256))
@@ -211,7 +211,7 @@ def _scanned(docs: DataFrame, items: DataFrame, names: list[str], text_col: str,
             columns = [*b.columns, pa.array([len(w) for w in words], pa.int64()), pa.array(covered, SPANS), pa.array(named, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 FOUND = ["n_words", "hit_spans", "hit_items"]
@@ -248,7 +248,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
             columns[at] = pa.array(texts, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:wide]).filter(pa.array(keep, pa.bool_()))
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(trimmed(run), schema)
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:

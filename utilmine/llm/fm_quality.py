@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utilmine.llm.common import as_text, spread
+from utilmine.llm.common import as_text, spread, trimmed
 
 WORD_BITS = 15
 WORDS = 1 << WORD_BITS
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             columns = [b.column(0), b.column(2), pa.array([p[0].astype("<i4").tobytes() for p in pairs], pa.binary()), pa.array([p[1].astype("<f4").tobytes() for p in pairs], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "at", "value"])
 
-    got = rows.select(F.col("label_id").cast("long"), "text", "label").mapInArrow(run, "id long, label int, at binary, value binary").toArrow()
+    got = rows.select(F.col("label_id").cast("long"), "text", "label").mapInArrow(trimmed(run), "id long, label int, at binary, value binary").toArrow()
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
     at, value = got.column("at").to_pylist(), got.column("value").to_pylist()
     sparse = [(np.frombuffer(at[k], "<i4").astype(np.int64), np.frombuffer(value[k], "<f4").astype(np.float64)) for k in order]
@@ -205,4 +205,4 @@ def score(docs: DataFrame, model: FactorisationMachine, text_col: str = "text",
             scores = [machine.score(t.as_py() or "") for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, out_col])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)

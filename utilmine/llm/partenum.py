@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from utilmine.llm.common import as_text, components, fresh_name, materialise, release, small_side, spread, with_key
+from utilmine.llm.common import as_text, components, fresh_name, materialise, release, small_side, spread, trimmed, with_key
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IS_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
@@ -292,12 +292,12 @@ def shared_buckets(signed: DataFrame) -> DataFrame:
 
 def _components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``jaccard_components`` of (id, text) whose ids are distinct or null."""
-    seen = materialise(spread(texts).mapInArrow(_describe(k), "id long, n long, key binary, " + ", ".join(f"{x} long" for x in PARITIES)), "sets")
+    seen = materialise(spread(texts).mapInArrow(trimmed(_describe(k)), "id long, n long, key binary, " + ", ".join(f"{x} long" for x in PARITIES)), "sets")
     full = seen.where("n > 0 AND id IS NOT NULL")
     copies = copies_of(full)
     # texts of one row of each set only; most rows stay, so what is taken away is the small side
     own = spread(texts).where("id IS NOT NULL").join(small_side(copies.select("id"), copies.count()), "id", "left_anti")
-    buckets = shared_buckets(own.mapInArrow(_sign(k, num, den), "signature long, id long"))
+    buckets = shared_buckets(own.mapInArrow(trimmed(_sign(k, num, den)), "signature long, id long"))
     return with_components(seen, copies, link_buckets(texts, full, buckets, k, num, den))
 
 
@@ -330,7 +330,7 @@ def link_buckets(texts: DataFrame, full: DataFrame, buckets: DataFrame, k: int,
     def sides(pairs: DataFrame, kind, schema: str, columns: list[str]) -> DataFrame:
         """``pairs`` with ``columns`` of both documents, as ``kind`` makes them from their texts."""
         named = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-        made = materialise(texts.join(small_side(named, named.count()), "id", "left_semi").mapInArrow(kind(k), schema), "sides")
+        made = materialise(texts.join(small_side(named, named.count()), "id", "left_semi").mapInArrow(trimmed(kind(k)), schema), "sides")
         scratch.extend((named, made))
         for x in "ba":
             pairs = pairs.join(made.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)), x)
