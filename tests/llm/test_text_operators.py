@@ -330,6 +330,18 @@ def test_repeated_ids_do_not_crash(spark):
     assert suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_suffix_ranks():
+    r = random.Random(16)
+    for letters in (b"ab", bytes([1, 127, 128, 255])):
+        text = bytes(r.choice(letters) for _ in range(700)) + b"ab" * 60
+        padded = text + bytes(64)
+        keys = [padded[i : i + 64] for i in range(len(text))]
+        ordered = sorted(keys)
+        first = {k: i for i, k in reversed(list(enumerate(ordered)))}
+        got = suffix_dedup.suffix_ranks(np.frombuffer(text, dtype=np.uint8), 64)
+        assert got.tolist() == [first[k] for k in keys]
+
+
 # lines
 
 

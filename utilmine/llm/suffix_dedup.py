@@ -74,12 +74,11 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(text)
     padded = np.concatenate((text, np.zeros(8, dtype=np.uint8)))
-    word = np.zeros(n, dtype=np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | padded[i : n + i]
-    order = np.argsort(word, kind="stable")
+    word = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]).view(">u8").ravel().astype(np.uint64)
+    order = np.argsort(word)  # the order of equal ones does not matter, here and below
     rank = np.empty(n, dtype=np.int64)
-    new = np.concatenate(([True], np.diff(word[order]) != 0))
+    word = word[order]
+    new = np.concatenate(([True], word[1:] != word[:-1]))
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank[order] = head
     single = new & np.append(new[1:], True)
@@ -89,12 +88,11 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
         ahead = np.minimum(active + have, n - 1)
         second = np.where(active + have < n, rank[ahead] + 1, 0)
         key = (rank[active] << 32) | second
-        active = active[np.argsort(key, kind="stable")]
-        ahead = np.minimum(active + have, n - 1)
-        key = (rank[active] << 32) | np.where(active + have < n, rank[ahead] + 1, 0)
-        group = rank[active]
-        new = np.concatenate(([True], np.diff(key) != 0))
-        start = np.concatenate(([True], np.diff(group) != 0))
+        by_key = np.argsort(key)
+        active, key = active[by_key], key[by_key]
+        group = key >> 32
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        start = np.concatenate(([True], group[1:] != group[:-1]))
         place = np.arange(len(active))
         rank[active] = group + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(start, place, 0))
         active = active[~(new & np.append(new[1:], True))]
