@@ -7,10 +7,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from utilmine.llm import decontaminate, fm_quality, line_dedup, packing, partenum, suffix_dedup, url_lists
+from utilmine.llm.common import portions
 
 SCHEMA = "doc_id long, text string, extra string"
 
@@ -146,6 +148,14 @@ def test_fullest_bin_closes_first():
     assert bins.place(3) == (1, 7) and bins.place(4) == (0, 6)
 
 
+def test_encoder_of_blocks_with_more_words_than_its_cache(monkeypatch):
+    monkeypatch.setattr(packing.Encoder, "LIMIT", 8)
+    encoder = packing.Encoder(packing.default_tokenizer())
+    texts = ["one two three", " ".join(f"w{i}" for i in range(30)) + " two three", "three four", " ".join(f"x{i}" for i in range(9)) + " w3"]
+    for block in (1, 1000):
+        assert [list(np.frombuffer(x, "<u4")) for x in encoder.encode_all(texts, block)] == [reference_ids(t) for t in texts]
+
+
 # decontamination
 
 
@@ -189,6 +199,19 @@ def test_contamination_with_clashing_names_and_null_ids(spark):
     assert decontaminate.clean(df, items, min_span=13).where("doc_id = 1").first()["text"] == rows[0][1]
 
 
+def test_cleaning_is_one_python_pass_over_portions(spark):
+    df, items = docs(spark, {1: "a b"}), spark.createDataFrame([(0, "a b c")], "item_id long, text string")
+    plan = decontaminate.clean(df, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # a second one is a second worker beside each task's first
+    r = random.Random(2)
+    texts = [None, "", "x" * 5000, *("é" * r.randint(0, 300) for _ in range(500)), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    parts = list(portions(iter([batch, batch.slice(0, 0)]), 1, 1000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    sizes = [[len((t or "").encode()) for t in part.column(1).to_pylist()] for part in parts]
+    assert len(parts) > 50 and all(sum(x) - max(x, default=0) <= 1000 for x in sizes)
+
+
 def test_cleaning_cuts_spans_and_keeps_the_rest(spark):
     item = " ".join(f"q{i}" for i in range(15))
     texts = {1: "Before it. " + item + "; after it.", 2: "Nothing  here.\n", 3: item, 4: None}

@@ -11,7 +11,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +98,14 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return whole
 
 
+def portions(batches: Iterator[pa.RecordBatch], at: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in portions of about ``most_bytes`` in column ``at`` (text), or of one row; a batch can hold very many more, and what is made of texts is larger than they are."""
+    for b in batches:
+        size = pc.cast(pc.fill_null(pc.binary_length(b.column(at)), 0), pa.int64()).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // most_bytes)) + 1).tolist(), b.num_rows]
+        yield from (b.slice(x, y - x) for x, y in zip(edges, edges[1:]))
+
+
 def as_text(column) -> "F.Column":
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

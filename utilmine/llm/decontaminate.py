@@ -8,7 +8,7 @@ A word inside an occurrence of any window is hit.
 
 Items are taken in blocks of at most ``block_bytes`` of text, one automaton each. The driver holds one block at a time and
 broadcasts its automaton, packed; a task unpacks one after the other (a single one stays) and runs a batch of documents
-through each, so the corpus is read and split into words once. Within a document only stretches whose word pairs all occur in the block are walked.
+through each, so the corpus is read once. Words are held for one document at a time. Within a document only stretches whose word pairs all occur in the block are walked.
 
 Edge cases: null and word-free texts have no words and no hits; items without words are ignored; items with a null id
 are found and cut out like others but not named; repeated item ids and repeated texts count once per id; no items at all leaves every
@@ -21,7 +21,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -29,15 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utilmine.llm.common import fresh_name, spread, trimmed
+from utilmine.llm.common import portions, spread, trimmed
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _SEPARATORS = bytes((32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b) for b in range(256))
 
 
 def words_of(text: str) -> list[bytes]:
-    """Normalised words of a text, as UTF-8 (by then every separator is a space)."""
-    return text.encode("utf-8", "surrogatepass").translate(_SEPARATORS).split()
+    """Normalised words of a text, as UTF-8."""
+    return _normalised(text).split()
+
+
+def _normalised(text: str) -> bytes:
+    """The text as UTF-8 in which every separator is a space."""
+    return text.encode("utf-8", "surrogatepass").translate(_SEPARATORS)
 
 
 class SuffixAutomaton:
@@ -186,30 +191,33 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield held
 
 
-def _scanned(docs: DataFrame, items: DataFrame, names: list[str], text_col: str, item_id: str, item_text: str, window: int, block_bytes: int) -> DataFrame:
-    """``docs`` with three more columns of the given names: words, disjoint spans that are hit, ids of the items."""
-    spark = docs.sparkSession
+#: What is made of a batch, the number of words of each of its texts, their disjoint spans that are hit and the sets of ids of the items.
+Finish = Callable[[pa.RecordBatch, list[int], list[list[tuple[int, int]]], list[set[str]]], pa.RecordBatch]
+
+
+def _scanned(source: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, block_bytes: int, finish: Finish, schema) -> DataFrame:
+    """What ``finish`` makes of ``source``, in the same task: a second pass through Python would be a second worker beside it."""
+    spark = source.sparkSession
     packed = [spark.sparkContext.broadcast(zlib.compress(pickle.dumps(SuffixAutomaton(block, window)), 1)) for block in item_blocks(items, item_id, item_text, block_bytes)]
-    source = spread(docs)
-    kinds = dict(zip(names, ("long", "array<struct<from:int,to:int>>", "array<string>")))
-    schema = source.withColumns({n: F.lit(None).cast(k) for n, k in kinds.items()}).schema
     at = source.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = pickle.loads(zlib.decompress(packed[0].value)) if len(packed) == 1 else None
-        for b in batches:
-            words = [words_of(text.as_py() or "") for text in b.column(at)]
-            spans, found = [[] for _ in words], [set() for _ in words]
+        # several automata are unpacked for each batch, so then it stays whole
+        for b in batches if len(packed) > 1 else portions(batches, at):
+            texts = [_normalised(text.as_py() or "") for text in b.column(at)]
+            sizes, spans, found = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+            if not packed:
+                sizes = [len(text.split()) for text in texts]
             for block in packed:
                 automaton = kept or pickle.loads(zlib.decompress(block.value))
-                for k, w in enumerate(words):
-                    more, ids = automaton.scan(w)
+                for k, text in enumerate(texts):
+                    words = text.split()
+                    more, ids = automaton.scan(words)
+                    sizes[k] = len(words)
                     spans[k] += more
                     found[k] |= ids
-            covered = [[{"from": x, "to": y} for x, y in _covered(s)] for s in spans]
-            named = [sorted(x for x in f if x is not None) for f in found]
-            columns = [*b.columns, pa.array([len(w) for w in words], pa.int64()), pa.array(covered, SPANS), pa.array(named, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *names])
+            yield finish(b, sizes, [_covered(s) for s in spans], found)
 
     return source.mapInArrow(trimmed(run), schema)
 
@@ -219,7 +227,17 @@ FOUND = ["n_words", "hit_spans", "hit_items"]
 
 def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """Add ``n_words`` long, ``hit_spans`` (disjoint word ranges) and ``hit_items`` (sorted ids as strings)."""
-    return _scanned(docs.drop(*(c for c in docs.columns if c.lower() in FOUND)), items, FOUND, text_col, item_id, item_text, window, block_bytes)
+    source = spread(docs.drop(*(c for c in docs.columns if c.lower() in FOUND)))
+    kinds = ("long", "array<struct<from:int,to:int>>", "array<string>")
+    schema = source.withColumns({n: F.lit(None).cast(k) for n, k in zip(FOUND, kinds)}).schema
+
+    def finish(b: pa.RecordBatch, sizes: list[int], spans: list[list[tuple[int, int]]], found: list[set[str]]) -> pa.RecordBatch:
+        covered = [[{"from": x, "to": y} for x, y in s] for s in spans]
+        named = [sorted(x for x in f if x is not None) for f in found]
+        columns = [*b.columns, pa.array(sizes, pa.int64()), pa.array(covered, SPANS), pa.array(named, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *FOUND])
+
+    return _scanned(source, items, text_col, item_id, item_text, window, block_bytes, finish, schema)
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, min_span: int = 1, max_coverage: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
@@ -229,26 +247,24 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     hit span of ``min_span`` words or more is cut out of the text. Spans of fewer than ``window`` words are
     whole items. Texts without hits stay as they are, byte for byte.
     """
-    found = _scanned(docs, items, [fresh_name(docs, x) for x in FOUND], text_col, item_id, item_text, window, block_bytes)
-    schema, at = docs.schema, docs.columns.index(text_col)
-    wide = len(docs.columns)
+    source = spread(docs)
+    at = source.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, texts = [], []
-            for text, n, spans in zip(b.column(at), b.column(wide).to_pylist(), b.column(wide + 1).to_pylist()):
-                hit = sum(s["to"] - s["from"] for s in spans)
-                keep.append(not n or hit <= max_coverage * n)
-                text = text.as_py()
-                cut = [(s["from"], s["to"]) for s in spans if s["to"] - s["from"] >= min_span]
-                if cut and keep[-1]:
-                    text = without_spans(text, cut)
-                texts.append(text)
-            columns = list(b.columns[:wide])
-            columns[at] = pa.array(texts, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:wide]).filter(pa.array(keep, pa.bool_()))
-
-    return found.mapInArrow(trimmed(run), schema)
+    def finish(b: pa.RecordBatch, sizes: list[int], spans: list[list[tuple[int, int]]], found: list[set[str]]) -> pa.RecordBatch:
+        keep, texts = [], []
+        for text, n, covered in zip(b.column(at), sizes, spans):
+            hit = sum(y - x for x, y in covered)
+            keep.append(not n or hit <= max_coverage * n)
+            text = text.as_py()
+            cut = [(x, y) for x, y in covered if y - x >= min_span]
+            if cut and keep[-1]:
+                text = without_spans(text, cut)
+            texts.append(text)
+        columns = list(b.columns)
+        columns[at] = pa.array(texts, b.schema.field(at).type)
+        return pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return _scanned(source, items, text_col, item_id, item_text, window, block_bytes, finish, source.schema)
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utilmine.llm.common import materialise, release, spread, trimmed
+from utilmine.llm.common import materialise, portions, release, spread, trimmed
 
 #: Fixed value: the pre-tokenisation pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -102,8 +102,6 @@ class Encoder:
     def learn(self, missing: set[str]) -> None:
         import numpy as np
 
-        if len(self.words) + len(missing) > self.LIMIT:
-            self.words.clear()
         missing.discard("")
         self.words[""] = self.whole(" ")
         order = list(missing)
@@ -133,10 +131,10 @@ class Encoder:
         split = [None if self.has_added(t) or any(c in t and both in t for c, both in _AFTER_SPACE) else t.split(" ") for t in texts]
         known, used = self.words, set().union(*filter(None, split))
         if missing := used - known.keys():
-            before = len(known)
+            if len(known) + len(missing) > self.LIMIT:
+                known.clear()
+                missing = used
             self.learn(missing)
-            if len(known) < before:  # the cache was emptied
-                self.learn(used - known.keys())
         get = known.__getitem__
         for text, words in zip(texts, split):
             yield self.whole(text) if words is None else self.whole(words[0]) + b"".join(map(get, words[1:]))
@@ -224,7 +222,7 @@ def _tokenise_and_pack(path: str, capacity: int, open_bins: int, look_ahead: int
             held[:] = kept
             return batch(rows, flags)
 
-        for b in batches:
+        for b in portions(batches, 1, 2 << 20):
             for doc, ids in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist())):
                 ids += END
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
