@@ -533,6 +533,29 @@ def test_first_tokens_meet():
                 assert len(set(prefix(a, len(a) // 9 + more)) & set(prefix(b, len(b) // 9 + more))) >= more
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_long_lines_are_told_apart_by_parities(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    r = random.Random(17)
+    common = [f"aquitelongword{i}" for i in range(80)]
+    far = [" ".join(common + invent(r, 320, 100_000)) for _ in range(12)]  # 320 of 400 words differ
+    if hot == 64:
+        lines = spark.createDataFrame([(x,) for x in far], "line string").withColumn("h1", F.xxhash64("line"))
+        assert line_dedup.candidates(line_dedup.line_keys(lines, 2, 20, 10), 2, 10).count() == 0  # 66 pairs in each of 41 buckets before
+    texts = dict(enumerate(far))
+    for n in (88, 91, 178, 182, 200, 400):  # about the lengths at which the number of classes changes
+        base = invent(r, n, 100_000)
+        for changes in (0, n // 10 - 1, n // 10, n // 10 + 3):
+            words = list(base)
+            for k in range(changes):
+                at = (k + 1) * len(words) // (changes + 1)
+                words[at : at + r.choice([0, 1, 1])] = r.choice([[], [f"other{k}"]])
+            texts[len(texts)] = " ".join(words)
+    left = {x["doc_id"]: x["text"] for x in line_dedup.drop_repeated_lines(docs(spark, texts), per_words=10, exact_chars=1).collect()}
+    expected = dict(zip(sorted(texts), brute_lines([(i, texts[i]) for i in sorted(texts)])))
+    assert left == expected and 6 <= list(left.values()).count("") < 24
+
+
 def test_lines_of_repeated_ids_and_clashing_names(spark):
     line, other = "A line that is long enough to be compared with others", "Quite another line, long enough to be compared as well"
     rows = [(0, line), (1, line), (1, f"{other}\n{line}"), (1, line), (None, line), (None, other), (2, None), (3, other + "s"), (3, "\n".join(["common"] * 500))]

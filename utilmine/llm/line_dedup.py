@@ -19,7 +19,7 @@ Texts are read where they lie: what is shuffled are hashes of lines, keys, and t
 4. Members of a bucket meet in one sorted pass, and parities of the words' hash classes rule pairs out there.
 5. Buckets of more than ``HOT`` lines are not paired. Their lines are compared with the earliest of the bucket; those that have no earlier partner by then
    meet the others by two words instead of one (or by the segment), again only if the parities allow it.
-   A line is looked at against the earlier line that it shares most keys with; only if that is not near it, against the others.
+   A line is looked at against the earlier line whose parities are most like its own; only if that is not near it, against the others.
 6. Pairs are verified with a banded bit-parallel edit distance: the 2 * ``edits`` + 1 cells of a column that matter are bits of one number that slides
    down with each character; or by the edit distance of words, each word standing as one character (words are told apart by 64-bit hashes).
 
@@ -218,10 +218,14 @@ def word_keys(tokens: Column, bands: Column) -> Column:
 
 #: Lines of so many words or more have parities of 128 classes, others of 64 (into which 128 fold).
 LONG_LINE = 90
+#: From so many words on parities are of 256 classes: two edits of a word in ten change as many of 128 as chance does.
+WIDE_LINE = 180
+PARITIES = ("p", "q", "r", "s")
+PROFILE = ("n", *PARITIES)
 
 
-def parities(codes: Column, n: Column) -> tuple[Column, Column]:
-    """Parities of how many words are in each hash class; an edit of a word changes two of them at most."""
+def parities(codes: Column, n: Column) -> tuple[Column, ...]:
+    """Parities of how many words are in each hash class, 64 to a number; an edit of a word changes two of them at most."""
 
     def bit(c: Column) -> Column:
         return F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63).cast("long")).cast("int"))
@@ -229,18 +233,27 @@ def parities(codes: Column, n: Column) -> tuple[Column, Column]:
     def of(these: Column) -> Column:
         return F.aggregate(these, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
 
-    def half(which: int) -> Column:
-        return of(F.filter(codes, lambda c: c.bitwiseAND(F.lit(64).cast("long")) == which))
+    def part(mask: int, which: int) -> Column:
+        return of(F.filter(codes, lambda c: c.bitwiseAND(F.lit(mask).cast("long")) == which))
 
-    return F.when(n < LONG_LINE, of(codes)).otherwise(half(0)), F.when(n < LONG_LINE, F.lit(0).cast("long")).otherwise(half(64))
+    none = F.lit(0).cast("long")
+    half = [F.when(n < WIDE_LINE, part(64, 64 * i)).otherwise(part(192, 64 * i)) for i in (0, 1)]
+    return F.when(n < LONG_LINE, of(codes)).otherwise(half[0]), F.when(n < LONG_LINE, none).otherwise(half[1]), *(F.when(n < WIDE_LINE, none).otherwise(part(192, 64 * i)) for i in (2, 3))
 
 
-def may_match(a: dict[str, Column], b: dict[str, Column], edits: int, per_words: int) -> Column:
-    """Whether numbers of words ``n`` and parities ``p``, ``q`` leave it open that two lines are near."""
+def differing(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """How many parities of two lines differ, of as many classes as the shorter line has."""
+    p, q, r, s = (a[c].bitwiseXOR(b[c]) for c in PARITIES)
+    shorter = F.least(a["n"], b["n"])
+    wide = F.bit_count(p) + F.bit_count(q) + F.bit_count(r) + F.bit_count(s)
+    long = F.bit_count(p.bitwiseXOR(r)) + F.bit_count(q.bitwiseXOR(s))
+    return F.when(shorter < LONG_LINE, F.bit_count(p.bitwiseXOR(q).bitwiseXOR(r).bitwiseXOR(s))).when(shorter < WIDE_LINE, long).otherwise(wide)
+
+
+def may_match(a: dict[str, Column], b: dict[str, Column], edits: int, per_words: int, differ: Column | None = None) -> Column:
+    """Whether numbers of words ``n`` and parities leave it open that two lines are near; ``differ`` is their ``differing``, if that is known."""
     longer, apart = F.greatest(a["n"], b["n"]), F.abs(a["n"] - b["n"])
-    folded = F.bit_count(a["p"].bitwiseXOR(a["q"]).bitwiseXOR(b["p"]).bitwiseXOR(b["q"]))
-    whole = F.bit_count(a["p"].bitwiseXOR(b["p"])) + F.bit_count(a["q"].bitwiseXOR(b["q"]))
-    differ = F.when(F.least(a["n"], b["n"]) < LONG_LINE, folded).otherwise(whole)
+    differ = differing(a, b) if differ is None else differ
     # an edit of a word changes two parities at most; an edit of a character takes away or adds three words at most
     characters = (apart <= edits) & (differ <= 3 * edits)
     return ((per_words * apart <= longer) & (per_words * differ <= 2 * longer)) | characters if per_words else characters
@@ -253,10 +266,9 @@ def _words(line: str) -> Column:
 
 
 def _profiled(lines: DataFrame) -> DataFrame:
-    """Add codes of the words in ascending order, their number ``n`` and parities ``p``, ``q``."""
+    """Add codes of the words in ascending order, their number ``n`` and parities."""
     coded = lines.withColumn("codes", F.sort_array(word_codes(_words("line")))).withColumn("n", F.size("codes"))
-    p, q = parities(F.col("codes"), F.col("n"))
-    return coded.withColumns({"p": p, "q": q})
+    return coded.withColumns(dict(zip(PARITIES, parities(F.col("codes"), F.col("n")))))
 
 
 def _least_words(edits: int, per_words: int) -> int:
@@ -278,8 +290,7 @@ HOT = 1024
 
 
 def line_keys(lines: DataFrame, edits: int, min_chars: int, per_words: int) -> DataFrame:
-    """(key, h1, n, p, q) of (h1, line). Keys of words are odd and carry ``n`` and parities, keys of segments are even and do not."""
-    one = F.lit(1).cast("long")
+    """(key, h1, n, parities) of (h1, line). Keys of words are odd, keys of segments are even."""
     keyed = _profiled(lines)
     if per_words:
         keyed = with_first_tokens(keyed, _reach(F.col("n"), per_words, edits) + 1).withColumn("bands", length_bands(F.col("n"), per_words, edits))
@@ -289,25 +300,24 @@ def line_keys(lines: DataFrame, edits: int, min_chars: int, per_words: int) -> D
         words = F.lit(None).cast("array<bigint>")
         keyed = with_segment_keys(keyed, edits, min_chars, F.lit(True))
     keys = F.concat(*(F.coalesce(x, F.array().cast("array<bigint>")) for x in (words, F.col("segments"))))
-    keyed = keyed.select("h1", "n", "p", "q", F.explode(keys).alias("key")).where("key IS NOT NULL")
-    odd = F.col("key").bitwiseAND(one) == 1
-    return keyed.select("key", "h1", *(F.when(odd, F.col(c)).otherwise(0).alias(c) for c in ("n", "p", "q")))
+    return keyed.select(F.explode(keys).alias("key"), "h1", *PROFILE).where("key IS NOT NULL")
 
 
 def candidates(keyed: DataFrame, edits: int, per_words: int) -> DataFrame:
-    """(key, h1, h1_2): pairs of lines of small buckets that may match; for each line of a hot bucket a row without a second hash."""
+    """(key, h1, h1_2, differ, n, parities): hashes of pairs of lines of small buckets that may match and how many of their parities differ; for each line of a hot bucket the other columns instead."""
     bucket = Window.partitionBy("key").orderBy("h1")
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shared = keyed.select("*", F.min("h1").over(whole).alias("low"), F.max("h1").over(whole).alias("high")).where("low != high").drop("low", "high")
-    once = shared.withColumn("before", F.lag("h1").over(bucket)).where("before IS NULL OR before != h1").drop("before")
-    fields = ("h1", "n", "p", "q")
-    met = once.select("*", F.count("*").over(whole).alias("size"), F.collect_list(F.struct(*fields)).over(bucket.rowsBetween(1, HOT)).alias("others"))
-    met = met.select("key", *fields, (F.col("size") > HOT).alias("hot"), F.explode_outer(F.when(F.col("size") <= HOT, F.col("others"))).alias("x"))
-    met = met.select("key", *fields, "hot", *(F.col(f"x.{c}").alias(f"{c}_2") for c in fields))
-    match = F.col("n") == 0
-    if per_words:
-        match = match | may_match(*({c: F.col(f"{c}{x}") for c in ("n", "p", "q")} for x in ("", "_2")), edits, per_words)
-    return met.where(F.col("hot") | (F.col("h1_2").isNotNull() & match)).select("key", "h1", "h1_2")
+    placed = keyed.select("*", F.lag("h1").over(bucket).alias("before"), F.max("h1").over(whole).alias("high"))
+    # each line once, and only where another line is in the bucket
+    shared = placed.where("CASE WHEN before IS NULL THEN high != h1 ELSE before != h1 END").drop("before")
+    shared = shared.withColumn("hot", F.count("*").over(whole) > HOT)
+    ahead = shared.where(F.col("hot") | (F.col("h1") != F.col("high"))).drop("high")
+    behind = shared.where(~F.col("hot")).select("key", *(F.col(c).alias(f"{c}_2") for c in ("h1", *PROFILE)))
+    own, their = ({c: F.col(f"{c}{x}") for c in PROFILE} for x in ("", "_2"))
+    # both sides are the same exchange; a line of a hot bucket meets nothing here and comes out once
+    met = ahead.join(behind, (ahead["key"] == behind["key"]) & (F.col("h1") < F.col("h1_2")) & may_match(own, their, edits, per_words), "left")
+    met = met.where(F.col("hot") | F.col("h1_2").isNotNull())
+    return met.select(F.when(F.col("hot"), ahead["key"]).alias("key"), "h1", "h1_2", differing(own, their).cast("short").alias("differ"), *(F.when(F.col("hot"), F.col(c)).alias(c) for c in PROFILE))
 
 
 def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scratch: list[DataFrame]) -> DataFrame:
@@ -319,11 +329,15 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
 
     hashed = lines.withColumn("h1", F.xxhash64("line"))
     met = materialise(candidates(line_keys(hashed.select("h1", "line"), edits, min_chars, per_words), edits, per_words), "line-keys")
-    wanted = materialise(met.select("h1").unionByName(met.where("h1_2 IS NOT NULL").select(F.col("h1_2").alias("h1"))).distinct(), "lines-wanted")
-    occurs = hashed.join(small_side(wanted, wanted.count()), "h1", "left_semi").select("h1", F.xxhash64(F.lit(17), "line").alias("h2"), F.struct("id", "at", "line").alias("x"))
-    firsts = occurs.groupBy("h1", "h2").agg(F.min("x").alias("x")).select("h1", "x.id", "x.at", "x.line")
+    paired = F.col("h1_2").isNotNull().alias("paired")
+    wanted = met.select("h1", paired).unionByName(met.where("h1_2 IS NOT NULL").select(F.col("h1_2").alias("h1"), paired)).groupBy("h1").agg(F.max("paired").alias("paired"))
+    wanted = materialise(wanted, "lines-wanted")
+    occurs = hashed.join(small_side(wanted, wanted.count()), "h1").select("h1", F.xxhash64(F.lit(17), "line").alias("h2"), "paired", F.struct("id", "at", "line").alias("x"))
+    firsts = occurs.groupBy("h1", "h2").agg(F.min("x").alias("x"), F.max("paired").alias("paired")).select("h1", "x.id", "x.at", "x.line", "paired")
     words = _words("line")
-    firsts = _profiled(firsts).drop("codes").withColumns({"size": F.char_length("line"), "spelled": spelled(words), "words": F.transform(words, lambda w: F.xxhash64(w))})
+    described = {"spelled": spelled(words), "words": F.transform(words, lambda w: F.xxhash64(w))}
+    # most lines of hot buckets are never compared, so their words wait
+    firsts = firsts.withColumns({"n": F.size(words), "size": F.char_length("line"), **{c: F.when(F.col("paired"), x) for c, x in described.items()}}).drop("paired")
     firsts = materialise(firsts, "lines")
 
     def other(df: DataFrame) -> DataFrame:
@@ -356,13 +370,13 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
         pairs = pairs.withColumn("characters", characters).where(F.col("reworded") | F.col("characters"))
         return materialise(pairs.select("id", "at", "id_2", "at_2", "reworded", "characters"), "close-lines")
 
-    def later(pairs: DataFrame) -> DataFrame:
+    def later(pairs: DataFrame, sides: DataFrame) -> DataFrame:
         """The (id, at) of the later line of each close pair that is within the threshold. A pair is looked at for one of the two thresholds and fetches only what that needs."""
         n = pairs.count()
         pairs = pairs.where((F.col("id") != F.col("id_2")) | (F.col("at") != F.col("at_2")))
 
         def read(which: str, *columns: str) -> DataFrame:
-            return with_both(pairs.where(which).select("id", "at", "id_2", "at_2"), n, firsts.select("id", "at", *columns), "id", "at")
+            return with_both(pairs.where(which).select("id", "at", "id_2", "at_2"), n, sides.select("id", "at", *columns), "id", "at")
 
         last = F.greatest(F.struct("id", "at"), F.struct(F.col("id_2").alias("id"), F.col("at_2").alias("at")))
         parts = differing_parts(read("characters", "line"), edits, b="line_2")
@@ -375,32 +389,38 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
             near = near.unionByName(once(both, "near", sure).where("near").select(last.alias("last")))
         return near.select("last.id", "last.at").distinct()
 
-    def with_profiles(pairs: DataFrame) -> DataFrame:
-        return with_both(pairs, pairs.count(), firsts.select("id", "at", "n", "size", "spelled"), "id", "at")
+    def compared(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+        return later(close(with_both(pairs, pairs.count(), sides.select("id", "at", "n", "size", "spelled"), "id", "at")), sides)
+
+    def described_lines(pairs: DataFrame) -> DataFrame:
+        """What ``firsts`` says of the lines of pairs from hot buckets, with their words."""
+        named = materialise(pairs.select("id", "at").unionByName(pairs.select(F.col("id_2").alias("id"), F.col("at_2").alias("at"))).distinct(), "lines-wanted")
+        lines = firsts.join(small_side(named, named.count(), numbers // 2), ["id", "at"], "left_semi")
+        return materialise(lines.withColumns({c: F.coalesce(c, x) for c, x in described.items()}), "lines")
 
     place = F.struct("id", "at")
-    met_by = materialise(met.where("h1_2 IS NOT NULL").groupBy("h1", "h1_2").agg(F.count("*").alias("keys")), "line-pairs")
+    met_by = materialise(met.where("h1_2 IS NOT NULL").groupBy("h1", "h1_2").agg(F.max("differ").alias("differ")), "line-pairs")
     named = firsts.select("h1", "id", "at")
     pairs = met_by.join(named, "h1").join(other(named), "h1_2")
     here, there = place, F.struct(F.col("id_2").alias("id"), F.col("at_2").alias("at"))
-    pairs = materialise(pairs.select("keys", F.greatest(here, there).alias("x"), F.least(here, there).alias("y")).where("x != y").select("keys", "x.id", "x.at", F.col("y.id").alias("id_2"), F.col("y.at").alias("at_2")), "line-pairs")
-    # one earlier line near it is enough for a line to go: the one that it shares most keys with comes first, the others only where that is not near
-    best = pairs.groupBy("id", "at").agg(F.max_by(F.struct("id_2", "at_2"), F.struct("keys", "id_2", "at_2")).alias("x"))
+    pairs = materialise(pairs.select("differ", F.greatest(here, there).alias("x"), F.least(here, there).alias("y")).where("x != y").select("differ", "x.id", "x.at", F.col("y.id").alias("id_2"), F.col("y.at").alias("at_2")), "line-pairs")
+    # one earlier line near it is enough for a line to go: the one whose parities are most like its own comes first, the others only where that is not near
+    best = pairs.groupBy("id", "at").agg(F.min_by(F.struct("id_2", "at_2"), F.struct("differ", "id_2", "at_2")).alias("x"))
     best = materialise(best.select("id", "at", "x.id_2", "x.at_2"), "line-pairs")
-    found = materialise(later(close(with_profiles(best))), "near-lines")
-    rest = materialise(pairs.drop("keys").join(found, ["id", "at"], "left_anti").join(best, ["id", "at", "id_2", "at_2"], "left_anti"), "line-pairs")
-    found = materialise(found.unionByName(later(close(with_profiles(rest)))), "near-lines")
-    hot = met.where("h1_2 IS NULL").select("key", "h1").join(firsts.select("h1", "id", "at", "n", "p", "q"), "h1").drop("h1")
+    found = materialise(compared(best, firsts), "near-lines")
+    rest = materialise(pairs.drop("differ").join(found, ["id", "at"], "left_anti").join(best, ["id", "at", "id_2", "at_2"], "left_anti"), "line-pairs")
+    found = materialise(found.unionByName(compared(rest, firsts)), "near-lines")
+    hot = met.where("h1_2 IS NULL").select("key", "h1", *PROFILE).join(named, "h1").drop("h1")
     hot = materialise(hot, "hot-lines")
     if not hot.limit(1).count():
         return found
 
-    place = F.struct("id", "at", "n", "p", "q")
-    own, their = ({c: F.col(f"{c}{x}") for c in ("n", "p", "q")} for x in ("", "_2"))
+    place = F.struct("id", "at", *PROFILE)
+    own, their = ({c: F.col(f"{c}{x}") for c in PROFILE} for x in ("", "_2"))
     match = may_match(own, their, edits, per_words)
-    star = hot.join(found, ["id", "at"], "left_anti").join(hot.groupBy("key").agg(F.min(place).alias("x")).select("key", *(F.col(f"x.{c}").alias(f"{c}_2") for c in ("id", "at", "n", "p", "q"))), "key")
+    star = hot.join(found, ["id", "at"], "left_anti").join(hot.groupBy("key").agg(F.min(place).alias("x")).select("key", *(F.col(f"x.{c}").alias(f"{c}_2") for c in ("id", "at", *PROFILE))), "key")
     star = materialise(star.where(match).select("id", "at", "id_2", "at_2").distinct(), "line-pairs")
-    found = materialise(found.unionByName(later(close(with_profiles(star)))).distinct(), "near-lines")
+    found = materialise(found.unionByName(compared(star, described_lines(star))).distinct(), "near-lines")
     members = hot
     if per_words:
         # two words in common: the first that two lines share is in a hot bucket, the second follows it in both lines
@@ -410,15 +430,15 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int, per_words: int, scr
         refined = odd.join(tokens, ["id", "at"]).select("*", F.explode(length_bands(F.col("n"), per_words, edits)).alias("band"))
         keys = F.transform("tokens", lambda x: F.xxhash64(x, F.col("band")).bitwiseOR(F.lit(1).cast("long")))
         refined = once(refined, "i", F.array_position(keys, F.col("key")).cast("int")).where("i > 0")
-        refined = refined.select("id", "at", "n", "p", "q", "key", F.explode(F.slice("tokens", F.col("i") + 1, F.size("tokens"))).alias("second"))
-        refined = refined.select(F.xxhash64("key", "second").bitwiseOR(F.lit(1).cast("long")).alias("key"), "id", "at", "n", "p", "q")
+        refined = refined.select("id", "at", *PROFILE, "key", F.explode(F.slice("tokens", F.col("i") + 1, F.size("tokens"))).alias("second"))
+        refined = refined.select(F.xxhash64("key", "second").bitwiseOR(F.lit(1).cast("long")).alias("key"), "id", "at", *PROFILE)
         members = hot.where(F.col("key").bitwiseAND(F.lit(1).cast("long")) == 0).unionByName(refined)
     members = materialise(members, "hot-lines")
     open_ = members.join(found, ["id", "at"], "left_anti")
     before = (F.col("id_2") < F.col("id")) | ((F.col("id_2") == F.col("id")) & (F.col("at_2") < F.col("at")))
     rest = open_.join(other(members), "key").where(before & match).select("id", "at", "id_2", "at_2").distinct()
     rest = materialise(rest.join(star, ["id", "at", "id_2", "at_2"], "left_anti"), "line-pairs")
-    return found.unionByName(later(close(with_profiles(rest))))
+    return found.unionByName(compared(rest, described_lines(rest)))
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> Column:
