@@ -16,7 +16,7 @@ Texts are read where they lie: what is shuffled are hashes of lines, keys, and t
    of both lines therefore have one in common, and the first t + 2 have two. Long words come first, being rare. A line has a key for each of these
    words, together with its band of lengths and, where it lies near enough to the lower end of that band, the band below. A line with too few
    distinct words has keys for all of them and for those that occur 2, 4, 8 ... times.
-4. Members of a bucket meet in one sorted pass, and parities of the words' hash classes rule pairs out there.
+4. Members of a bucket meet by a join of the keys with themselves, and parities of the words' hash classes rule pairs out there.
 5. Buckets of more than ``HOT`` lines are not paired. Their lines are compared with the earliest of the bucket; those that have no earlier partner by then
    meet the others by two words instead of one (or by the segment), again only if the parities allow it.
    A line is looked at against the earlier line whose parities are most like its own; only if that is not near it, against the others.
