@@ -314,6 +314,26 @@ def test_similar_sets_share_a_signature():
                 assert differ <= len(a) + len(b) - 2 * both
 
 
+def test_unrelated_sets_share_no_signature():
+    """Projections without elements agree between any two sets, so buckets of them would grow with the corpus, and their pairs with its square."""
+    r = np.random.default_rng(9)
+    for size in (40, 100, 250, 320, 900):
+        made = [partenum.signatures(np.unique(r.integers(0, 1 << 62, size, dtype=np.uint64)), 80, 100) for _ in range(150)]
+        _, times = np.unique(np.concatenate([np.unique(x) for x in made]), return_counts=True)
+        assert times.max() == 1, size
+
+
+def test_sets_at_the_threshold_share_a_signature():
+    """Similarities of exactly 80 and 85 in a hundred, sizes apart and equal, small sets in all their ways."""
+    r = np.random.default_rng(10)
+    for num, both, a_only, b_only in [(80, 4, 1, 0), (80, 8, 1, 1), (80, 8, 2, 0), (80, 12, 3, 0), (80, 16, 2, 2), (80, 100, 25, 0), (80, 100, 12, 13), (80, 800, 0, 200), (80, 800, 100, 100), (85, 17, 2, 1), (85, 170, 30, 0), (85, 170, 15, 15)]:
+        for _ in range(60):
+            x = np.unique(r.integers(0, 1 << 62, both + a_only + b_only, dtype=np.uint64))
+            r.shuffle(x)
+            a, b = np.sort(x[: both + a_only]), np.sort(np.concatenate((x[:both], x[both + a_only :])))
+            assert len(np.intersect1d(partenum.signatures(a, num, 100), partenum.signatures(b, num, 100))), (num, both, a_only, b_only)
+
+
 # suffix arrays
 
 

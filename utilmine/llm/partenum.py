@@ -2,15 +2,14 @@
 
 A document is its set of word shingles. Sets are put into size bands, each so narrow that sets of the wanted
 similarity lie in the same or in neighbouring bands. Within a band, similarity bounds the Hamming distance
-by some k. The feature domain is cut by a hash into first-level partitions, each of them into three
-second-level ones; k differences cannot put two into each first-level partition, so in one of them two of the three
-second-level partitions agree. A signature is what a set has in such a pair of second-level
-partitions, so similar sets share one.
+by some k. The feature domain is cut by a hash into first-level partitions, each of them into two
+second-level ones; k differences cannot put two into each first-level partition, so in one of them one of the two
+second-level partitions agrees. A signature is what a set has in a second-level partition, so similar sets share one.
 
-Partitions in which a projection has fewer than two elements would put dissimilar sets together. A few partitions more than
-needed are made, so that similar sets agree in more partitions than either may leave out: whether a set is poor in a partition is a property of its own
-projections, a set that is poor in more partitions than there are spare ones keeps them all, and of the partitions in which two sets agree one is kept by both, since where their projections
-are equal they are poor alike. So no link is lost.
+Partitions in which a projection has few elements, or none, would put dissimilar sets together. So a few partitions more than needed are made, and a set keeps
+only the signatures of its largest projections: as many as the differences that it can have from a similar set of the band, and one. No link is lost by that: of the signatures that two
+similar sets share, take the one that comes first by size of its projection (and by its value, where sizes are equal). Equal signatures have equal projections, so
+both sets have the same order; what comes before it in one of the sets is not in the other, which each difference makes true of one signature at most. So it is among those that either set keeps.
 
 Equal sets are found first and only one of them goes on. A bucket's centre is the member that shares most signatures with others; each set is compared
 with the most popular of its centres. The links give components, and only pairs of a bucket that lie in different components by then are compared as well.
@@ -99,14 +98,18 @@ def bands(num: int, den: int) -> list[int]:
     return out
 
 
-def band_plan(band: int, num: int, den: int) -> tuple[int, int]:
-    """(first-level partitions, how many of them a set may leave out) of a band; no partitions: only equal sets."""
+def band_plan(band: int, num: int, den: int) -> int:
+    """How many first-level partitions a band has; none: only equal sets."""
     k = 2 * (den - num) * bands(num, den)[band] // (den + num)
     if k == 0:
-        return 0, 0
+        return 0
     needed = k // 2 + 1
-    spare = 1 + needed // 10
-    return needed + spare, spare
+    return needed + 2 + needed // 4
+
+
+def most_differences(n: int, band: int, num: int, den: int) -> int:
+    """Elements in which a set of ``n`` can differ from a similar one of the band at most."""
+    return (den - num) * (n + min(bands(num, den)[band], n * den // num)) // (den + num)
 
 
 @lru_cache(maxsize=4096)
@@ -123,28 +126,19 @@ def signatures(items: np.ndarray, num: int, den: int) -> np.ndarray:
     own = bisect_left(bands(num, den), len(items))
     out = []
     for band in (own, own + 1):
-        parts, spare = band_plan(band, num, den)
+        parts = band_plan(band, num, den)
         tag, salt = _tags(band)
         if not parts:
             out.append(mix(np.add.reduce(mix(items ^ _MIX[41]), keepdims=True) + tag))
             continue
-        spread_ = mix(items + salt)
-        cell = ((spread_ >> np.uint64(32)) % np.uint64(3 * parts)).astype(np.int64)
-        count = np.bincount(cell, minlength=3 * parts).reshape(parts, 3)
+        cell = ((mix(items + salt) >> np.uint64(32)) % np.uint64(2 * parts)).astype(np.int64)
+        count = np.bincount(cell, minlength=2 * parts)
         order = np.argsort(cell, kind="stable")
         running = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(items ^ _MIX[43])[order])))
-        edge = np.concatenate(([0], np.cumsum(count.ravel())))
-        sums = (running[edge[1:]] - running[edge[:-1]]).reshape(parts, 3)
-        pairs, size = [], []
-        for n, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-            where = tag + (np.arange(parts, dtype=np.uint64) * np.uint64(3) + np.uint64(n + 1)) * _MIX[44]
-            pairs.append(mix(sums[:, a] * _MIX[45] + sums[:, b] * _MIX[46] + where))
-            size.append(count[:, a] + count[:, b])
-        pairs, poor = np.stack(pairs, axis=1), np.stack(size, axis=1) < 2
-        weak = poor.any(axis=1)
-        if 0 < weak.sum() <= spare:
-            pairs = pairs[~weak]
-        out.append(pairs.ravel())
+        edge = np.concatenate(([0], np.cumsum(count)))
+        where = tag + np.arange(1, 2 * parts + 1, dtype=np.uint64) * _MIX[44]
+        made = mix((running[edge[1:]] - running[edge[:-1]]) * _MIX[45] + where)
+        out.append(made[np.lexsort((made, -count))[: most_differences(len(items), band, num, den) + 1]])
     return np.concatenate(out)
 
 
