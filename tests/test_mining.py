@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 
@@ -66,6 +67,20 @@ def test_incremental(db):
     assert as_dict(mine(e, "incfhm", 120, batches=3)) == {c: v for c, v in every.items() if v[0] >= 120}
 
 
+def test_batches_add_nothing_to_disk(spark, db):
+    """Rows are not copied into later batches: twenty batches write no more than one."""
+    rows, every, e = db
+    mine(e, "incfhm", 120, batches=1).collect()
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+
+    def written(batches):
+        before = {f for f in folder.rglob("part-*")}
+        assert as_dict(mine(e, "incfhm", 120, batches=batches)) == {c: v for c, v in every.items() if v[0] >= 120}
+        return sum(f.stat().st_size for f in folder.rglob("part-*") if f not in before)
+
+    assert 0 < written(20) <= 1.2 * written(1)
+
+
 def test_other_kinds(db):
     rows, every, e = db
     m = 60

@@ -20,7 +20,7 @@ from utilmine.plans import cut
 
 @dataclass
 class Rule:
-    """What a strategy emits and what it extends, over the sums (utility, rem, twu, mu, support, last_tid) of an itemset."""
+    """What a strategy emits and what it extends, over the sums (utility, rem, twu, mu, support) of an itemset."""
 
     emit: Column
     extend: Column
@@ -49,7 +49,7 @@ def mine_levels(entries: DataFrame, rule: Rule) -> DataFrame:
     emit, extend = rule.emit, rule.extend
     while True:
         sums = level.groupBy(*g, "itemset").agg(
-            F.sum("iu").alias("utility"), F.sum("ru").alias("rem"), F.sum("tu").alias("twu"), F.sum("mu").alias("mu"), F.count("*").alias("support"), F.max("tid").alias("last_tid"), *(F.min(c).alias(c) for c in extra)
+            F.sum("iu").alias("utility"), F.sum("ru").alias("rem"), F.sum("tu").alias("twu"), F.sum("mu").alias("mu"), F.count("*").alias("support"), *(F.min(c).alias(c) for c in extra)
         )
         sums = cut(sums.withColumn("length", F.lit(length)))
         for old in kept[1:-1]:

@@ -236,24 +236,13 @@ def mine_windows(entries: DataFrame, m: int) -> DataFrame:
 
 
 def incfhm(entries, m, batches=10, **_):
-    """Growing batches of transactions: a batch reports what its new rows touched, the newest report of an itemset counts.
+    """Growing batches of transactions: a batch reports the itemsets that its rows touched, with their sums over all rows so far, and the newest report of an itemset counts.
 
-    All batches are mined in one pass: a row belongs to its own batch and to all later ones.
+    A table has all its batches already, and there the newest report needs no earlier one: no row after the last batch that touches an itemset has it, so its sums by then are those over all rows, and
+    as utilities are not negative they reach the threshold then if they ever do. So each row is mined once, depth first by item, whatever the number of ``batches``; rows that
+    come later are the business of ``streaming.state``, which keeps what it has seen.
     """
-    numbers, n = numbered_rows(entries)
-    ends = [n * (b + 1) // batches for b in range(batches)]
-    starts = [0, *ends[:-1]]
-    own = F.size(F.filter(F.lit(ends).cast("array<bigint>"), lambda e: e <= F.col("row")))
-    dealt = entries.join(numbers.select("tid", "row", F.explode(F.sequence(own, F.lit(batches - 1))).alias("batch")), "tid")
-    grown = F.element_at(F.lit([e > s for s, e in zip(starts, ends)]), F.col("batch") + 1)  # empty batches report nothing
-    dealt = dealt.where(grown).drop("tid").withColumnRenamed("row", "tid")
-    touched = F.col("last_tid") >= F.element_at(F.lit(starts).cast("array<bigint>"), F.col("batch") + 1)
-    groups = ["batch"]
-    ranked = _ranked(dealt, _promising(dealt, m, groups), order=("item",), groups=groups)
-    rule = Rule(emit=(F.col("utility") >= m) & touched, extend=(F.col("utility") + F.col("rem") >= m) & touched, pair_filter=lambda base: pairs(base, groups).where(F.col("twu") >= m), groups=groups)
-    found = _result(mine_levels(ranked, rule), groups)
-    newest = F.max_by(F.struct("utility", "support"), "batch").alias("x")
-    return found.groupBy("itemset", "length").agg(newest).select("itemset", "length", "x.utility", "x.support")
+    return fhm(entries, m)
 
 
 def _neighbours(found: DataFrame, partners: DataFrame) -> DataFrame:
