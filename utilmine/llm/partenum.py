@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from utilmine.llm.common import as_text, components, fresh_name, materialise, release, small_side, spread, trimmed, with_key
+from utilmine.llm.common import as_text, components, fresh_name, materialise, portions, release, small_side, spread, trimmed, with_key
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IS_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
@@ -174,7 +174,7 @@ def least_distance(a: bytes, b: bytes) -> int:
 
 def _bits(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, 1):
             sets = [shingles(t.as_py(), k) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(parity_bits, sets)), pa.binary())], names=["id", "n", "bits"])
 
@@ -195,7 +195,7 @@ def _may_link(num: int, den: int):
 
 def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, 1):
             sets = [shingles(t.as_py(), k) for t in b.column(1)]
             key = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             bits = np.stack([parities(s) for s in sets], axis=1) if sets else np.empty((PARITY_WORDS, 0), dtype=np.int64)
@@ -207,7 +207,7 @@ def _describe(k: int):
 
 def _sign(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, 1):
             held, ids, size = [], [], 0
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 s = signatures(shingles(t.as_py(), k), num, den)
@@ -224,7 +224,7 @@ def _sign(k: int, num: int, den: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), k).tobytes() for t in b.column(1)], pa.binary())], names=["id", "items"])
 
     return run
